@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +16,24 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, as spark-submit --py-files does."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(path))
+        _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,3 +62,22 @@ def uniform(*parts) -> F.Column:
     """A number strictly between 0 and 1 from the md5 of the parts joined by ':' (13 hex digits, so exact in a double)."""
     text = F.concat_ws(":", *[p.cast("string") if isinstance(p, F.Column) else F.lit(str(p)) for p in parts])
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**13))
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file on this machine; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about size bytes, so what a task builds for a slice stays bounded whatever a text's length."""
+    for b in batches:
+        rows = max(1, int(b.num_rows * size / max(b.nbytes, 1)))
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def texts(column: pa.Array) -> list[str]:
+    return ["" if x is None else x for x in column.to_pylist()]

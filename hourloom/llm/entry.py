@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hourloom.llm import mixing, quality_rules
+from hourloom.llm import mixing, pieces, quality_rules, token_files
 from hourloom.llm.common import table
 
 
@@ -10,7 +10,9 @@ def queries() -> dict:
     docs = lambda f: lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
     return {
         "op5_quality_rules": docs(quality_rules.query),
+        "op6_sentencepiece": docs(pieces.query),
         "op8_mixing": docs(mixing.query),
+        "op9_token_files": docs(token_files.query),
     }
 
 
