@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from hourloom.llm import mixing, pieces, quality_rules, token_files
+from hourloom.llm import line_dedup, mixing, pieces, quality_rules, token_files
 from hourloom.llm.common import table
 
 
 def queries() -> dict:
     docs = lambda f: lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
     return {
+        "op4_line_dedup": docs(line_dedup.query),
         "op5_quality_rules": docs(quality_rules.query),
         "op6_sentencepiece": docs(pieces.query),
         "op8_mixing": docs(mixing.query),
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL}
+    return {"op4_line_dedup": line_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL}
