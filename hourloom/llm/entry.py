@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from hourloom.llm import line_dedup, mixing, pieces, quality_rules, token_files
+from hourloom.llm import language, line_dedup, mixing, pieces, quality_rules, secrets, token_files
 from hourloom.llm.common import table
 
 
 def queries() -> dict:
     docs = lambda f: lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
     return {
+        "op3_secrets": docs(secrets.query),
         "op4_line_dedup": docs(line_dedup.query),
         "op5_quality_rules": docs(quality_rules.query),
         "op6_sentencepiece": docs(pieces.query),
         "op8_mixing": docs(mixing.query),
         "op9_token_files": docs(token_files.query),
+        "op10_language": docs(language.query),
     }
 
 
