@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from hourloom.llm import language, line_dedup, mixing, pieces, quality_rules, secrets, token_files
+from hourloom.llm import language, line_dedup, mixing, pieces, quality, quality_rules, secrets, token_files
 from hourloom.llm.common import table
 
 
 def queries() -> dict:
     docs = lambda f: lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
     return {
+        "op1_quality_classifier": docs(quality.query),
         "op3_secrets": docs(secrets.query),
         "op4_line_dedup": docs(line_dedup.query),
         "op5_quality_rules": docs(quality_rules.query),
