@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hourloom.llm import language, line_dedup, mixing, pieces, quality, quality_rules, secrets, token_files
+from hourloom.llm import language, line_dedup, mixing, near_dup, pieces, quality, quality_rules, secrets, token_files
 from hourloom.llm.common import table
 
 
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op4_line_dedup": docs(line_dedup.query),
         "op5_quality_rules": docs(quality_rules.query),
         "op6_sentencepiece": docs(pieces.query),
+        "op7_minhash": docs(near_dup.query),
         "op8_mixing": docs(mixing.query),
         "op9_token_files": docs(token_files.query),
         "op10_language": docs(language.query),
