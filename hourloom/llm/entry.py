@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hourloom.llm import language, line_dedup, mixing, near_dup, pieces, quality, quality_rules, secrets, token_files
+from hourloom.llm import language, line_dedup, mixing, near_dup, pieces, quality, quality_rules, secrets, token_files, vectors
 from hourloom.llm.common import table
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     docs = lambda f: lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
     return {
         "op1_quality_classifier": docs(quality.query),
+        "op2_embedding_dedup": lambda spark, sf_dir: vectors.query(table(spark, sf_dir, "embeddings")),
         "op3_secrets": docs(secrets.query),
         "op4_line_dedup": docs(line_dedup.query),
         "op5_quality_rules": docs(quality_rules.query),
