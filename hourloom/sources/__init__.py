@@ -1,0 +1,61 @@
+"""Reading and writing: CSV panels, Parquet features, the JSON registry, and fingerprints of files."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hourloom.functions import nan_to_null
+from hourloom.schema import FORBIDDEN, TARGET, input_schema
+
+
+def read_panel_csv(spark: SparkSession, path: str, train: bool) -> DataFrame:
+    """A panel with header; empty cells, NA and NaN are null. The columns are checked against the split."""
+    names = spark.read.option("header", True).csv(path).columns  # reads the header only
+    guard_columns(names, train)
+    df = spark.read.schema(input_schema(train)).option("header", True).option("enforceSchema", False).option("nullValue", "NA").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return nan_to_null(df)
+
+
+def guard_columns(names: list[str], train: bool) -> None:
+    """Raises if the forbidden column is there, if a training panel lacks the target or if a test panel has it."""
+    if FORBIDDEN in names:
+        raise ValueError(f"{FORBIDDEN} must not be in the inputs")
+    if train and TARGET not in names:
+        raise ValueError(f"the training panel has no {TARGET}")
+    if not train and TARGET in names:
+        raise ValueError(f"the test panel has {TARGET}")
+
+
+def write_parquet(df: DataFrame, path: str, narrow: bool = False) -> None:
+    """narrow: doubles are stored as floats, as the last step only."""
+    if narrow:
+        df = df.select([F.col(c).cast("float").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    df.write.mode("overwrite").parquet(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One file of text in any store that Spark can write."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(conf).create(to, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_registry(spark: SparkSession, families: dict[str, list[str]], path: str) -> None:
+    write_text(spark, json.dumps(families, indent=2), path)
+
+
+def read_registry(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """file, n_bytes and sha256 of each file's raw bytes; a file must fit a task's memory."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
