@@ -13,8 +13,7 @@ same bytes under the same name, so lost executors leave no broken shard.
 
 from __future__ import annotations
 
-import re
-import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,9 +26,26 @@ from pyspark.sql import functions as F
 
 from hourloom.llm.common import new_path, slices, texts, vocabulary
 
-#: Texts in which a single space or line feed between two other characters always ends a piece of the library's pattern; others are encoded whole.
-UNSAFE = re.compile("[\\x00-\\x09\\x0b-\\x1f\\x7f-\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2060\\u3000\\ufeff]|<\\||[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\Z")
-CACHED, SEQUENCE, ROWS, SHARD_BYTES = 300_000, 2048, 128, 64 << 20
+#: Marks that make a piece of their own after letters; scripts whose letters any version of Unicode agrees on end before BEYOND.
+MARKS, BEYOND = ".,;:!?", "\u0530"
+CACHED, SEQUENCE, ROWS, SHARD_BYTES = 200_000, 2048, 128, 64 << 20
+
+
+def byte_signs() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+def plain(text: str) -> bool:
+    """Whether each space and line feed stands alone between two visible characters: then a piece of the library's pattern always ends before it."""
+    return (
+        text.replace("\n", "").isprintable()
+        and not any(x in text for x in ("  ", " \n", "\n ", "\n\n", "<|"))
+        and text[:1] not in (" ", "\n")
+        and text[-1:] not in (" ", "\n")
+    )
 
 
 class Encoder:
@@ -45,10 +61,29 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.feed = self.library.encode("\n", add_special_tokens=False).ids
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.signs = byte_signs()
+        self.space, self.code = chr(self.signs[32]), "H" if self.dtype.itemsize == 2 else "I"
+
+    def word(self, word: str) -> bytes:
+        """A piece of letters, with or without a space before it, by the library's model alone."""
+        if (raw := self.words.get(word)) is None:
+            spelt = self.space + word[1:] if word.isascii() and word[0] == " " else word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
+            raw = self.words[word] = array(self.code, [t.id for t in self.library.model.tokenize(spelt)]).tobytes()
+        return raw
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces joined by line feeds; the feeds' ids part the result."""
-        lines = [x for x in pieces if x != "\n"]
+        """Words go to the model with the marks after them; others are encoded as they are, joined by line feeds whose ids part the result."""
+        lines = []
+        if len(self.words) > CACHED:
+            self.words = {}
+        for p in pieces:
+            core = p.rstrip(MARKS)
+            body = core[1:] if core[:1] == " " else core
+            if body.isalpha() and (body.isascii() or max(body) < BEYOND):
+                self.kept[p] = self.word(core) + self.word(p[len(core) :]) if len(core) < len(p) else self.word(core)
+            elif p != "\n":
+                lines.append(p)
         for i in range(0, len(lines), 2048):
             part = lines[i : i + 2048]
             ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
@@ -65,7 +100,7 @@ class Encoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, many: list[str]) -> list[bytes]:
-        cut = [None if UNSAFE.search(x) else x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if x else [] for x in many]
+        cut = [None if not plain(x) else x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if x else [] for x in many]
         if len(self.kept) > CACHED:
             self.kept = {}
         new = {p for x in cut if x for p in x}.difference(self.kept)
@@ -151,7 +186,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = 0, lengt
             at, rest = 0, bytearray()
             block = ROWS * length * width
             with pa.ipc.new_file(sink, schema) as out:
-                for b in slices(batches):
+                for b in slices(batches, 2 << 20):
                     each = [x + tail for x in enc.encode(texts(b.column(1)))]
                     sizes = np.array([len(x) // width for x in each], np.int64)
                     found.append((at + np.cumsum(sizes) - sizes, sizes, b.column(0)))
