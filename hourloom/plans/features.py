@@ -86,7 +86,7 @@ def build_features(panel: DataFrame, keep: tuple[str, ...] = ("id", TS, "_is_tra
     Two exchanges carry the rows: one to the hour, for the network and upwind columns, and one to (station, bucket of time), for
     all lags and windows. Rows that are to be split later must be in one panel, since test rows look back into training rows."""
     keep = tuple(c for c in keep if c in panel.columns)
-    base = panel.select(*keep, *[c for c in dict.fromkeys(["station", *POLLUTANTS, *WEATHER, "wd"]) if c not in keep])
+    base = panel.select(*dict.fromkeys([TS, *keep, "station", *POLLUTANTS, *WEATHER, "wd"]))
     hours = network.hours(base, readings=True)
     seen = upwind.with_upwind(base.join(hours, TS, "left"))
 
