@@ -3,7 +3,7 @@
 Overlapping heuristic labellers vote good, junk or nothing on every text. Expectation-maximisation over the counts of
 vote patterns, of all documents, estimates how each labeller votes on good and on junk texts and how common junk is; that gives
 each pattern a posterior label. The labels of at most SAMPLE documents, chosen by a hash of doc_id, train a linear
-scorer over hashed features (logistic loss; SHARDS models, trained on their own parts of the sample and averaged). The
+scorer over hashed features (logistic loss; up to SHARDS models, trained on their own parts of the sample, PER_SHARD documents or more, and averaged). The
 scorer judges all documents.
 
 Cases: a null text or one without a word is rejected with score 0 and takes no part in training; repeated rows count each; with
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from hourloom.llm.common import materialise, slices, texts
 
-SAMPLE, SHARDS, EPOCHS, DIMENSIONS, KEPT_WORDS = 20_000, 16, 4, 1 << 16, 200_000
+SAMPLE, SHARDS, PER_SHARD, EPOCHS, DIMENSIONS, KEPT_WORDS = 20_000, 16, 1000, 4, 1 << 16, 200_000
 SYMBOLS = "#*$%&|<>@^~"
 MEASURES = ("words", "symbols", "upper", "exclaims", "digits", "dup_lines", "tails", "stutter", "narrow")
 #: labeller: measure, below which it votes good, above which it votes junk.
@@ -164,6 +164,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str,
     good, _, _ = estimate(patterns)
     total = sum(patterns.values())
     share = min(1.0, sample / max(total, 1))
+    parts = max(1, min(SHARDS, min(total, sample) // PER_SHARD))
     held = spark.sparkContext.broadcast(good)
     unit = F.pmod(F.xxhash64(F.lit(1), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
     chosen = docs.select("doc_id", "text").filter(unit < share)
@@ -179,15 +180,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str,
             yield pa.record_batch([pa.array([r[0] for r in rows], b.column(0).type), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.float64())], names=["doc_id", "slots", "values", "good"])
 
     features = chosen.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, slots array<int>, values array<double>, good double")
-    features = features.withColumn("part", F.pmod(F.xxhash64(F.lit(2), F.col("doc_id")), F.lit(SHARDS)))
+    features = features.withColumn("part", F.pmod(F.xxhash64(F.lit(2), F.col("doc_id")), F.lit(parts)))
 
     def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
         w = train_part(rows.sort_values("doc_id", kind="stable"))
         at = np.flatnonzero(w)
         return pd.DataFrame({"slot": at, "w": w[at], "part": key[0]})
 
-    parts = features.groupBy("part").applyInPandas(fit, "slot long, w double, part long")  # the sample is bounded
-    found = materialise(parts, "weights")
+    fitted = features.groupBy("part").applyInPandas(fit, "slot long, w double, part long")  # the sample is bounded
+    found = materialise(fitted, "weights")
     n = max(1, found.select("part").distinct().count())
     weights = np.zeros(DIMENSIONS + 1)
     for r in found.groupBy("slot").agg((F.sum("w") / n).alias("w")).collect():  # at most DIMENSIONS + 1 rows
