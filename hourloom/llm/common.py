@@ -50,10 +50,18 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors, and gives the planner the true size."""
+#: Short rows that one task can take where materialise() is told how many there are at most.
+ROWS_PER_TASK = 200_000
+
+
+def materialise(df: DataFrame, what: str = "stage", rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage, survives lost executors, and gives the planner the true size.
+
+    rows: a bound of its (short) rows, which sets the number of the writing tasks, so small tables don't become many tiny files."""
     spark = df.sparkSession
     path = new_path(spark, what)
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,10 +6,11 @@ the earliest, and an element stops once its next arrival is later than all posit
 with the probability Jaccard similarity of their weighted shingles. Equal bands make candidates, which are compared exactly:
 texts link if their probability Jaccard, or the plain Jaccard of their shingle sets, is at least threshold.
 
-Texts with the same words are one class first; only one of them goes on. A band's bucket isn't paired within itself: all
-members are compared with one leader; while many remain apart from it, the least of them lead in turn; what few remain are
-compared with all members of other components. So every two members of a bucket are compared or already connected,
-and a bucket of near copies costs a row for each member. The class is the connected component of the links.
+Texts with the same words are one class, named by a 64-bit hash of them, and one of them stands for all. Classes that share
+buckets, directly or through others, are a family. A task takes a family and compares two members of a bucket unless links connect
+them already, so near copies need about one comparison each. A family above GROUP is dealt into blocks, twice in different
+ways; members of its buckets that are still apart from the bucket's main component are then compared with the members of all others, block
+against block or, where they are few, as pairs. So every two members of a bucket are compared or connected. The class is the connected component of the links.
 
 Cases: a text without words, or null, is a class of its own; a null doc_id counts as the smallest id; rows with one doc_id are
 judged by their own texts, repeated rows alike; an empty table gives an empty one; other columns stay in keep_one().
@@ -30,8 +31,10 @@ from hourloom.llm.components import components
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 POSITIONS = BANDS * ROWS
-#: Pairs whose signatures agree in less than this share are not compared: six standard deviations below the threshold.
-AGREE = 0.8 - 6 * (0.8 * 0.2 / POSITIONS) ** 0.5
+#: Most texts of a family that one task compares among each other.
+GROUP = 512
+#: Pairs whose signatures agree in less than this share are not compared: five standard deviations below the threshold.
+AGREE = 0.8 - 5 * (0.8 * 0.2 / POSITIONS) ** 0.5
 NULL_ID = -(1 << 63)
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -113,128 +116,194 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((xs / (only_x + high + q * (only_y + low))).sum()), plain
 
 
+def short(sig: np.ndarray) -> np.ndarray:
+    return (sig >> np.uint64(32)).astype("<u4")
+
+
+def banded(sig: np.ndarray) -> np.ndarray:
+    """A hash of each band's positions, and of which band it is."""
+    bands = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sig), 1))
+    for r in range(ROWS):
+        bands = mix(bands * P1 + sig[:, r::ROWS])
+    return bands.view(np.int64)
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc (the id, null: NULL_ID), h1 and h2 of the words, n shingles, signature (4 bytes a position) and bands, one row per row."""
+    """doc (the id, null: NULL_ID), h1 (a hash of the words, which names the class of equal texts), n shingles and bands, one row per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in slices(batches, 8 << 20):
             found = [shingler.shingles(t) for t in texts(b.column(1))]
             n = np.array([len(s) for s, _, _ in found], np.int64)
-            sig = np.zeros((len(found), POSITIONS), np.uint64)
-            sig[n > 0] = signatures([(s, c) for s, c, _ in found if len(s)])
-            bands = np.zeros((len(found), BANDS), np.uint64)
-            for r in range(ROWS):
-                bands = mix(bands * P1 + sig[:, r::ROWS])
-            yield pa.record_batch(
-                [
-                    b.column(0),
-                    *[pa.array([h[k] for _, _, h in found], pa.int64()) for k in (0, 1)],
-                    pa.array(n),
-                    pa.array([x.tobytes() for x in (sig >> np.uint64(32)).astype("<u4")], pa.binary()),
-                    pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
-                ],
-                names=["doc", "h1", "h2", "n", "sig", "bands"],
-            )
+            bands = np.zeros((len(found), BANDS), np.int64)
+            bands[n > 0] = banded(signatures([(s, c) for s, c, _ in found if len(s)]))
+            yield pa.record_batch([b.column(0), pa.array([h[0] for _, _, h in found], pa.int64()), pa.array(n), pa.array(list(bands), pa.list_(pa.int64()))], names=["doc", "h1", "n", "bands"])
 
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc"), "text")
-    return ids.mapInArrow(run, "doc long, h1 long, h2 long, n long, sig binary, bands array<long>")
+    return ids.mapInArrow(run, "doc long, h1 long, n long, bands array<long>")
 
 
-def profiles(docs: DataFrame) -> DataFrame:
-    """doc, shingles and counts (8 and 4 bytes each; counts empty if all are 1)."""
+def profiles(docs: DataFrame, family: DataFrame) -> DataFrame:
+    """node, family, signature, bands, shingles and counts (8 and 4 bytes each; counts empty if all are 1) of the nodes in family(doc, node, family)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in slices(batches, 8 << 20):
-            found = [shingler.shingles(t) for t in texts(b.column(1))]
-            yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s, _, _ in found], pa.binary()), pa.array([b"" if (c == 1).all() else c.astype("<u4").tobytes() for _, c, _ in found], pa.binary())], names=["doc", "shingles", "counts"])
-
-    return docs.select("doc", "text").mapInArrow(run, "doc long, shingles binary, counts binary")
-
+            rows = [(n, f, *shingler.shingles(t)) for n, f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)))]
+            rows = [r for r in rows if r[4][0] == r[0]]  # a doc_id's other texts aren't of the node
+            sig = signatures([(r[2], r[3]) for r in rows])
+            yield pa.record_batch(
+                [
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.array([x.tobytes() for x in short(sig)], pa.binary()),
+                    pa.array(list(banded(sig)), pa.list_(pa.int64())),
+                    pa.array([r[2].tobytes() for r in rows], pa.binary()),
+                    pa.array([b"" if (r[3] == 1).all() else r[3].astype("<u4").tobytes() for r in rows], pa.binary()),
+                ],
+                names=["node", "family", "sig", "bands", "shingles", "counts"],
+            )
 
-def agreeing(pairs: DataFrame, sigs: DataFrame, agree: float) -> DataFrame:
-    """The pairs a, b whose signatures agree in enough positions."""
+    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc"), "text")
+    # Both sides grow with the corpus: the same plan at every size.
+    joined = ids.join(family.hint("merge"), "doc").select("node", "family", "text")
+    return joined.mapInArrow(run, "node long, family long, sig binary, bands array<long>, shingles binary, counts binary")
+
+
+def profile(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    own = np.frombuffer(shingles, np.uint64)
+    return own, np.frombuffer(counts, "<u4") if counts else np.ones(len(own), np.uint32)
+
+
+def similar(x: tuple, y: tuple, threshold: float) -> bool:
+    return max(probability_jaccard(*profile(*x), *profile(*y))) >= threshold
+
+
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def connect(t: pa.Table, threshold: float, agree: float) -> pa.Table:
+    """Links that connect the rows of one group: every two rows that share a band are compared unless links connect them already.
+
+    Rows of side 0 and 1 are compared across only. A row meets all candidates of a bucket at once: the shingles of the row are marked,
+    and the marks are summed over the candidates' shingles; pairs with repeated shingles get the weighted measure too."""
+    node, label, side = (t.column(c).to_numpy() for c in ("node", "label", "side"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, POSITIONS)
+    held = list(zip(t.column("shingles").to_pylist(), t.column("counts").to_pylist()))
+    sizes = np.array([len(s) // 8 for s, _ in held])
+    weighted = np.array([bool(c) for _, c in held])
+    dense = np.unique(np.frombuffer(b"".join([s for s, _ in held]), np.uint64), return_inverse=True)[1]
+    own = np.split(dense, np.cumsum(sizes)[:-1])
+    marks = np.zeros(len(dense) + 1, np.int32)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    root = np.unique(label, return_inverse=True)[1]
+    across = bool((side != side[0]).any())
+    met = np.zeros((len(node), len(node)), bool)  # a group holds two blocks at most
+    a, b = [], []
+    for k in range(BANDS):
+        order = np.argsort(bands[:, k], kind="stable")
+        keys = bands[order, k]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        ends = np.r_[starts[1:], len(keys)]
+        for i, j in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+            bucket = order[i:j]
+            for place in range(1, len(bucket)):
+                x, before = int(bucket[place]), bucket[:place]
+                others = before[(root[before] != root[x]) & ~met[x, before] & ((side[before] != side[x]) if across else True)]
+                if not len(others):
+                    continue
+                met[x, others] = met[others, x] = True
+                others = others[(sig[others] == sig[x]).mean(1) >= agree]
+                if not len(others):
+                    continue
+                marks[own[x]] = 1
+                both = np.add.reduceat(marks[np.concatenate([own[y] for y in others])], np.cumsum(sizes[others]) - sizes[others])
+                marks[own[x]] = 0
+                plain = both >= threshold * (sizes[x] + sizes[others] - both)
+                for y, ok in zip(others.tolist(), plain.tolist()):
+                    if root[x] == root[y]:
+                        continue
+                    if not ok and (weighted[x] or weighted[y]):
+                        ok = similar(held[x], held[y], threshold)
+                    if ok:
+                        a.append(int(node[x]))
+                        b.append(int(node[y]))
+                        root[root == root[y]] = root[x]
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=EDGES)
+
+
+def compared(pairs: DataFrame, held: DataFrame, threshold: float, agree: float) -> DataFrame:
+    """The pairs a, b that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in batches:
-            if c.num_rows:
-                x, y = (np.frombuffer(b"".join(c.column(i).to_pylist()), "<u4").reshape(-1, POSITIONS) for i in (2, 3))
-                yield c.filter(pa.array((x == y).mean(1) >= agree)).select(["a", "b"])
-
-    left, right = sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
-
+            rows = zip(*[c.column(i).to_pylist() for i in range(2, 8)])
+            ok = [(np.frombuffer(p, "<u4") == np.frombuffer(q, "<u4")).mean() >= agree and similar((s, x), (t, y), threshold) for p, s, x, q, t, y in rows]
+            yield c.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-def linked(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b that are similar, by their profiles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def profile(s: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
-            own = np.frombuffer(s, np.uint64)
-            return own, np.frombuffer(c, "<u4") if c else np.ones(len(own), np.uint32)
-
-        for b in batches:
-            similar = [max(probability_jaccard(*profile(r[2], r[3]), *profile(r[4], r[5]))) >= threshold for r in zip(*[c.to_pylist() for c in b.columns])]
-            yield b.filter(pa.array(similar, pa.bool_())).select(["a", "b"])
-
-    side = lambda x: held.select(F.col("doc").alias(x), F.col("shingles").alias(f"s_{x}"), F.col("counts").alias(f"c_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "c_a", "s_b", "c_b")
+    names = ("sig", "shingles", "counts")
+    side = lambda x: held.select(F.col("node").alias(x), *[F.col(n).alias(f"{n}_{x}") for n in names]).dropDuplicates([x])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{n}_{x}" for x in "ab" for n in names])
     return both.mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, sigs: DataFrame, threshold: float, agree: float) -> tuple[DataFrame, DataFrame]:
-    """Links a, b between the documents of sigs, enough to connect all that are similar and share a bucket, and their components."""
-    rows = sigs.select("doc", F.posexplode("bands").alias("band", "key"))
-    leaders = rows.groupBy("band", "key").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    leaders = materialise(leaders.select("band", "key", "leader"), "buckets")
-    members = materialise(rows.join(leaders, ["band", "key"]), "members")
-    wanted = members.select("doc").distinct()
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc"), "text")
-    held = materialise(profiles(ids.join(wanted, "doc", "left_semi")).dropDuplicates(["doc"]), "profiles")
-    few = sigs.join(wanted, "doc", "left_semi").select("doc", "sig")
-
-    def compare(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).filter("a <> b").distinct()
-        return materialise(linked(agreeing(materialise(pairs, "pairs"), few, agree), held, threshold), "found")
-
-    def apart(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Components so far, and members with theirs and their first leader's."""
-        known = materialise(components(found), "components")
-        of = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-        out = members.join(of("doc"), "doc", "left").join(of("leader"), "leader", "left")
-        return known, out.select("band", "key", "doc", F.coalesce("c_doc", "doc").alias("c"), F.coalesce("c_leader", "leader").alias("c_leader"))
-
-    found = compare(members)
-    led = leaders.select("band", "key", F.col("leader").alias("doc"))
-    while True:
-        known, now = apart(found)
-        rest = materialise(now.filter("c <> c_leader").join(led, ["band", "key", "doc"], "left_anti"), "apart")
-        n_rest = rest.count()
-        if not n_rest:
-            return found, known
-        hot = materialise(now.join(rest.select("band", "key").distinct(), ["band", "key"], "left_semi"), "apart-buckets")
-        sizes = hot.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).join(rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("k")), ["band", "key"])
-        pairs_left = sizes.agg(F.sum(F.col("m") * F.col("k"))).first()[0]
-        last = pairs_left <= 32 * n_rest + 100_000
-        turn = rest.select("band", "key", F.col("doc").alias("leader"), F.col("c").alias("c_new"))
-        if not last:  # one more leader for each bucket
-            turn = turn.groupBy("band", "key").agg(F.min(F.struct("leader", "c_new")).alias("x")).select("band", "key", "x.leader", "x.c_new")
-        turn = materialise(turn, "turn")
-        found = found.union(compare(hot.join(turn, ["band", "key"]).filter("c <> c_new").select("doc", "leader")))
-        led = led.union(turn.select("band", "key", F.col("leader").alias("doc")))
-        if last:
-            return found, components(found)
-
-
-def classes(docs: DataFrame, threshold: float = THRESHOLD, agree: float = AGREE) -> DataFrame:
+def link(docs: DataFrame, sketches: DataFrame, threshold: float, agree: float, group: int = GROUP) -> DataFrame:
+    """node and component of texts, by their class hash, that link with others."""
+    rows = sketches.filter("n > 0").select(F.col("h1").alias("node"), F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
+    total = sketches.count()
+    buckets = materialise(buckets.select("key", "leader"), "buckets", BANDS * total)
+    members = materialise(rows.join(buckets, "key").distinct(), "members", BANDS * total)
+    few = members.count()
+    # Candidates: what shares buckets, directly or through others, is a family.
+    tree = materialise(components(members.select(F.col("node").alias("a"), F.col("leader").alias("b")), few), "tree", few)
+    family = tree.select("node", F.col("component").alias("family")).union(tree.select(F.col("component").alias("node"), F.col("component").alias("family")).distinct())
+    firsts = sketches.groupBy(F.col("h1").alias("node")).agg(F.min("doc").alias("doc"))
+    held = materialise(profiles(docs, materialise(firsts.join(family, "node"), "families", total)), "profiles")
+    sizes = materialise(held.groupBy("family").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > group), "large-families", total)
+
+    def blocks(frame: DataFrame, seed: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(F.lit(seed), "node"), F.coalesce(F.ceil(F.col("m") / group), F.lit(1)))
+        grouped = frame.withColumns({"block": block, "side": F.lit(0)}).groupBy("family", "block")
+        return materialise(grouped.applyInArrow(lambda t: connect(t, threshold, agree), "a long, b long"), "found")
+
+    found = blocks(held.join(sizes, "family", "left").withColumn("label", F.col("node")), 1)
+    if not sizes.limit(1).count():
+        return materialise(components(found, total), "components", total)
+    # Families above the size of a group were compared within blocks: again in other blocks, which joins most, and then the rest.
+    large = materialise(held.join(sizes, "family"), "large")
+    found = found.union(blocks(large.withColumn("label", F.col("node")), 2))
+    known = materialise(components(found, 2 * total), "components", total)
+    label = lambda frame: frame.join(known.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = members.join(large.select("node", "family", "m").distinct(), "node").select("key", "node", "family", "m")
+    own = materialise(label(own), "labelled", few)
+    most = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max(F.struct("k", "label")).alias("x"), F.sum("k").alias("size"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    most = materialise(most.select("key", F.col("x.label").alias("main"), "size"), "main", few)
+    apart = materialise(own.join(most, "key"), "apart", few)
+    # Families with more pairs left than block pairs have rows are compared block against block, the others pair by pair.
+    left = apart.filter("label <> main").groupBy("family").agg(F.sum("size").alias("pairs"), F.max("m").alias("m"))
+    left = materialise(left.withColumns({"n": F.ceil(F.col("m") / group).cast("int"), "dense": 2 * F.col("pairs") > F.col("m") * F.ceil(F.col("m") / group)}), "left", total)
+    block = F.pmod(F.xxhash64(F.lit(2), "node"), F.col("n")).cast("int")
+    dealt = label(large.drop("m").join(left.filter("dense").select("family", "n"), "family")).withColumn("own", block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).filter("own <> other")
+    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    rest = materialise(dealt.groupBy("family", "low", "high").applyInArrow(lambda t: connect(t, threshold, agree), "a long, b long"), "found")
+    sparse = apart.join(left.filter("NOT dense").select("family"), "family", "left_semi")
+    outer = sparse.filter("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("label_x"))
+    pairs = sparse.join(outer, "key").filter("label <> label_x").select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+    rest = rest.union(materialise(compared(materialise(pairs, "pairs"), large, threshold, agree), "found"))
+    return materialise(components(found.union(rest), 3 * total), "components", total)
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, agree: float = AGREE, group: int = GROUP) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest doc_id of its class) and n_shingles."""
-    sigs = materialise(sketch(docs), "sketches")
-    same = materialise(sigs.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep")), "classes")
-    first = sigs.join(same.withColumn("doc", F.col("rep")), ["h1", "h2", "doc"], "left_semi").dropDuplicates(["doc"])
-    _, known = link(docs, materialise(first.select("doc", "sig", "bands"), "first"), threshold, agree)
-    roots = materialise(same.join(known, same["rep"] == known["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("class")), "roots")
-    out = sigs.select("doc", "h1", "h2", "n").join(roots, ["h1", "h2"], "left").withColumn("class", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc")))
+    sketches = materialise(sketch(docs), "sketches")
+    known = link(docs, sketches, threshold, agree, group)
+    narrow = sketches.select("doc", F.col("h1").alias("node"), "n")
+    rooted = materialise(narrow.join(known, "node", "left").select("doc", "n", F.coalesce("component", "node").alias("root")), "rooted", sketches.count())
+    least = materialise(rooted.filter("n > 0").groupBy("root").agg(F.min("doc").alias("class")), "least", sketches.count())
+    out = rooted.join(least, "root", "left").withColumn("class", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc")))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("doc").alias("doc_id"), real("class").alias("class_id"), F.col("n").alias("n_shingles"))
 
