@@ -252,3 +252,10 @@ def test_hour_table_and_pivot(spark):
     assert row["network_PM10_range"] == 3 and row["network_PM10_median"] == 2.5
     wide = network.pivot_stations(p, "PM10", ["Dongsi", "Wanliu"]).orderBy("observation_timestamp").collect()
     assert wide[0]["Wanliu"] == 4 and wide[1]["Wanliu"] is None
+
+
+def test_every_family_has_its_note(spark):
+    from hourloom.plans import notes
+
+    assert {n.family for n in notes.NOTES} == set(features.families()) and len(notes.NOTES) == 19
+    assert notes.as_table(spark).count() == 19
