@@ -28,7 +28,7 @@ from hourloom.llm.common import new_path, slices, texts, vocabulary
 
 #: Marks that make a piece of their own after letters; scripts whose letters any version of Unicode agrees on end before BEYOND.
 MARKS, BEYOND = ".,;:!?", "\u0530"
-CACHED, SEQUENCE, ROWS, SHARD_BYTES = 200_000, 2048, 128, 64 << 20
+CACHED, SEQUENCE, ROWS, SHARD_BYTES = 300_000, 2048, 128, 64 << 20
 
 
 def byte_signs() -> dict[int, int]:
@@ -63,13 +63,14 @@ class Encoder:
         self.kept: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.signs = byte_signs()
+        self.tokenize = self.library.model.tokenize
         self.space, self.code = chr(self.signs[32]), "H" if self.dtype.itemsize == 2 else "I"
 
     def word(self, word: str) -> bytes:
         """A piece of letters, with or without a space before it, by the library's model alone."""
         if (raw := self.words.get(word)) is None:
             spelt = self.space + word[1:] if word.isascii() and word[0] == " " else word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
-            raw = self.words[word] = array(self.code, [t.id for t in self.library.model.tokenize(spelt)]).tobytes()
+            raw = self.words[word] = array(self.code, [t.id for t in self.tokenize(spelt)]).tobytes()
         return raw
 
     def learn(self, pieces: list[str]) -> None:
@@ -77,11 +78,12 @@ class Encoder:
         lines = []
         if len(self.words) > CACHED:
             self.words = {}
+        word, kept = self.word, self.kept
         for p in pieces:
             core = p.rstrip(MARKS)
             body = core[1:] if core[:1] == " " else core
             if body.isalpha() and (body.isascii() or max(body) < BEYOND):
-                self.kept[p] = self.word(core) + self.word(p[len(core) :]) if len(core) < len(p) else self.word(core)
+                kept[p] = word(core) if core == p else word(core) + word(p[len(core) :])
             elif p != "\n":
                 lines.append(p)
         for i in range(0, len(lines), 2048):
