@@ -2,13 +2,14 @@
 
 Vectors with equal components are one class with a count. A bounded sample fits coarse centroids and, in SUBSPACES parts of the
 residuals, codebooks; every class is then in the list of its nearest centroid, with its codes and the length of what
-the codes miss. As a query a class probes the lists whose border to its own list is near enough: a partner at cosine
-least lies within sqrt(2 - 2 least), and its share along the border's normal has a standard deviation of that over the root of
-the dimension; MARGIN deviations are probed. In a list, distances to codes come from a table per subspace and query; a code farther than
-the radius plus what it misses can't be a link, so this filter loses none. The rest is compared by exact cosine in doubles.
+the codes miss. A partner at cosine least lies within the radius sqrt(2 - 2 least). Where it is in another list, the distances of both
+to the border of the two lists add up to at most that, so one of them lies within half the radius: as a query a class probes the lists
+whose border is that near, whatever directions the vectors span, and a link that one side alone probes counts for both. In a list,
+distances to codes come from a table per subspace and query; a code farther than the radius plus what it misses can't be a link, so
+this filter loses none either. The rest is compared by exact cosine in doubles.
 
 Lists and their queries are dealt in blocks of bounded size, each pair of blocks a group, so a list with a third of all vectors
-covers many tasks. A group returns for each query the number of links, weighted by the classes' counts, and for each vector the root of its
+covers many tasks. A group returns for each vector the number of links that it counts there, weighted by the classes' counts, and the root of its
 links inside the group; no pair leaves it.
 
 Cases: vectors that are null, zero, hold null or non-finite components, or have another length than most, link with nothing; a
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from hourloom.llm.common import materialise
 from hourloom.llm.components import components
 
-LEAST, SAMPLE, PER_LIST, LISTS, SUBSPACES, CODES, MARGIN = 0.95, 20_000, 512, 4096, 8, 64, 3.0
+LEAST, SAMPLE, PER_LIST, LISTS, SUBSPACES, CODES = 0.95, 20_000, 512, 4096, 8, 64
 BLOCK, QUERIES, CHUNK = 2048, 4096, 256
 NULL_ID = -(1 << 63)
 
@@ -73,12 +74,13 @@ class Index:
         back = np.concatenate([k[codes[:, i]] for i, k in enumerate(self.books)], 1)
         return own, codes.astype(np.uint8), np.sqrt(((rest - back) ** 2).sum(1))
 
-    def probes(self, x: np.ndarray, own: np.ndarray, radius: float, margin: float) -> list[np.ndarray]:
+    def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+        """Whether a list's border to the own list lies within half the radius; rounding errors only add lists."""
         d = (self.centroids**2).sum(1)[None, :] - 2 * x @ self.centroids.T
-        share = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * self.between[own], 1e-12)
-        near = share <= margin * radius / x.shape[1] ** 0.5
+        share = (d - d[np.arange(len(x)), own][:, None]) / np.maximum(2 * self.between[own], 1e-6)
+        near = share <= radius / 2 + 1e-6
         near[np.arange(len(x)), own] = True
-        return [np.flatnonzero(r) for r in near]
+        return near
 
     def table(self, q: np.ndarray, which: int) -> list[np.ndarray]:
         """Squared distances of queries' residuals to each subspace's codes."""
@@ -116,10 +118,12 @@ def compare(table: pa.Table, index: Index, least: float, width: int) -> pa.Table
         return empty
     x, q = unit(rows.column("embedding"), width), unit(queries.column("embedding"), width)
     xi, qi = rows.column("node").to_numpy(), queries.column("node").to_numpy()
-    weight = rows.column("m").to_numpy()
+    weight, asked = rows.column("m").to_numpy(), queries.column("m").to_numpy()
+    home = queries.column("home").to_numpy()
+    probed = np.unpackbits(np.frombuffer(b"".join(rows.column("probed").to_pylist()), np.uint8).reshape(len(x), -1), 1)
     codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
     reach = ((2 - 2 * least) ** 0.5 + rows.column("missed").to_numpy() + 1e-3).astype(np.float32) ** 2
-    counted, links = np.zeros(len(q), np.int64), []
+    counted, back, links = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64), []
     nodes, inverse = np.unique(np.r_[xi, qi], return_inverse=True)
     root = np.arange(len(nodes))
     for i in range(0, len(q), CHUNK):
@@ -135,6 +139,8 @@ def compare(table: pa.Table, index: Index, least: float, width: int) -> pa.Table
         ok = (cosine >= least) & (qi[i + a] != xi[b])
         a, b = a[ok], b[ok]
         counted[i : i + CHUNK] = np.bincount(a, weight[b], len(part)).astype(np.int64)
+        alone = probed[b, home[i + a]] == 0  # the row doesn't ask for the query's list, so its link counts here
+        back += np.bincount(b[alone], asked[i + a[alone]], len(x)).astype(np.int64)
         # Only links that connect something new stay for the roots.
         u, v = inverse[len(x) + i + a], inverse[b]
         new = root[u] != root[v]
@@ -144,11 +150,12 @@ def compare(table: pa.Table, index: Index, least: float, width: int) -> pa.Table
             links = [(np.arange(len(nodes)), root)]
     n = np.zeros(len(nodes), np.int64)
     n[inverse[len(x) :]] = counted
+    n[inverse[: len(x)]] += back
     some = (n > 0) | (root != np.arange(len(nodes)))
     return pa.table({"node": pa.array(nodes[some]), "n": pa.array(n[some]), "root": pa.array(nodes[root[some]])})
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST, margin: float = MARGIN) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.coalesce(F.col("vec_id"), F.lit(NULL_ID)).alias("id"), F.col("embedding"))
@@ -167,7 +174,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, margin: float = MA
         index = Index.fit(unit(sample.column("embedding"), width), lists) if len(sample) else None
         while index is None:  # a hash that takes no row of a tiny table
             index = Index.fit(unit(distinct.select("embedding").limit(100).toArrow().column("embedding"), width), 1)
-        linked = link(distinct, index, least, margin, width)
+        linked = link(distinct, index, least, width)
         known = materialise(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector-components")
         sums = materialise(linked.groupBy("node").agg(F.sum("n").alias("n")), "vector-links")
         both = distinct.select("node", "h2", "rep", "m").join(sums, "node", "left").join(known, "node", "left")
@@ -182,7 +189,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, margin: float = MA
     return out.select(real(F.col("id")).alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), real(component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
-def link(distinct: DataFrame, index: Index, least: float, margin: float, width: int) -> DataFrame:
+def link(distinct: DataFrame, index: Index, least: float, width: int) -> DataFrame:
     """node, n and root, from every group in which a node has links."""
     held = distinct.sparkSession.sparkContext.broadcast(index)  # bounded by LISTS and CODES
     radius = (2 - 2 * least) ** 0.5
@@ -193,23 +200,23 @@ def link(distinct: DataFrame, index: Index, least: float, margin: float, width:
                 b = whole.slice(k, 4096)
                 x = unit(b.column("embedding"), width)
                 own, codes, missed = held.value.assign(x)
-                probes = held.value.probes(x, own, radius, margin)
+                probes = held.value.probes(x, own, radius)
                 yield pa.record_batch(
-                    [b.column("node"), b.column("m"), b.column("embedding"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed, pa.float64()), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))],
-                    names=["node", "m", "embedding", "list", "codes", "missed", "probes"],
+                    [b.column("node"), b.column("m"), b.column("embedding"), pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed, pa.float64()), pa.array([np.flatnonzero(p).astype(np.int32) for p in probes], pa.list_(pa.int32())), pa.array([p.tobytes() for p in np.packbits(probes, 1)], pa.binary())],
+                    names=["node", "m", "embedding", "list", "codes", "missed", "probes", "probed"],
                 )
 
     kind = dict(distinct.dtypes)["embedding"]
-    placed = materialise(distinct.select("node", "m", "embedding").mapInArrow(place, f"node long, m long, embedding {kind}, list int, codes binary, missed double, probes array<int>"), "placed")
+    placed = materialise(distinct.select("node", "m", "embedding").mapInArrow(place, f"node long, m long, embedding {kind}, list int, codes binary, missed double, probes array<int>, probed binary"), "placed")
     sizes = placed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     asked = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     plan = F.broadcast(materialise(sizes.join(asked, "list"), "blocks"))  # at most LISTS rows
     block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    stored = placed.join(plan, "list").withColumn("block", block("blocks")).withColumn("part", every("parts")).withColumn("side", F.lit(0))
-    asking = placed.select("node", "m", "embedding", F.explode("probes").alias("list")).join(plan, "list").withColumn("part", block("parts")).withColumn("block", every("blocks"))
-    asking = asking.withColumns({"side": F.lit(1), "codes": F.lit(None).cast("binary"), "missed": F.lit(None).cast("double")})
-    names = ["list", "block", "part", "side", "node", "m", "codes", "missed", "embedding"]
+    stored = placed.join(plan, "list").withColumn("block", block("blocks")).withColumn("part", every("parts")).withColumns({"side": F.lit(0), "home": F.col("list")})
+    asking = placed.select("node", "m", "embedding", F.col("list").alias("home"), F.explode("probes").alias("list")).join(plan, "list").withColumn("part", block("parts")).withColumn("block", every("blocks"))
+    asking = asking.withColumns({"side": F.lit(1), "codes": F.lit(None).cast("binary"), "missed": F.lit(None).cast("double"), "probed": F.lit(None).cast("binary")})
+    names = ["list", "block", "part", "side", "node", "m", "home", "codes", "missed", "probed", "embedding"]
     groups = stored.select(names).union(asking.select(names)).groupBy("list", "block", "part")
     return materialise(groups.applyInArrow(lambda t: compare(t, held.value, least, width), "node long, n long, root long"), "vector-roots")
 

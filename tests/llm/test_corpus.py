@@ -107,6 +107,19 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert got == brute_vectors(unit)
 
 
+@pytest.mark.parametrize("rank", [3, 16])
+def test_links_across_lists_of_low_rank_vectors(spark, monkeypatch, rank):
+    monkeypatch.setattr(vectors, "PER_LIST", 40)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(400, rank))
+    x = (np.concatenate([base, np.repeat(base, 3, 0) + 0.2 * rng.normal(size=(1200, rank))]) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    close = u @ u.T >= 0.95
+    root = vectors.roots(len(x), *np.nonzero(close))
+    got = vectors.query(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")).orderBy("vec_id").toPandas()
+    assert got.n_links.tolist() == (close.sum(1) - 1).tolist() and got.component_id.tolist() == root.tolist()
+
+
 def test_no_vectors(spark):
     assert vectors.query(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     one = vectors.query(spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<float>")).collect()
