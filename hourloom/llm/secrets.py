@@ -3,9 +3,11 @@
 Three patterns give the base spans: assign, access and hex. The lexer then reads source and configuration syntax around
 each = and : into pairs of a name and a value. A value is a chain of string literals, bare words and names joined by
 + or by standing next to each other. Names that were given constant values earlier in the text stand for
-those values, so password = part1 + part2 leads back to both literals. The words of the target name and the form of
-the whole literal give a score; from LEAST up every literal that went into the value is a span of kind lexed, unless a base
-span covers it.
+those values, so password = part1 + part2 leads back to both literals, also without blanks and as $part1, ${part1} or $(part1). A
+value refers to the constants in it and holds a digest of the whole literal, so constants made of constants stay small however many
+parts they have. A new value replaces the old one; = without a value that can be read ends it. The words of the target name and the
+form of the whole literal give a score; from LEAST up every literal that went into the value is a span of kind lexed, unless a base span
+covers it.
 
 Cases: null or empty texts have no spans; offsets are code points, ends exclusive; every row is searched for itself, so repeated
 rows and null ids change nothing; other columns are left out of the result.
@@ -31,20 +33,79 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a shorter run can't hold a match th
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 OPERATOR = re.compile(r"(?<![=!<>:+\-*/~^|&%])(?::=|=>|=(?![=~])|:(?![:/=]))")
-VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_$][\w.+/=$-]*))""", re.ASCII)
+VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|(\$\{\w+\}|\$\(\w+\)|[A-Za-z0-9_$][\w.+/=$-]*))""", re.ASCII)
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\\\n)?[ \t]*")
+#: After a name with $, a single point joins too, as in PHP.
+JOIN_NAMES = re.compile(r"[ \t]*(?:\+|\.\.?|\\\n)?[ \t]*")
+OPERAND = re.compile(r"\$?(?:(?!\.\$)[^+$])+")
 NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 STRONG = frozenset(("password", "passwd", "passphrase", "pwd", "secret", "token", "apikey", "credential", "credentials", "auth", "bearer"))
 WEAK = frozenset(("key", "pass", "pin", "salt", "cert", "private", "access", "signature", "session"))
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|undefined|your.*|.*example.*|changeme|todo|placeholder|test|dummy)$|\$\{|\{\{|^<|^%")
 LEAST = 4.0
+#: Distinct characters up to which a digest counts each by itself; beyond, characters share so many counts.
+COUNTS = 512
+#: What a digest keeps of both ends, and what is sought in any place or at the start of a literal that is longer than that.
+HEAD, EDGE = 16, 6
+ANYWHERE, START = re.compile(r"(?i)example|\$\{|\{\{"), re.compile(r"(?i)your|<|%")
+FORMS = (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum(), str.isspace)
 
 Span = tuple[int, int, int, float]  # kind, start, end, score
 
 
-def entropy(x: str) -> float:
-    return -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values()) if x else 0.0
+class Value:
+    """A literal that may consist of parts: its own spans, the constants it uses, and a digest of the whole."""
+
+    __slots__ = ("spans", "uses", "length", "counts", "head", "tail", "odd", "forms", "given")
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self.uses: list[Value] = []
+        self.length, self.counts, self.head, self.tail, self.odd, self.forms, self.given = 0, Counter(), "", "", False, 0, 0.0
+
+    def digest(self, length: int, counts: Counter, head: str, tail: str, odd: bool, forms: int) -> None:
+        self.forms |= forms
+        self.odd = self.odd or odd or bool(ANYWHERE.search(self.tail + head))
+        if len(self.head) < HEAD:
+            self.head = (self.head + head)[:HEAD]
+        self.tail = (self.tail + tail)[-EDGE:]
+        self.length += length
+        self.counts.update(counts)
+        if len(self.counts) > COUNTS:
+            folded = Counter()
+            for c, n in self.counts.items():
+                folded[chr(ord(c) % COUNTS)] += n
+            self.counts = folded
+
+    def write(self, start: int, end: int, text: str) -> None:
+        self.spans.append((start, end))
+        counts = Counter(text)
+        forms = sum(any(map(f, counts)) << i for i, f in enumerate(FORMS))
+        self.digest(len(text), counts, text[:HEAD], text[-EDGE:], bool(ANYWHERE.search(text)), forms)
+
+    def use(self, other: Value) -> None:
+        self.uses.append(other)
+        self.digest(other.length, other.counts, other.head, other.tail, other.odd, other.forms)
+
+    def placeholder(self) -> bool:
+        if self.odd or self.length <= HEAD:
+            return self.odd or bool(PLACEHOLDER.search(self.head))
+        return bool(START.match(self.head)) or any(self.counts.keys() <= same for same in ({"x", "X"}, {"*"}, {"."}))
+
+    def give(self, score: float, found: dict[tuple[int, int], float]) -> None:
+        """All spans of the value and of what it uses get the score; what has it or a higher one is passed over."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if value.given < score:
+                value.given = score
+                found.update({x: max(score, found.get(x, 0)) for x in value.spans if x[1] > x[0]})
+                todo += value.uses
+
+
+def entropy(counts: Counter, length: int) -> float:
+    return -sum(p * math.log2(p) for n in counts.values() if (p := n / length))
 
 
 def name_weight(name: str) -> float:
@@ -53,13 +114,13 @@ def name_weight(name: str) -> float:
     return 2.0 if joined & STRONG else 1.0 if joined & WEAK else 0.0
 
 
-def score(name: str, literal: str) -> float:
+def score(name: str, literal: Value) -> float:
     """Of a literal given to a name; 0 where the name isn't sensitive."""
     weight = name_weight(name)
-    if not weight or len(literal) < 6 or PLACEHOLDER.search(literal):
+    if not weight or literal.length < 6 or literal.placeholder():
         return 0.0
-    kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return weight + (len(literal) >= 8) + (len(literal) >= 20) + (kinds >= 2) + (entropy(literal) >= 3.0) - 3.0 * any(c.isspace() for c in literal)
+    kinds, space = (literal.forms & 15).bit_count(), literal.forms >> 4
+    return weight + (literal.length >= 8) + (literal.length >= 20) + (kinds >= 2) + (entropy(literal.counts, literal.length) >= 3.0) - 3.0 * space
 
 
 def base(text: str) -> list[Span]:
@@ -83,38 +144,57 @@ def target(text: str, at: int) -> str:
     return text[start:end]
 
 
+def operands(word: str, constants: dict[str, Value]) -> list[tuple[int, int, Value | None]]:
+    """What a bare word consists of: itself, or its parts at + and $ with the constants they name, if they name any."""
+    if word not in constants:
+        each = [(*o.span(), constants.get(o[0].strip("${}()"))) for o in OPERAND.finditer(word)]
+        if any(known for _, _, known in each):
+            return each
+    return [(0, len(word), constants.get(word))]
+
+
 def lexed(text: str) -> list[Span]:
     """Literals that reach a sensitive name, through constants if need be."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
+    constants: dict[str, Value] = {}
     found: dict[tuple[int, int], float] = {}
     done = 0
     for m in OPERATOR.finditer(text):
         if m.start() < done or not (name := target(text, m.start())):
             continue
-        parts: list[tuple[int, int, str]] = []
-        at, n = m.end(), 0
+        value, end, at, n = Value(), m.end(), m.end(), 0
         while v := VALUE.match(text, at):
-            group = v.lastindex
-            if group == 3 and v[3] in constants:
-                parts += constants[v[3]]
-            elif group != 3 or n == 0 or re.search(r"[0-9]", v[3]):
-                parts.append((*v.span(group), v[group]))
-            else:
+            group, first, at = v.lastindex, v.start(v.lastindex), v.end()
+            parts = operands(v[3], constants) if group == 3 else [(0, len(v[group]), None)]
+            more = True
+            for a, b, known in parts:
+                part = v[group][a:b]
+                if known:
+                    value.use(known)
+                    end = m.end()
+                elif group != 3 or not part.startswith(("${", "$(")) and (n == 0 or re.search(r"[0-9]", part)):
+                    value.write(first + a, first + b, part)
+                    end = first + b
+                else:
+                    more = False
+                    break
+                n += 1
+            if not more:
                 break
-            n += 1
-            at = v.end()
-            j = JOIN.match(text, at)
-            if group == 3 and not j[0].strip():
-                break  # bare words are joined by an operator only
+            names = group == 3 and parts[-1][2] is not None
+            marked = names and "$" in v[3]
+            j = (JOIN_NAMES if marked else JOIN).match(text, at)
+            if group == 3 and not (j[0].strip() or (names and v[3].endswith("+")) or (marked and not j[0])):
+                break  # bare words are joined by an operator, or names with $ by standing together
             at = j.end()
-        if not parts:
+        if not n:
+            if m[0] != ":":
+                constants.pop(name, None)  # what it holds now can't be read
             continue
-        done = max(m.end(), parts[-1][1] if parts[-1][0] >= m.end() else m.end())
-        if len(parts) <= 64:
-            constants[name] = parts
-        s = score(name, "".join([p[2] for p in parts]))
+        done = max(m.end(), end)
+        constants[name] = value
+        s = score(name, value)
         if s >= LEAST:
-            found.update({(a, b): max(s, found.get((a, b), 0)) for a, b, _ in parts if b > a})
+            value.give(s, found)
     return [(3, a, b, s) for (a, b), s in found.items()]
 
 

@@ -172,6 +172,21 @@ def test_lexer_follows_constants():
         assert found(t) == []
 
 
+def test_lexer_follows_every_constant():
+    found = lambda t: [t[a:b] for k, a, b, _ in secrets.spans(t) if k == 3]
+    parts = [f"Zk{i}q" for i in range(100)]
+    long = "x = " + " + ".join(f'"{p}"' for p in parts)
+    assert found(f'x = "oldVALUE123"\n{long}\ndb_pwd = x') == parts
+    assert found('x = "oldVALUE123"\nx = (\ndb_pwd = x') == []
+    two = 'part1 = "AbC12"\npart2 = "xyZ99q"\n'
+    for use in ("part1+part2", "part1 +part2", 'part1+""+part2', "$part1$part2", "${part1}${part2}", "$(part1)$(part2)", "$part1 . $part2", "$part1.$part2"):
+        assert found(f"{two}db_pwd={use}") == ["AbC12", "xyZ99q"], use
+    assert found(f'{two}db_pwd=part1+"Lit77"') == ["AbC12", "Lit77"]
+    assert found("db_pwd=abC1+deF2/x9") == ["abC1+deF2/x9"] and found("db_pwd=${UNKNOWN_NAME1}") == found("db_pwd=$(make_one 1)") == []
+    assert found('a = "your"\nb = "exam"\nc = "ple" + "Zx81kQpLmN"\ndb_pwd = a + c') == found('b = "Zexam"\ndb_pwd = b + "ple81kQpLmN"') == []
+    assert found('a = "Zx81kQpLmN"\n' + "a = a + a\n" * 3000 + "db_pwd = a\n" * 3000) == ["Zx81kQpLmN"]
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------------
 
 
