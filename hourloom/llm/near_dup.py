@@ -129,19 +129,19 @@ def banded(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc (the id, null: NULL_ID), h1 (a hash of the words, which names the class of equal texts), n shingles and bands, one row per row."""
+    """doc (the id, null: NULL_ID), raw (a hash of the text), h1 (a hash of the words, which names the class of equal texts), n shingles and bands, one row per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in slices(batches, 8 << 20):
-            found = [shingler.shingles(t) for t in texts(b.column(1))]
+            found = [shingler.shingles(t) for t in texts(b.column(2))]
             n = np.array([len(s) for s, _, _ in found], np.int64)
             bands = np.zeros((len(found), BANDS), np.int64)
             bands[n > 0] = banded(signatures([(s, c) for s, c, _ in found if len(s)]))
-            yield pa.record_batch([b.column(0), pa.array([h[0] for _, _, h in found], pa.int64()), pa.array(n), pa.array(list(bands), pa.list_(pa.int64()))], names=["doc", "h1", "n", "bands"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([h[0] for _, _, h in found], pa.int64()), pa.array(n), pa.array(list(bands), pa.list_(pa.int64()))], names=["doc", "raw", "h1", "n", "bands"])
 
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc"), "text")
-    return ids.mapInArrow(run, "doc long, h1 long, n long, bands array<long>")
+    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("raw"), "text")
+    return ids.mapInArrow(run, "doc long, raw long, h1 long, n long, bands array<long>")
 
 
 def profiles(docs: DataFrame, family: DataFrame) -> DataFrame:
@@ -296,16 +296,21 @@ def link(docs: DataFrame, sketches: DataFrame, threshold: float, agree: float, g
     return materialise(components(found.union(rest), 3 * total), "components", total)
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, agree: float = AGREE, group: int = GROUP) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest doc_id of its class) and n_shingles."""
+def judged(docs: DataFrame, threshold: float = THRESHOLD, agree: float = AGREE, group: int = GROUP) -> DataFrame:
+    """One row per row of docs: doc_id, raw (xxhash64 of its text), class_id (the smallest doc_id of its class) and n_shingles."""
     sketches = materialise(sketch(docs), "sketches")
     known = link(docs, sketches, threshold, agree, group)
-    narrow = sketches.select("doc", F.col("h1").alias("node"), "n")
-    rooted = materialise(narrow.join(known, "node", "left").select("doc", "n", F.coalesce("component", "node").alias("root")), "rooted", sketches.count())
+    narrow = sketches.select("doc", "raw", F.col("h1").alias("node"), "n")
+    rooted = materialise(narrow.join(known, "node", "left").select("doc", "raw", "n", F.coalesce("component", "node").alias("root")), "rooted", sketches.count())
     least = materialise(rooted.filter("n > 0").groupBy("root").agg(F.min("doc").alias("class")), "least", sketches.count())
     out = rooted.join(least, "root", "left").withColumn("class", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc")))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("doc").alias("doc_id"), real("class").alias("class_id"), F.col("n").alias("n_shingles"))
+    return out.select(real("doc").alias("doc_id"), "raw", real("class").alias("class_id"), F.col("n").alias("n_shingles"))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, agree: float = AGREE, group: int = GROUP) -> DataFrame:
+    """One row per row of docs: doc_id, class_id and n_shingles."""
+    return judged(docs, threshold, agree, group).drop("raw")
 
 
 def is_kept() -> Column:
@@ -313,9 +318,9 @@ def is_kept() -> Column:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose document is the first of its class."""
-    gone = materialise(classes(docs, threshold).filter(~is_kept()).select("doc_id").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """The rows of docs whose document is the first of their text's class."""
+    gone = materialise(judged(docs, threshold).filter(~is_kept()).select("doc_id", "raw").distinct(), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["raw"]), "left_anti")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -305,6 +305,13 @@ def test_near_copies_against_brute_force(spark, group):
     assert got == exact_classes(rows)
 
 
+def test_one_of_each_class_stays_where_ids_have_two_texts(spark):
+    a, b = PROSE, "Quite another text about the price of corn and of barley in the markets of the north last year."
+    df = docs(spark, [a, a, b, b, "own", None], doc_id=[1, 5, 5, 9, 5, 5]).withColumn("raw", F.lit("clash"))
+    got = near_dup.keep_one(df)
+    assert got.columns == df.columns and sorted((r["doc_id"], r["text"] or "") for r in got.collect()) == sorted([(1, a), (5, b), (5, "own"), (5, "")])
+
+
 def test_probability_jaccard_is_what_signatures_estimate():
     rng = np.random.default_rng(6)
     a, b = np.sort(rng.choice(1 << 40, 60, replace=False)).astype(np.uint64), None
