@@ -3,8 +3,9 @@
 A text's elements are its shingles of five words (a shorter text is one shingle), weighted by their number. Each
 element sends the arrivals of a Poisson process with its weight as rate to random positions of the signature; a position keeps
 the earliest, and an element stops once its next arrival is later than all positions hold. Two texts agree in a position
-with the probability Jaccard similarity of their weighted shingles. Equal bands make candidates, which are compared exactly:
-texts link if their probability Jaccard, or the plain Jaccard of their shingle sets, is at least threshold.
+with the probability Jaccard similarity of their weighted shingles. A text with repeated shingles has a second signature, in which every
+shingle counts once and positions agree with the plain Jaccard similarity of the sets; without repeats both would be the
+same. Equal bands, of either signature, make candidates, and those that agree enough in one of the two are compared exactly: texts link if their probability Jaccard, or the plain Jaccard of their shingle sets, is at least threshold.
 
 Texts with the same words are one class, named by a 64-bit hash of them, and one of them stands for all. Classes that share
 buckets, directly or through others, are a family. A task takes a family and compares two members of a bucket unless links connect
@@ -116,6 +117,12 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((xs / (only_x + high + q * (only_y + low))).sum()), plain
 
 
+def plain_signatures(each: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts have repeated shingles, and the signatures of these with every shingle counted once."""
+    which = np.flatnonzero([bool((c > 1).any()) for _, c in each])
+    return which, signatures([(each[i][0], np.ones_like(each[i][1])) for i in which])
+
+
 def short(sig: np.ndarray) -> np.ndarray:
     return (sig >> np.uint64(32)).astype("<u4")
 
@@ -129,30 +136,40 @@ def banded(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc (the id, null: NULL_ID), raw (a hash of the text), h1 (a hash of the words, which names the class of equal texts), n shingles and bands, one row per row."""
+    """doc (the id, null: NULL_ID), raw (a hash of the text), h1 (a hash of the words, which names the class of equal texts), n shingles and bands (of both signatures), one row per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in slices(batches, 8 << 20):
             found = [shingler.shingles(t) for t in texts(b.column(2))]
             n = np.array([len(s) for s, _, _ in found], np.int64)
+            each = [(s, c) for s, c, _ in found]
             bands = np.zeros((len(found), BANDS), np.int64)
-            bands[n > 0] = banded(signatures([(s, c) for s, c, _ in found if len(s)]))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([h[0] for _, _, h in found], pa.int64()), pa.array(n), pa.array(list(bands), pa.list_(pa.int64()))], names=["doc", "raw", "h1", "n", "bands"])
+            bands[n > 0] = banded(signatures([x for x in each if len(x[0])]))
+            bands = list(bands)
+            which, second = plain_signatures(each)
+            for i, more in zip(which, banded(second)):
+                bands[i] = np.r_[bands[i], more]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([h[0] for _, _, h in found], pa.int64()), pa.array(n), pa.array(bands, pa.list_(pa.int64()))], names=["doc", "raw", "h1", "n", "bands"])
 
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("raw"), "text")
     return ids.mapInArrow(run, "doc long, raw long, h1 long, n long, bands array<long>")
 
 
 def profiles(docs: DataFrame, family: DataFrame) -> DataFrame:
-    """node, family, signature, bands, shingles and counts (8 and 4 bytes each; counts empty if all are 1) of the nodes in family(doc, node, family)."""
+    """node, family, signature, bands, shingles and counts (8 and 4 bytes each) and the plain signature and its bands (counts and these empty if all counts are 1) of the nodes in family(doc, node, family)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for b in slices(batches, 8 << 20):
             rows = [(n, f, *shingler.shingles(t)) for n, f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)))]
             rows = [r for r in rows if r[4][0] == r[0]]  # a doc_id's other texts aren't of the node
-            sig = signatures([(r[2], r[3]) for r in rows])
+            each = [(r[2], r[3]) for r in rows]
+            sig = signatures(each)
+            plain, plain_bands = [b""] * len(rows), [[]] * len(rows)
+            which, second = plain_signatures(each)
+            for i, x, k in zip(which, short(second), banded(second)):
+                plain[i], plain_bands[i] = x.tobytes(), k
             yield pa.record_batch(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
@@ -161,14 +178,16 @@ def profiles(docs: DataFrame, family: DataFrame) -> DataFrame:
                     pa.array(list(banded(sig)), pa.list_(pa.int64())),
                     pa.array([r[2].tobytes() for r in rows], pa.binary()),
                     pa.array([b"" if (r[3] == 1).all() else r[3].astype("<u4").tobytes() for r in rows], pa.binary()),
+                    pa.array(plain, pa.binary()),
+                    pa.array(plain_bands, pa.list_(pa.int64())),
                 ],
-                names=["node", "family", "sig", "bands", "shingles", "counts"],
+                names=["node", "family", "sig", "bands", "shingles", "counts", "plain_sig", "plain_bands"],
             )
 
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc"), "text")
     # Both sides grow with the corpus: the same plan at every size.
     joined = ids.join(family.hint("merge"), "doc").select("node", "family", "text")
-    return joined.mapInArrow(run, "node long, family long, sig binary, bands array<long>, shingles binary, counts binary")
+    return joined.mapInArrow(run, "node long, family long, sig binary, bands array<long>, shingles binary, counts binary, plain_sig binary, plain_bands array<long>")
 
 
 def profile(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +199,13 @@ def similar(x: tuple, y: tuple, threshold: float) -> bool:
     return max(probability_jaccard(*profile(*x), *profile(*y))) >= threshold
 
 
+def agreement(x: tuple[bytes, bytes], y: tuple[bytes, bytes]) -> float:
+    """The larger agreement of signatures and of plain signatures (empty: the same as the signature)."""
+    equal = lambda p, q: float((np.frombuffer(p, "<u4") == np.frombuffer(q, "<u4")).mean())
+    first = equal(x[0], y[0])
+    return max(first, equal(x[1] or x[0], y[1] or y[0])) if x[1] or y[1] else first
+
+
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -194,9 +220,15 @@ def connect(t: pa.Table, threshold: float, agree: float) -> pa.Table:
     sizes = np.array([len(s) // 8 for s, _ in held])
     weighted = np.array([bool(c) for _, c in held])
     dense = np.unique(np.frombuffer(b"".join([s for s, _ in held]), np.uint64), return_inverse=True)[1]
+    repeats = np.flatnonzero(weighted)
+    plain_sig = sig.copy()
+    plain_sig[repeats] = np.frombuffer(b"".join(t.column("plain_sig").to_pylist()), "<u4").reshape(-1, POSITIONS)
     own = np.split(dense, np.cumsum(sizes)[:-1])
     marks = np.zeros(len(dense) + 1, np.int32)
     bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    # The bands of both signatures, and the rows that they are of.
+    bands = np.concatenate([bands, t.column("plain_bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)])
+    of = np.r_[np.arange(len(node)), repeats]
     root = np.unique(label, return_inverse=True)[1]
     across = bool((side != side[0]).any())
     met = np.zeros((len(node), len(node)), bool)  # a group holds two blocks at most
@@ -207,14 +239,19 @@ def connect(t: pa.Table, threshold: float, agree: float) -> pa.Table:
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         ends = np.r_[starts[1:], len(keys)]
         for i, j in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-            bucket = order[i:j]
+            bucket = of[order[i:j]]
+            if len(repeats):
+                bucket = np.unique(bucket)
             for place in range(1, len(bucket)):
                 x, before = int(bucket[place]), bucket[:place]
                 others = before[(root[before] != root[x]) & ~met[x, before] & ((side[before] != side[x]) if across else True)]
                 if not len(others):
                     continue
                 met[x, others] = met[others, x] = True
-                others = others[(sig[others] == sig[x]).mean(1) >= agree]
+                near = (sig[others] == sig[x]).mean(1)
+                if weighted[x] or weighted[others].any():
+                    near = np.maximum(near, (plain_sig[others] == plain_sig[x]).mean(1))
+                others = others[near >= agree]
                 if not len(others):
                     continue
                 marks[own[x]] = 1
@@ -238,11 +275,11 @@ def compared(pairs: DataFrame, held: DataFrame, threshold: float, agree: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in batches:
-            rows = zip(*[c.column(i).to_pylist() for i in range(2, 8)])
-            ok = [(np.frombuffer(p, "<u4") == np.frombuffer(q, "<u4")).mean() >= agree and similar((s, x), (t, y), threshold) for p, s, x, q, t, y in rows]
+            rows = zip(*[c.column(i).to_pylist() for i in range(2, 10)])
+            ok = [agreement((p, u), (q, v)) >= agree and similar((s, x), (t, y), threshold) for p, s, x, u, q, t, y, v in rows]
             yield c.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    names = ("sig", "shingles", "counts")
+    names = ("sig", "shingles", "counts", "plain_sig")
     side = lambda x: held.select(F.col("node").alias(x), *[F.col(n).alias(f"{n}_{x}") for n in names]).dropDuplicates([x])
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{n}_{x}" for x in "ab" for n in names])
     return both.mapInArrow(run, "a long, b long")
@@ -253,8 +290,8 @@ def link(docs: DataFrame, sketches: DataFrame, threshold: float, agree: float, g
     rows = sketches.filter("n > 0").select(F.col("h1").alias("node"), F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
     total = sketches.count()
-    buckets = materialise(buckets.select("key", "leader"), "buckets", BANDS * total)
-    members = materialise(rows.join(buckets, "key").distinct(), "members", BANDS * total)
+    buckets = materialise(buckets.select("key", "leader"), "buckets", 2 * BANDS * total)
+    members = materialise(rows.join(buckets, "key").distinct(), "members", 2 * BANDS * total)
     few = members.count()
     # Candidates: what shares buckets, directly or through others, is a family.
     tree = materialise(components(members.select(F.col("node").alias("a"), F.col("leader").alias("b")), few), "tree", few)

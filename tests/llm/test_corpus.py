@@ -305,6 +305,20 @@ def test_near_copies_against_brute_force(spark, group):
     assert got == exact_classes(rows)
 
 
+@pytest.mark.parametrize("group", [4, 512])
+def test_copies_that_differ_in_repetition_only(spark, group):
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(8):
+        w = [f"v{i}x{j}" for j in range(100)]
+        cut = " ".join(w[:-3])
+        texts += [" ".join(w), " ".join(w + w[:24] * 50), " ".join(w[:-3] + w[40:64] * int(rng.integers(30, 60))), cut]
+    rows = list(enumerate(texts, 1))
+    want = exact_classes(rows)
+    assert len(set(want.values())) == 8
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs(spark, texts), group=group).collect()} == want
+
+
 def test_one_of_each_class_stays_where_ids_have_two_texts(spark):
     a, b = PROSE, "Quite another text about the price of corn and of barley in the markets of the north last year."
     df = docs(spark, [a, a, b, b, "own", None], doc_id=[1, 5, 5, 9, 5, 5]).withColumn("raw", F.lit("clash"))
