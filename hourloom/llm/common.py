@@ -38,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where the setting is missing, as in tests."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where the setting is missing, a temporary one, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -80,11 +82,41 @@ def vocabulary(name: str) -> str:
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about size bytes, so what a task builds for a slice stays bounded whatever a text's length."""
+    """The same rows in slices of about size bytes, so what a task builds for a slice stays bounded whatever a text's length.
+
+    Workers live on between tasks: what Arrow's pool has kept goes back to the system at the end."""
     for b in batches:
         rows = max(1, int(b.num_rows * size / max(b.nbytes, 1)))
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+
+
+class Recent:
+    """Results by key in two generations bounded by bytes: when the young one is full it becomes the old one, and what is used again moves on.
+
+    look() makes every key of a batch known, so young holds them all until settle()."""
+
+    def __init__(self, most: int):
+        self.most, self.size = most, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def look(self, keys: set) -> list:
+        """The keys that neither generation has."""
+        new = keys.difference(self.young)
+        known = new.intersection(self.old)
+        self.add({k: self.old[k] for k in known}, 0)
+        return list(new.difference(known))
+
+    def add(self, found: dict, size: int) -> None:
+        """size: bytes of the values; keys count with their length and each entry with 150 bytes."""
+        self.young.update(found)
+        self.size += size + sum(map(len, found)) + 150 * len(found)
+
+    def settle(self) -> None:
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -1,14 +1,14 @@
 """Operator 6: SentencePiece encoding and decoding for merge-type vocabularies.
 
-A text becomes a space mark, then itself with spaces as marks (the identity normaliser with a dummy prefix). No piece of
-such a vocabulary holds a mark after another character, so a mark after another character always starts a new segment and
-segments are encoded alone. In a segment an agenda of adjacent symbol pairs, ordered by score and then by place, gives the
-next pair to join; stale entries are skipped. Characters without a piece become their UTF-8 bytes' pieces. Decoding joins
-the surfaces of ids, turns byte pieces back into text, marks into spaces, and drops the dummy prefix.
+A text becomes a space mark, then itself with spaces as marks (the identity normaliser with a dummy prefix). Two characters that no
+piece of the vocabulary holds side by side are never joined, so texts are cut between them and segments are encoded alone. In a
+segment an agenda of adjacent symbol pairs, ordered by score and then by place, gives the next pair to join: a plain list for
+short segments, a heap whose stale entries are skipped for long ones. Characters without a piece become their UTF-8 bytes' pieces.
+Decoding joins the surfaces of ids, turns byte pieces back into text, marks into spaces, and drops the dummy prefix.
 
-Segments are encoded once per worker while they stay in a bounded cache. Every segment that enters it is also encoded by
-the sentencepiece library, in one call for each Arrow batch, and so is the first whole text of a batch. Where the two differ
-the library's ids hold, and n_differ counts the segments; it is 0 for the public vocabulary.
+Segments are encoded once per worker while they stay among the recent ones, which are bounded by bytes. Every segment that enters is
+also encoded by the sentencepiece library, in one call for each Arrow batch, and so is the first whole text of a batch. Where
+the two differ the library's ids hold, and n_differ counts the segments; it is 0 for the public vocabulary.
 
 Cases: a null or empty text has no ids and decodes to the empty text; a text's own mark characters decode to spaces, as in
 the library; other columns and repeated rows stay as they are, but for ids, decoded and n_differ, which are replaced.
@@ -17,8 +17,9 @@ the library; other columns and repeated rows stay as they are, but for ids, deco
 from __future__ import annotations
 
 import heapq
-import re
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import slices, texts, vocabulary
+from hourloom.llm.common import Recent, slices, texts, vocabulary
 
-MARK, CACHED = "▁", 200_000
-SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+MARK = "▁"
+#: Bytes of kept segments per worker, in each of two generations; symbols up to which an agenda is a plain list.
+KEPT, SHORT = 24 << 20, 32
+#: Characters from this one on count as one in the table of pairs; the mark has a place of its own after it.
+TOP = 1 << 11
+NEVER = float("inf")
 
 
 class Pieces:
@@ -42,72 +47,114 @@ class Pieces:
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.id = {sp.id_to_piece(i): i for i in plain}
         self.score = {sp.id_to_piece(i): -sp.get_score(i) for i in plain}
-        self.surface = {i: p.encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in self.byte.items()}
+        self.surface = {i: p for p, i in self.id.items()}
+        self.raw = {i: bytes([b]) for b, i in self.byte.items()}
         self.unknown = sp.unk_id()
-        self.kept: dict[str, tuple[bytes, str, int]] = {}
-        if any(MARK in p.lstrip(MARK) for p in self.id):
-            raise ValueError("a piece has a space mark after another character: texts can't be cut at marks")
+        self.recent = Recent(KEPT)
+        self.pairs = np.zeros((TOP + 2, TOP + 2), bool)
+        self.pairs[TOP, TOP:], self.pairs[TOP:, TOP] = True, True
+        for p in self.id:
+            at = self.places(p)
+            self.pairs[at[:-1], at[1:]] = True
+        if self.pairs[10].any() or self.pairs[:, 10].any():
+            raise ValueError("a piece has a line feed beside another character: segments can't be checked one by one")
+        self.before = self.library.encode("\n")  # what a line feed leaves before a segment
+
+    @staticmethod
+    def places(text: str) -> np.ndarray:
+        """Each character's place in the table of pairs."""
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        return np.where(c == ord(MARK), TOP + 1, np.minimum(c, TOP))
 
     def encode_segment(self, segment: str) -> list[int]:
-        """The agenda: (negative score, place) of pairs of neighbours that form a piece."""
-        symbols, score = list(segment), self.score
-        end = len(symbols)
+        """The agenda: scores of the pairs of neighbours that form a piece, best first, then leftmost."""
+        symbols, score = list(segment), self.score.get
+        if len(symbols) <= SHORT:
+            agenda = [score(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+            while agenda and (best := min(agenda)) < NEVER:
+                i = agenda.index(best)
+                symbols[i] += symbols.pop(i + 1)
+                del agenda[i]
+                if i < len(agenda):
+                    agenda[i] = score(symbols[i] + symbols[i + 1], NEVER)
+                if i:
+                    agenda[i - 1] = score(symbols[i - 1] + symbols[i], NEVER)
+        else:
+            symbols = self.long_agenda(symbols)
+        own = self.id.get
+        out: list[int] = []
+        for x in symbols:
+            if (i := own(x)) is not None:
+                out.append(i)
+            else:
+                out += [self.byte[b] for b in x.encode()] if self.byte else [self.unknown]
+        return out
+
+    def long_agenda(self, symbols: list[str]) -> list[str]:
+        """The same with a heap and a linked list, where entries of pairs that are gone are skipped: n log n steps."""
+        score, end = self.score.get, len(symbols)
         before, after = list(range(-1, end - 1)), list(range(1, end + 1))
-        agenda = [(s, i, p) for i in range(end - 1) if (s := score.get(p := symbols[i] + symbols[i + 1])) is not None]
+        agenda = [(s, i, p) for i in range(end - 1) if (s := score(p := symbols[i] + symbols[i + 1])) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, i, piece = heapq.heappop(agenda)
             j = after[i]
             if not symbols[i] or j >= end or symbols[i] + symbols[j] != piece:
-                continue  # one of the two was joined meanwhile
+                continue
             symbols[i], symbols[j] = piece, ""
             after[i] = k = after[j]
             if k < end:
                 before[k] = i
-                if (s := score.get(p := piece + symbols[k])) is not None:
+                if (s := score(p := piece + symbols[k])) is not None:
                     heapq.heappush(agenda, (s, i, p))
-            if (h := before[i]) >= 0 and (s := score.get(p := symbols[h] + piece)) is not None:
+            if (h := before[i]) >= 0 and (s := score(p := symbols[h] + piece)) is not None:
                 heapq.heappush(agenda, (s, h, p))
-        out: list[int] = []
-        for x in symbols:
-            if x:
-                if (i := self.id.get(x)) is not None:
-                    out.append(i)
-                else:
-                    out += [self.byte[b] for b in x.encode()] if self.byte else [self.unknown]
-        return out
+        return [x for x in symbols if x]
 
     def decode_segment(self, ids: list[int]) -> str:
-        return b"".join([self.surface[i] if i in self.surface else " ⁇ ".encode() for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+        try:
+            return "".join(map(self.surface.__getitem__, ids)).replace(MARK, " ")
+        except KeyError:  # bytes, or no piece at all
+            raw = [self.raw[i] if i in self.raw else self.surface.get(i, " ⁇ ").encode() for i in ids]
+            return b"".join(raw).decode("utf-8", "replace").replace(MARK, " ")
 
     def learn(self, segments: list[str]) -> None:
-        own = [self.encode_segment(x) for x in segments]
-        checked = [i for i, x in enumerate(segments) if len(x) > 1]  # a lone mark can't be given to the library
-        differ = dict.fromkeys(range(len(segments)), 0)
-        for i, ids in zip(checked, self.library.encode([segments[i][1:].replace(MARK, " ") for i in checked], num_threads=1)):
-            if ids != own[i]:
-                own[i], differ[i] = ids, 1
-        self.kept.update((x, (np.array(ids, "<i4").tobytes(), self.decode_segment(ids), differ[i])) for i, (x, ids) in enumerate(zip(segments, own)))
-
-    def cut(self, text: str) -> list[str]:
-        if not text:
-            return []
-        marked = MARK + text.replace(" ", MARK)
-        return SEGMENT.findall(marked) if MARK + MARK in marked or "\0" in marked else marked.replace(MARK, "\0" + MARK).split("\0")[1:]
+        """Segments go to the library after a line feed, whose ids come first in what it returns."""
+        found, skip = {}, len(self.before)
+        for x, theirs in zip(segments, self.library.encode(["\n" + x.replace(MARK, " ") for x in segments], num_threads=1)):
+            own = self.encode_segment(x)
+            differ = 0
+            if theirs[skip:] != own:
+                own, differ = theirs[skip:], 1
+            found[x] = (array("i", own).tobytes(), self.decode_segment(own), differ)
+        self.recent.add(found, sum(len(v[0]) + len(v[1]) for v in found.values()))
+
+    def cut(self, many: list[str]) -> tuple[list[str], list[int]]:
+        """Segments of all texts, and how many of them each text has."""
+        marked = [MARK + x.replace(" ", MARK) if x else "" for x in many]
+        whole = "".join(marked)
+        if not whole:
+            return [], [0] * len(many)
+        at = self.places(whole)
+        cuts = np.r_[True, ~self.pairs[at[:-1], at[1:]], True]
+        starts = np.cumsum([0, *map(len, marked)])
+        cuts[starts] = True
+        places = np.flatnonzero(cuts)
+        ends = places.tolist()
+        return [whole[a:b] for a, b in zip(ends, ends[1:])], np.diff(np.searchsorted(places, starts)).tolist()
 
     def encode(self, many: list[str]) -> list[tuple[bytes, str, int]]:
         """Ids as bytes, decoded text, and segments for which the library had other ids."""
-        cut = [self.cut(x) for x in many]
-        if len(self.kept) > CACHED:
-            self.kept = {}
-        if new := {p for x in cut for p in x}.difference(self.kept):
-            self.learn(list(new))
-        kept, out = self.kept, []
-        for x in cut:
-            each = [kept[p] for p in x]
-            out.append((b"".join([e[0] for e in each]), "".join([e[1] for e in each])[1:], sum([e[2] for e in each])))
+        segments, sizes = self.cut(many)
+        if new := self.recent.look(set(segments)):
+            self.learn(new)
+        out, each = [], map(self.recent.young.__getitem__, segments)
+        for n in sizes:
+            ids, decoded, differ = zip(*islice(each, n)) if n else ((), (), ())
+            out.append((b"".join(ids), "".join(decoded)[1:], sum(differ)))
         if many and (ids := self.library.encode(many[0])) != np.frombuffer(out[0][0], "<i4").tolist():
             out[0] = (np.array(ids, "<i4").tobytes(), self.library.decode(ids), out[0][2] + 1)
+        self.recent.settle()
         return out
 
 
