@@ -68,6 +68,21 @@ def materialise(df: DataFrame, what: str = "stage", rows: int | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes to clash with no column."""
+    taken, lead = {c.lower() for c in columns}, "_"
+    while any(c.startswith(lead) for c in taken):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """docs with the columns of these names renamed, and what selects the columns of docs again from a result that has kept the others."""
+    clash = [c for c in docs.columns if c.lower() in names]
+    apart = dict(zip(clash, unused(docs.columns, *clash)))
+    return docs.withColumnsRenamed(apart), [F.col(f"`{apart.get(c, c)}`").alias(c) for c in docs.columns]
+
+
 def uniform(*parts) -> F.Column:
     """A number strictly between 0 and 1 from the md5 of the parts joined by ':' (13 hex digits, so exact in a double)."""
     text = F.concat_ws(":", *[p.cast("string") if isinstance(p, F.Column) else F.lit(str(p)) for p in parts])

@@ -11,8 +11,8 @@ last run of a partition may go on in another; their rows leave as open ones, and
 settles them. Drops meet again per document as zlib-compressed bitmaps with one bit for each line, 1 to keep.
 
 Cases: a null or empty text is one empty line; a null doc_id counts as one document, smaller than the others; rows with one
-doc_id and other texts count as one document and keep bitmaps of their own; repeated rows are alike; an empty table gives an
-empty one; other columns stay.
+doc_id and other texts count as one document and keep bitmaps of their own; repeated rows are alike; a very long text is split in its
+own row's task; an empty table gives an empty one; other columns stay, whatever their names, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import materialise, slices
+from hourloom.llm.common import materialise, slices, unused
 
 MIN_CHARS, MIN_DOCS = 40, 5
 UPPER, LOWER, SPACES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", " \t\n\x0b\x0c\r"
@@ -36,9 +36,9 @@ FIELDS = ("h1", "h2", "doc", "row", "pos", "kind")
 SCHEMA = pa.schema([(x, pa.int64()) for x in FIELDS])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, doc: str = "doc", row: str = "row") -> DataFrame:
     """doc and row, which name a row of documents in what follows: the id (null: NULL_ID) and a hash of the text."""
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), "row": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    return docs.withColumns({doc: F.coalesce(F.col("doc_id"), F.lit(NULL_ID)), row: F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
 
 
 def keys(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -141,26 +141,27 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with the lines gone from text, and n_lines (before) and n_dropped."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("doc", "row", "keep", "n_lines", "n_dropped")])
-    maps = keep_bitmaps(docs, min_chars, min_docs)
-    both = keyed(docs).join(maps, ["doc", "row"], "left").drop("doc", "row")
+    """docs with the lines gone from text, and n_lines (before) and n_dropped, which replace columns of these names."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
+    doc, row, keep = unused(docs.columns, "doc", "row", "keep")
+    maps = keep_bitmaps(docs, min_chars, min_docs).withColumnsRenamed({"doc": doc, "row": row, "keep": keep})
+    both = keyed(docs, doc, row).join(maps, [doc, row], "left").drop(doc, row)
     lines = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)).cast("bigint")
-    both = both.select(*docs.columns, lines.alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), "keep")
+    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], lines.alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), keep)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in slices(batches):
             out = []
-            for text, keep in zip(c.column(at).to_pylist(), c.column(c.num_columns - 1).to_pylist()):
-                if keep is not None:
-                    text = "\n".join(kept(text.split("\n"), keep))
+            for text, bits in zip(c.column(at).to_pylist(), c.column(c.num_columns - 1).to_pylist()):
+                if bits is not None:
+                    text = "\n".join(kept(text.split("\n"), bits))
                 out.append(text)
             columns = list(c.columns[:-1])
             columns[at] = pa.array(out, pa.string())
             yield pa.record_batch(columns, names=c.schema.names[:-1])
 
-    return both.mapInArrow(run, both.drop("keep").schema)
+    return both.mapInArrow(run, both.drop(keep).schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ the sum of several independent parts of at most PART each, which keeps exp(-rate
 
 Cases: a null source is a source of its own; null or empty texts count as one character, so no rate divides
 by zero; a null doc_id hashes as the empty string; repeated rows get the same count each; a source whose
-target weight is missing or not above 0 gets no copies; an empty table gives an empty one. Columns named like
-those added here are replaced.
+target weight is missing or not above 0 gets no copies; a very long text moves with its copies, which are rows of their own; an
+empty table gives an empty one; other columns stay, whatever their names, but for mix_copy, mix_copies and mix_key, which are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import materialise
+from hourloom.llm.common import materialise, unused
 
 PART = 64.0
 
@@ -55,27 +55,33 @@ def with_tables(rates: DataFrame) -> DataFrame:
     )
 
 
-def copies(seed: int, doc_id: Column) -> Column:
-    """Copies of a document from the columns parts and cdf."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"))
-
-    def one(j: Column) -> Column:
-        u = (F.conv(F.substring(F.md5(F.concat(key, j.cast("string")).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
-        return F.size(F.filter("cdf", lambda c: c <= u))
-
-    return F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, j: n + one(j))
+def copies(seed: int, doc_id: Column, cdf: Column, part: Column) -> Column:
+    """Copies of a document in one of its source's parts."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), part.cast("string"))
+    u = (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(16**13)
+    return F.size(F.filter(cdf, lambda c: c <= u))
 
 
 def poisson_mix(docs: DataFrame, weights: dict | None = None, alpha: float = 0.5, total: float = 1.0, seed: int = 8) -> DataFrame:
     """Every column of docs, once per copy, with mix_copy (from 0), mix_copies and mix_key, the random order of the whole result.
 
     Rows leave in hashed partitions, sorted by mix_key in each. The table of rates has one short row per source; it is
-    written first, so the planner sees its size and broadcasts it only below spark.sql.autoBroadcastJoinThreshold."""
+    written first, so the planner sees its size and broadcasts it only below spark.sql.autoBroadcastJoinThreshold. Where a source's
+    rate has several parts, its rows are exploded by part and dealt anew before the copies are made, so a task makes few of them for each row."""
     rates = materialise(with_tables(source_rates(docs, weights, alpha, total)), "mix-rates")
-    docs = docs.drop("mix_source", "mix_copy", "mix_copies", "mix_key", "chars", "rate", "parts", "cdf")
-    joined = docs.join(rates.select("mix_source", "parts", "cdf"), docs["source"].eqNullSafe(rates["mix_source"]))
-    counted = joined.withColumn("mix_copies", copies(seed, F.col("doc_id"))).drop("mix_source", "parts", "cdf")
-    exploded = counted.filter("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("mix_copy", "mix_copies", "mix_key")])
+    source, parts, cdf, sizes, part = unused(docs.columns, "source", "parts", "cdf", "sizes", "part")
+    joined = docs.join(rates.select(F.col("mix_source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf)), F.col("source").eqNullSafe(F.col(source)))
+    each = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: copies(seed, F.col("doc_id"), F.col(cdf), j))
+    counted = joined.withColumn(sizes, each).withColumn("mix_copies", F.aggregate(sizes, F.lit(0), lambda n, x: n + x)).filter("mix_copies > 0")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    upto = F.sequence(F.lit(0), F.col("mix_copies") - 1)
+    exploded = counted.filter(F.col(parts) == 1).select(*own, F.explode(upto).alias("mix_copy"), "mix_copies")
+    if rates.filter("parts > 1").limit(1).count():
+        several = counted.filter(F.col(parts) > 1).select(*own, "mix_copies", F.col(sizes), F.posexplode(sizes).alias(part, f"{part}_n")).filter(F.col(f"{part}_n") > 0)
+        first = F.aggregate(F.slice(sizes, F.lit(1), F.col(part)), F.lit(0), lambda n, x: n + x)
+        several = several.withColumn(sizes, first).repartition(F.xxhash64("doc_id", part), F.col(part))
+        exploded = exploded.union(several.select(*own, F.explode(F.sequence(F.col(sizes), F.col(sizes) + F.col(f"{part}_n") - 1)).alias("mix_copy"), "mix_copies"))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col("doc_id").cast("string"), F.col("mix_copy").cast("string")).cast("binary"))
     return exploded.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
 

@@ -7,14 +7,15 @@ with the probability Jaccard similarity of their weighted shingles. A text with
 shingle counts once and positions agree with the plain Jaccard similarity of the sets; without repeats both would be the
 same. Equal bands, of either signature, make candidates, and those that agree enough in one of the two are compared exactly: texts link if their probability Jaccard, or the plain Jaccard of their shingle sets, is at least threshold.
 
-Texts with the same words are one class, named by a 64-bit hash of them, and one of them stands for all. Classes that share
+Texts with the same words (by 128 bits) are one class, and one of them stands for all. Classes that share
 buckets, directly or through others, are a family. A task takes a family and compares two members of a bucket unless links connect
 them already, so near copies need about one comparison each. A family above GROUP is dealt into blocks, twice in different
 ways; members of its buckets that are still apart from the bucket's main component are then compared with the members of all others, block
 against block or, where they are few, as pairs. So every two members of a bucket are compared or connected. The class is the connected component of the links.
 
 Cases: a text without words, or null, is a class of its own; a null doc_id counts as the smallest id; rows with one doc_id are
-judged by their own texts, repeated rows alike; an empty table gives an empty one; other columns stay in keep_one().
+judged by their own texts, repeated rows alike; of several texts of the smallest doc_id in a class the first row read stands for it;
+a very long text is one element array in one task and takes some fifty times its size; an empty table gives an empty one; other columns stay in keep_one().
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import materialise, slices, texts
+from hourloom.llm.common import materialise, slices, texts, unused
 from hourloom.llm.components import components
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 20, 5
 POSITIONS = BANDS * ROWS
+#: Bytes of text that a task turns into signatures at once: their elements take some fifty times as much for a moment.
+SLICE = 1 << 20
 #: Most texts of a family that one task compares among each other.
 GROUP = 512
 #: Pairs whose signatures agree in less than this share are not compared: five standard deviations below the threshold.
@@ -47,16 +50,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    def __init__(self, kept: int = 300_000):
-        self.kept, self.most = {}, kept
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        kept = self.kept
-        if len(kept) > self.most:
-            kept.clear()
-        for w in set(words).difference(kept):
-            kept[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+    @staticmethod
+    def hashes(words: list[str]) -> np.ndarray:
+        of = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in set(words)}
+        return np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, text: str) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
         """Distinct shingles in order, their numbers, and 128 bits of the words."""
@@ -85,7 +82,7 @@ def signatures(each: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     arrival = 0
     while len(s):
         arrival += 1
-        r = mix(s + np.uint64(arrival) * P1)
+        r = mix(s + np.uint64(arrival * int(P1) % (1 << 64)))
         t = t - np.log(((r >> np.uint64(12)).astype(float) + 0.5) / float(1 << 52)) / w
         at = doc * POSITIONS + (mix(r ^ P3) % np.uint64(POSITIONS)).astype(np.int64)
         np.minimum.at(best, at, t)
@@ -136,11 +133,11 @@ def banded(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc (the id, null: NULL_ID), raw (a hash of the text), h1 (a hash of the words, which names the class of equal texts), n shingles and bands (of both signatures), one row per row."""
+    """doc (the id, null: NULL_ID), raw (a hash of the text), h1 and h2 (128 bits of the words), n shingles and bands (of both signatures), one row per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for b in slices(batches, 8 << 20):
+        for b in slices(batches, SLICE):
             found = [shingler.shingles(t) for t in texts(b.column(2))]
             n = np.array([len(s) for s, _, _ in found], np.int64)
             each = [(s, c) for s, c, _ in found]
@@ -150,20 +147,20 @@ def sketch(docs: DataFrame) -> DataFrame:
             which, second = plain_signatures(each)
             for i, more in zip(which, banded(second)):
                 bands[i] = np.r_[bands[i], more]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([h[0] for _, _, h in found], pa.int64()), pa.array(n), pa.array(bands, pa.list_(pa.int64()))], names=["doc", "raw", "h1", "n", "bands"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([h[0] for _, _, h in found], pa.int64()), pa.array([h[1] for _, _, h in found], pa.int64()), pa.array(n), pa.array(bands, pa.list_(pa.int64()))], names=["doc", "raw", "h1", "h2", "n", "bands"])
 
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("raw"), "text")
-    return ids.mapInArrow(run, "doc long, raw long, h1 long, n long, bands array<long>")
+    return ids.mapInArrow(run, "doc long, raw long, h1 long, h2 long, n long, bands array<long>")
 
 
 def profiles(docs: DataFrame, family: DataFrame) -> DataFrame:
-    """node, family, signature, bands, shingles and counts (8 and 4 bytes each) and the plain signature and its bands (counts and these empty if all counts are 1) of the nodes in family(doc, node, family)."""
+    """node, family, signature, bands, shingles and counts (8 and 4 bytes each) and the plain signature and its bands (counts and these empty if all counts are 1) of the nodes in family(doc, h1, h2, node, family), one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for b in slices(batches, 8 << 20):
-            rows = [(n, f, *shingler.shingles(t)) for n, f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2)))]
-            rows = [r for r in rows if r[4][0] == r[0]]  # a doc_id's other texts aren't of the node
+        for b in slices(batches, SLICE):
+            rows = [(n, f, *shingler.shingles(t), (h, k)) for n, f, h, k, t in zip(*[b.column(i).to_pylist() for i in range(4)], texts(b.column(4)))]
+            rows = [r for r in rows if r[4] == r[5]]  # a doc_id's other texts aren't of the node
             each = [(r[2], r[3]) for r in rows]
             sig = signatures(each)
             plain, plain_bands = [b""] * len(rows), [[]] * len(rows)
@@ -186,8 +183,9 @@ def profiles(docs: DataFrame, family: DataFrame) -> DataFrame:
 
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("doc"), "text")
     # Both sides grow with the corpus: the same plan at every size.
-    joined = ids.join(family.hint("merge"), "doc").select("node", "family", "text")
-    return joined.mapInArrow(run, "node long, family long, sig binary, bands array<long>, shingles binary, counts binary, plain_sig binary, plain_bands array<long>")
+    joined = ids.join(family.hint("merge"), "doc").select("node", "family", "h1", "h2", "text")
+    every = joined.mapInArrow(run, "node long, family long, sig binary, bands array<long>, shingles binary, counts binary, plain_sig binary, plain_bands array<long>")
+    return every.dropDuplicates(["node"])  # repeated rows of a document are one member
 
 
 def profile(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -285,19 +283,18 @@ def compared(pairs: DataFrame, held: DataFrame, threshold: float, agree: float)
     return both.mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, sketches: DataFrame, threshold: float, agree: float, group: int = GROUP) -> DataFrame:
-    """node and component of texts, by their class hash, that link with others."""
-    rows = sketches.filter("n > 0").select(F.col("h1").alias("node"), F.explode("bands").alias("key"))
+def link(docs: DataFrame, firsts: DataFrame, threshold: float, agree: float, group: int = GROUP) -> DataFrame:
+    """node and component of the texts in firsts (node, doc, h1, h2, bands: one row per text with words) that link with others."""
+    rows = firsts.select("node", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last")
-    total = sketches.count()
+    total = firsts.count()
     buckets = materialise(buckets.select("key", "leader"), "buckets", 2 * BANDS * total)
     members = materialise(rows.join(buckets, "key").distinct(), "members", 2 * BANDS * total)
     few = members.count()
     # Candidates: what shares buckets, directly or through others, is a family.
     tree = materialise(components(members.select(F.col("node").alias("a"), F.col("leader").alias("b")), few), "tree", few)
     family = tree.select("node", F.col("component").alias("family")).union(tree.select(F.col("component").alias("node"), F.col("component").alias("family")).distinct())
-    firsts = sketches.groupBy(F.col("h1").alias("node")).agg(F.min("doc").alias("doc"))
-    held = materialise(profiles(docs, materialise(firsts.join(family, "node"), "families", total)), "profiles")
+    held = materialise(profiles(docs, materialise(firsts.drop("bands").join(family, "node"), "families", total)), "profiles")
     sizes = materialise(held.groupBy("family").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > group), "large-families", total)
 
     def blocks(frame: DataFrame, seed: int) -> DataFrame:
@@ -334,20 +331,27 @@ def link(docs: DataFrame, sketches: DataFrame, threshold: float, agree: float, g
 
 
 def judged(docs: DataFrame, threshold: float = THRESHOLD, agree: float = AGREE, group: int = GROUP) -> DataFrame:
-    """One row per row of docs: doc_id, raw (xxhash64 of its text), class_id (the smallest doc_id of its class) and n_shingles."""
-    sketches = materialise(sketch(docs), "sketches")
-    known = link(docs, sketches, threshold, agree, group)
-    narrow = sketches.select("doc", "raw", F.col("h1").alias("node"), "n")
-    rooted = materialise(narrow.join(known, "node", "left").select("doc", "raw", "n", F.coalesce("component", "node").alias("root")), "rooted", sketches.count())
-    least = materialise(rooted.filter("n > 0").groupBy("root").agg(F.min("doc").alias("class")), "least", sketches.count())
-    out = rooted.join(least, "root", "left").withColumn("class", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc")))
+    """One row per row of docs: doc_id, raw (xxhash64 of its text), class_id (the smallest doc_id of its class), n_shingles, and
+    first, which is true for one row of each class: of the rows of class_id with the class's first text."""
+    sketches = materialise(sketch(docs).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    total = sketches.count()
+    # One row per text with words, by all 128 bits; the least row number names it.
+    least = F.min(F.struct("doc", "rid"))
+    firsts = sketches.filter("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("node"), least.alias("least"), F.first("bands").alias("bands"))
+    firsts = materialise(firsts.select("h1", "h2", "node", F.col("least.doc").alias("doc"), F.col("least.rid").alias("rid"), "bands"), "texts")
+    known = link(docs, firsts.drop("rid"), threshold, agree, group)
+    named = materialise(firsts.drop("bands").join(known, "node", "left").select("h1", "h2", "doc", "rid", F.coalesce("component", "node").alias("root")), "named", total)
+    classes = materialise(named.groupBy("root").agg(F.min(F.struct("doc", "rid")).alias("least")), "class-firsts", total)
+    named = materialise(named.join(classes, "root").select("h1", "h2", F.col("least.doc").alias("class"), F.col("least.rid").alias("kept")), "named-classes", total)
+    out = sketches.drop("bands").join(named, ["h1", "h2"], "left")
+    out = out.withColumns({"class": F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc")), "first": F.when(F.col("n") > 0, F.col("rid") == F.col("kept")).otherwise(F.lit(True))})
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("doc").alias("doc_id"), "raw", real("class").alias("class_id"), F.col("n").alias("n_shingles"))
+    return out.select(real("doc").alias("doc_id"), "raw", real("class").alias("class_id"), F.col("n").alias("n_shingles"), "first")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, agree: float = AGREE, group: int = GROUP) -> DataFrame:
     """One row per row of docs: doc_id, class_id and n_shingles."""
-    return judged(docs, threshold, agree, group).drop("raw")
+    return judged(docs, threshold, agree, group).drop("raw", "first")
 
 
 def is_kept() -> Column:
@@ -355,9 +359,19 @@ def is_kept() -> Column:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose document is the first of their text's class."""
-    gone = materialise(judged(docs, threshold).filter(~is_kept()).select("doc_id", "raw").distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["raw"]), "left_anti")
+    """One row of docs for each class: of its smallest doc_id, and of that document's rows with the class's first text; rows without words stay, one for each doc_id and text.
+
+    Texts aren't shuffled but where rows repeat doc_id and text and one of them stays; there the least hash of all columns decides."""
+    marks = judged(docs, threshold).groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n"), F.max("first").alias("first"))
+    marks = materialise(marks.filter("NOT first OR n > 1"), "marks")
+    same = lambda m: docs["doc_id"].eqNullSafe(m["doc_id"]) & (F.xxhash64(docs["text"]) == m["raw"])
+    alone = docs.join(marks, same(marks), "left_anti")
+    again = marks.filter("first")
+    if not again.limit(1).count():
+        return alone
+    raw, row = unused(docs.columns, "raw", "row")
+    some = docs.join(again, same(again), "left_semi").withColumn(raw, F.xxhash64("text"))
+    return alone.union(some.groupBy("doc_id", raw).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row)).select(f"{row}.*"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -256,7 +256,7 @@ def test_token_files_round_trip(spark):
         at += len(ids)
         flat += ids
     first = manifest.orderBy("shard").first()
-    reader = token_files.Store(path).open("shard-000000.arrow")
+    reader = token_files.Store(path).open(f"{first['name']}.arrow")
     rows = sum(reader.get_batch(i).num_rows for i in range(reader.num_record_batches))
     assert rows == -(-first["n_tokens"] // 16)
     assert token_files.sequence(reader, 1).tolist() == flat[16:32]
