@@ -7,28 +7,37 @@ file of documents holds doc_id, first id in the shard and number of ids. Buffers
 file gives any sequence without a copy; read() takes whole documents from them again.
 
 Cases: a null or empty text has only the end id; a null doc_id comes first; rows with one doc_id are ordered by text
-hash and each keep a place; an empty table gives no rows; other columns are ignored. A task that is run again writes the
-same bytes under the same name, so lost executors leave no broken shard.
+hash and each keep a place; a text may be as long as fits a task's memory, as its ids pass in blocks; an empty table gives no rows; other
+columns are ignored. A task that is run again writes files of its own, so lost executors leave no broken shard.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import new_path, slices, texts, vocabulary
+from hourloom.llm.common import Recent, materialise, new_path, slices, texts, vocabulary
 
-#: Marks that make a piece of their own after letters; scripts whose letters any version of Unicode agrees on end before BEYOND.
-MARKS, BEYOND = ".,;:!?", "\u0530"
-CACHED, SEQUENCE, ROWS, SHARD_BYTES = 300_000, 2048, 128, 64 << 20
+#: Characters from BEYOND on have a class of their own, as versions of Unicode may differ about them.
+BEYOND = 0x530
+#: Bytes of kept pieces per worker, in each of two generations.
+KEPT = 24 << 20
+SEQUENCE, ROWS, SHARD_BYTES = 2048, 128, 64 << 20
+#: Most tasks that read shards.
+READERS = 20_000
+#: What pyarrow calls the stores that Hadoop knows by other schemes.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+LETTER, NUMBER, OTHER, QUOTE, SPACE, FEED, FAR = range(7)
 
 
 def byte_signs() -> dict[int, int]:
@@ -38,6 +47,26 @@ def byte_signs() -> dict[int, int]:
     return {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+def kinds() -> np.ndarray:
+    """The class of each character up to BEYOND, which stands for all that follow."""
+    by = {"L": LETTER, "N": NUMBER}
+    out = np.array([by.get(unicodedata.category(chr(c))[0], OTHER) for c in range(BEYOND)] + [FAR], np.int8)
+    out[ord("'")], out[ord(" ")], out[ord("\n")] = QUOTE, SPACE, FEED
+    return out
+
+
+def borders() -> np.ndarray:
+    """Pairs of classes between which the byte-level pattern always ends a piece, in a text that is plain().
+
+    Letters, numbers and other signs are pieces of their own; a quote may belong to what follows (as in 't) and a space always does."""
+    out = np.zeros((7, 7), bool)
+    for a in (LETTER, NUMBER, OTHER):
+        out[a, [b for b in (LETTER, NUMBER, OTHER) if b != a]] = True
+    out[:, [SPACE, FEED]] = True
+    out[FEED] = True
+    return out
+
+
 def plain(text: str) -> bool:
     """Whether each space and line feed stands alone between two visible characters: then a piece of the library's pattern always ends before it."""
     return (
@@ -48,8 +77,25 @@ def plain(text: str) -> bool:
     )
 
 
+def byte_level(tokenizer) -> bool:
+    """Whether texts may be cut at borders(): byte-level BPE with the usual pattern, nothing before it, and added tokens only where plain() sees them."""
+    import json
+
+    spec = json.loads(tokenizer.to_str())
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    return (
+        spec.get("normalizer") is None
+        and split.get("type") == "ByteLevel"
+        and split.get("use_regex", True)
+        and not split.get("add_prefix_space")
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        and all(t["content"].startswith("<|") and not t["lstrip"] for t in spec.get("added_tokens", []))
+    )
+
+
 class Encoder:
-    """Ids of texts as little-endian bytes. Pieces between safe cuts are encoded once and kept, at most CACHED of them."""
+    """Ids of texts as little-endian bytes. A byte-level BPE's texts are cut into pieces, which are encoded once while they stay among the recent ones."""
 
     def __init__(self, path: str):
         import os
@@ -59,57 +105,58 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.feed = self.library.encode("\n", add_special_tokens=False).ids
-        self.kept: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.signs = byte_signs()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.cuts = byte_level(self.library)
         self.tokenize = self.library.model.tokenize
-        self.space, self.code = chr(self.signs[32]), "H" if self.dtype.itemsize == 2 else "I"
-
-    def word(self, word: str) -> bytes:
-        """A piece of letters, with or without a space before it, by the library's model alone."""
-        if (raw := self.words.get(word)) is None:
-            spelt = self.space + word[1:] if word.isascii() and word[0] == " " else word if word.isascii() else word.encode().decode("latin-1").translate(self.signs)
-            raw = self.words[word] = array(self.code, [t.id for t in self.tokenize(spelt)]).tobytes()
-        return raw
-
-    def learn(self, pieces: list[str]) -> None:
-        """Words go to the model with the marks after them; others are encoded as they are, joined by line feeds whose ids part the result."""
-        lines = []
-        if len(self.words) > CACHED:
-            self.words = {}
-        word, kept = self.word, self.kept
-        for p in pieces:
-            core = p.rstrip(MARKS)
-            body = core[1:] if core[:1] == " " else core
-            if body.isalpha() and (body.isascii() or max(body) < BEYOND):
-                kept[p] = word(core) if core == p else word(core) + word(p[len(core) :])
-            elif p != "\n":
-                lines.append(p)
-        for i in range(0, len(lines), 2048):
-            part = lines[i : i + 2048]
-            ids = np.array(self.library.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.feed[0]) if len(self.feed) == 1 else np.empty(0, int)
-            if len(cuts) == len(part) - 1:
-                raw, w = ids.tobytes(), self.dtype.itemsize
-                starts, ends = [0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(raw)]
-                self.kept.update(zip(part, [raw[a:b] for a, b in zip(starts, ends)]))
-            else:
-                self.kept.update(zip(part, [self.whole(x) for x in part]))
-        self.kept["\n"] = np.array(self.feed, self.dtype).tobytes()
+        self.signs = byte_signs()
+        self.space = chr(self.signs[32])
+        self.feed = self.whole("\n")
+        self.kinds, self.borders = kinds(), borders()
+        self.recent = Recent(KEPT)
+
+    def piece(self, x: str) -> bytes:
+        """Letters, numbers or other signs, with or without a space before them, go to the library's model alone; the rest to the library."""
+        body = x[1:] if x[0] == " " else x
+        if body.isascii():
+            if not (body.isalpha() or body.isdigit()) and (not body.isprintable() or "'" in body):
+                return self.feed if x == "\n" else self.whole(x)
+            spelt = x if body is x else self.space + body
+        elif body.isalpha() and max(body) < chr(BEYOND):
+            spelt = x.encode().decode("latin-1").translate(self.signs)
+        else:
+            return self.whole(x)
+        return array(self.code, [t.id for t in self.tokenize(spelt)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, many: list[str]) -> list[bytes]:
-        cut = [None if not plain(x) else x.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if x else [] for x in many]
-        if len(self.kept) > CACHED:
-            self.kept = {}
-        new = {p for x in cut if x for p in x}.difference(self.kept)
-        if new:
-            self.learn(list(new))
-        kept = self.kept
-        return [self.whole(x) if c is None else b"".join([kept[p] for p in c]) for x, c in zip(many, cut)]
+        easy = [self.cuts and bool(x) and plain(x) for x in many]
+        own = [x for x, ok in zip(many, easy) if ok]
+        pieces, sizes = self.cut(own)
+        if new := self.recent.look(set(pieces)):
+            found = {x: self.piece(x) for x in new}
+            self.recent.add(found, sum(map(len, found.values())))
+        each = map(self.recent.young.__getitem__, pieces)
+        done = iter([b"".join(islice(each, n)) for n in sizes])
+        out = [next(done) if ok else self.whole(x) for x, ok in zip(many, easy)]
+        if True in easy and out[first := easy.index(True)] != self.whole(many[first]):
+            raise ValueError("the tokenizer ends pieces in other places than byte-level BPE does")
+        self.recent.settle()
+        return out
+
+    def cut(self, many: list[str]) -> tuple[list[str], list[int]]:
+        """Pieces of all texts, none of them empty, and how many of them each text has."""
+        if not many:
+            return [], []
+        whole = "".join(many)
+        kind = self.kinds[np.minimum(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4"), BEYOND)]
+        cuts = np.r_[True, self.borders[kind[:-1], kind[1:]], True]
+        starts = np.cumsum([0, *map(len, many)])
+        cuts[starts] = True
+        places = np.flatnonzero(cuts)
+        ends = places.tolist()
+        return [whole[a:b] for a, b in zip(ends, ends[1:])], np.diff(np.searchsorted(places, starts)).tolist()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -129,18 +176,17 @@ class Store:
     folder: str
 
     def at(self) -> tuple[pafs.FileSystem, str]:
-        return pafs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (pafs.LocalFileSystem(), self.folder)
+        scheme, colon, rest = self.folder.partition(":")
+        if not colon:
+            return pafs.LocalFileSystem(), self.folder
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
-    def publish(self, name: str, write) -> None:
-        """write(sink) fills a file of this attempt's own, which then takes the name."""
+    def put(self, name: str, write) -> None:
+        """write(sink) fills the file; names hold the attempt, so no two tasks write the same one."""
         fs, folder = self.at()
         fs.create_dir(folder, recursive=True)
-        own = f"{folder}/_{name}.{TaskContext.get().taskAttemptId()}"
-        with fs.open_output_stream(own) as sink:
+        with fs.open_output_stream(f"{folder}/{name}") as sink:
             write(sink)
-        if not isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(f"{folder}/{name}").type != pafs.FileType.NotFound:
-            fs.delete_file(f"{folder}/{name}")
-        fs.move(own, f"{folder}/{name}")
 
     def open(self, name: str) -> pa.ipc.RecordBatchFileReader:
         fs, folder = self.at()
@@ -159,11 +205,22 @@ def sequence(reader: pa.ipc.RecordBatchFileReader, i: int, rows: int = ROWS) ->
     return b.column("ids").values.to_numpy(zero_copy_only=True)[j * length : (j + 1) * length]
 
 
+def based(shards: DataFrame) -> DataFrame:
+    """The shards with base, the ids of all shards before each: sums by thousands of shards first, so no task takes a row per shard."""
+    block = (F.col("shard") / 1000).cast("int")
+    before = lambda w: w.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sums = shards.groupBy(block.alias("block")).agg(F.sum("n_tokens").alias("n"))
+    sums = sums.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lower"))
+    own = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("block"))), F.lit(0))
+    return shards.withColumn("block", block).withColumn("base", own).join(sums, "block").select("shard", "name", (F.col("base") + F.col("lower")).alias("base"), "n_tokens", "n_docs")
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = 0, length: int = SEQUENCE, shards: int | None = None) -> DataFrame:
-    """Writes the shards to path and returns the manifest: shard, base (ids of all shards before it), n_tokens, n_docs.
+    """Writes the shards to path and returns the manifest, a table in the shared folder: shard, name (of its files), base (ids of all shards before it), n_tokens, n_docs.
 
-    Rows go to shards by range of (doc_id, text hash, row number), so a doc_id with many rows is dealt over several. The
-    manifest has one row per shard; only those numbers pass the driver."""
+    Rows go to shards by range of (doc_id, text hash, row number), so a doc_id with many rows is dealt over several. A task names its
+    files by its attempt, and Spark's commit of the manifest says whose count; files of lost attempts are never read."""
+    Store(path).at()  # a store that pyarrow doesn't know fails here, before any work
     spark = docs.sparkSession
     if shards is None:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -208,16 +265,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = 0, lengt
                 for first, sizes, own in found:
                     out.write_batch(pa.record_batch([own.cast(pa.int64()), pa.array(first), pa.array(sizes)], schema=kinds))
 
-        store.publish(f"shard-{shard:06d}.arrow", ids)
-        store.publish(f"shard-{shard:06d}.docs.arrow", index)
-        yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([sum(int(s.sum()) for _, s, _ in found)], pa.int64()), pa.array([sum(len(s) for _, s, _ in found)], pa.int64())], names=["shard", "n_tokens", "n_docs"])
+        name = f"shard-{shard:06d}-{TaskContext.get().taskAttemptId()}"
+        store.put(f"{name}.arrow", ids)
+        store.put(f"{name}.docs.arrow", index)
+        yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([name], pa.string()), pa.array([sum(int(s.sum()) for _, s, _ in found)], pa.int64()), pa.array([sum(len(s) for _, s, _ in found)], pa.int64())], names=["shard", "name", "n_tokens", "n_docs"])
 
-    done = sorted(map(tuple, ranged.mapInArrow(put, "shard int, n_tokens long, n_docs long").collect()))
-    base, out = 0, []
-    for shard, tokens, n in done:
-        out.append((shard, base, tokens, n))
-        base += tokens
-    return spark.createDataFrame(out, "shard int, base long, n_tokens long, n_docs long").repartition(max(1, len(out)))
+    done = materialise(ranged.mapInArrow(put, "shard int, name string, n_tokens long, n_docs long"), "token-shards")
+    return materialise(based(done), "token-manifest")
 
 
 def read(manifest: DataFrame, path: str, rows: int = ROWS) -> DataFrame:
@@ -227,8 +281,8 @@ def read(manifest: DataFrame, path: str, rows: int = ROWS) -> DataFrame:
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in batches:
-            for shard, base in zip(m.column("shard").to_pylist(), m.column("base").to_pylist()):
-                ids, index = store.open(f"shard-{shard:06d}.arrow"), store.open(f"shard-{shard:06d}.docs.arrow")
+            for name, base in zip(m.column("name").to_pylist(), m.column("base").to_pylist()):
+                ids, index = store.open(f"{name}.arrow"), store.open(f"{name}.docs.arrow")
                 length = ids.schema.field("ids").type.list_size
                 per = rows * length
 
@@ -249,7 +303,9 @@ def read(manifest: DataFrame, path: str, rows: int = ROWS) -> DataFrame:
                         starts, sizes = own.column("start").to_pylist(), own.column("n_tokens").to_pylist()
                         yield pa.record_batch([own.column("doc_id"), pa.array([base + s for s in starts], pa.int64()), own.column("n_tokens"), pa.array([between(s, s + n) for s, n in zip(starts, sizes)], pa.binary())], schema=kinds)
 
-    return manifest.select("shard", "base").mapInArrow(get, "doc_id long, start long, n_tokens long, ids binary")
+    # One row is a whole shard's work, which Spark can't see from a small table's size: dealt by name, not by bytes.
+    n = max(1, manifest.agg(F.max("shard")).first()[0] or 0)
+    return manifest.select("name", "base").repartition(min(n + 1, READERS), "name").mapInArrow(get, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def query(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
