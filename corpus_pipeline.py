@@ -10,20 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm import line_dedup, mixing, near_dup, pieces, quality
-from hourloom.llm.common import materialise, ship, table, vocabulary
+from hourloom.llm.common import materialise, set_aside, ship, table, vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     ship(spark)
-    return quality.classify(docs).filter("quality_kept").select(docs.columns)
+    docs, own = set_aside(docs, ("quality_score", "quality_kept"))
+    return quality.classify(docs).filter("quality_kept").select(own)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that many of them repeat; n_chars is that of the new text."""
     ship(spark)
+    kept = "n_chars" in docs.columns
+    docs, own = set_aside(docs, ("n_lines", "n_dropped"))
     out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return (out.withColumn("n_chars", F.length("text").cast("bigint")) if kept else out).select(own)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +38,8 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight asks for, in random order."""
     ship(spark)
-    return mixing.poisson_mix(docs).select(docs.columns)
+    docs, own = set_aside(docs, ("mix_copy", "mix_copies", "mix_key"))
+    return mixing.poisson_mix(docs).select(own)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
