@@ -1,19 +1,21 @@
 """Operator 10: language of texts by interpolated Kneser-Ney character models.
 
 Texts are cut at white space; letters in lower case count, everything else is a word's border. A model of order 4 predicts each
-letter and the end of each word from up to three characters before it in the word. N-grams are hashed to a fixed number
-of slots per order (SLOTS), so a model's size is bounded whatever the corpus, and counts cover every learned text. The
-highest order uses counts, lower ones the number of different characters seen before; absolute discounts come from the counts
-of counts. The arrays of an order hold its slots, sorted, with every language's interpolated log probability; a slot that
-no language has backs off by its context's weight.
+letter and the end of each word from up to three characters before it in the word. Single characters are counted by code point,
+longer n-grams by hash in SLOTS slots, and counts cover every learned text. The highest order uses counts, lower ones the number of
+different characters seen before; absolute discounts come from the counts of counts. Spark makes all of it, order by order, from
+groups and joins of (language, slot); the driver only puts together the finished tables: per order sorted arrays of slots
+with the languages and probabilities that each has, and the same of contexts with their back-off weights. An entry takes 10 bytes, so a
+language has 3 * SLOTS entries (30 MB) and half as many contexts at most, and as many as there are different n-grams as a rule.
 
 A text's language has the lowest cross-entropy per character. The score is the posterior of a flat prior, with at most
-TRUST characters counting. rejected says that the cross-entropy lies more than REJECT standard deviations above the mean
-of the learned texts of that language.
+TRUST characters counting. One learned document in FOLD takes no part in the counts; these documents, which the model hasn't seen, say how
+far the cross-entropy of real texts of a language strays from its mean, with the root of the text's characters (TRUST at most). rejected says that
+a text strays more than REJECT times as far. A language without such documents rejects nothing.
 
 Cases: a null text or one without a letter is und with score 0, and so is every text if nothing could be learned; null langs
 are not learned from; a null doc_id counts as empty for the fold; ties go to the first language in order; repeated rows
-count each; other columns are ignored.
+count each; a very long text is scored whole, once per different word; other columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,17 +25,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.llm.common import materialise, slices, texts
 
-ORDER = 4
-#: Slots of the n-grams of 1, 2, 3 and 4 characters.
-SLOTS = (1 << 12, 1 << 16, 1 << 19, 1 << 20)
-KEPT, TRUST, REJECT, BORDER = 200_000, 40, 4.0, 32
+ORDER, SLOTS, POINTS = 4, 1 << 20, 0x110000
+KEPT, TRUST, REJECT, FOLD, BORDER = 200_000, 40, 5.0, 16, 32
+#: Probabilities of n-grams in languages that a task holds at once.
+CELLS = 4 << 20
 
 _lower: list[np.ndarray] = []
 
@@ -50,9 +52,9 @@ def lower() -> np.ndarray:
     return _lower[0]
 
 
-def grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
     """Of the scored characters of words: slots of the n-grams of 1 to ORDER characters that end there, slots of their contexts
-    of 1 to ORDER - 1 characters, and each character's word."""
+    of 0 to ORDER - 1 characters, a 64-bit hash of the longest n-gram, and each character's word."""
     gap = " " * (ORDER - 1)
     raw = np.frombuffer((gap + gap.join(words) + gap).encode("utf-32-le", "surrogatepass"), "<u4")
     c = lower()[raw]
@@ -61,16 +63,13 @@ def grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndar
     at = np.flatnonzero((c != BORDER) | (np.r_[np.uint32(BORDER), c[:-1]] != BORDER))
     word = np.searchsorted(starts, at, "right") - 1
     c = c.astype(np.uint64)
-    full, context = [], []
-    h = np.zeros(len(at), np.uint64)
-    g = np.zeros(len(at), np.uint64)
-    for k in range(ORDER):
-        h = mix(h, c[at - k])
-        full.append((h % np.uint64(SLOTS[k])).astype(np.int64))
-        if k < ORDER - 1:
-            g = mix(g, c[at - k - 1])
-            context.append((g % np.uint64(SLOTS[k])).astype(np.int64))
-    return full, context, word
+    full, context = [c[at].astype(np.int64)], [np.zeros(len(at), np.int64)]
+    h, g = mix(np.zeros(len(at), np.uint64), c[at]), np.zeros(len(at), np.uint64)
+    for k in range(1, ORDER):
+        h, g = mix(h, c[at - k]), mix(g, c[at - k])
+        full.append((h % np.uint64(SLOTS)).astype(np.int64))
+        context.append((g % np.uint64(SLOTS)).astype(np.int64))
+    return full, context, h, word
 
 
 def mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -79,7 +78,7 @@ def mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-COUNTED = ["lang", "g4", "g3", "g2", "g1", "x3", "x2", "x1", "n"]
+COUNTED = ["lang", "g4", "g3", "g2", "g1", "x3", "x2", "x1", "x0", "n"]
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -87,11 +86,11 @@ def counts(docs: DataFrame) -> DataFrame:
 
     def rows(lang: str, words: Counter) -> pa.RecordBatch:
         names = list(words)
-        full, context, word = grams(names)
+        full, context, _, word = grams(names)
         w = np.fromiter(words.values(), np.int64, len(words))[word]
         at, index, inverse = np.unique(full[3], return_index=True, return_inverse=True)
         n = np.bincount(inverse, w, len(at)).astype(np.int64)
-        columns = [pa.array([lang] * len(at), pa.string()), pa.array(at), *[pa.array(x[index]) for x in (full[2], full[1], full[0], context[2], context[1], context[0])], pa.array(n)]
+        columns = [pa.array([lang] * len(at), pa.string()), pa.array(at), *[pa.array(x[index]) for x in (full[2], full[1], full[0], context[3], context[2], context[1], context[0])], pa.array(n)]
         return pa.record_batch(columns, names=COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,94 +110,98 @@ def counts(docs: DataFrame) -> DataFrame:
     return raw.groupBy("lang", "g4").agg(*[F.min(c).alias(c) for c in COUNTED[2:-1]], F.sum("n").alias("n"))
 
 
+def tables(docs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """For each order from 1: lang, slot and p of every n-gram that a language has, and lang, slot and weight of every context."""
+    top = materialise(counts(docs), "grams")
+    types = {ORDER: top.withColumnRenamed("n", "c")}
+    for k in range(ORDER - 1, 0, -1):  # an n-gram of a lower order counts the longer ones that end in it
+        rest = [x for x in COUNTED[1:-1] if int(x[1]) < k]
+        types[k] = materialise(types[k + 1].groupBy("lang", f"g{k}").agg(*[F.min(x).alias(x) for x in rest], F.count(F.lit(1)).alias("c")), "grams")
+    found, contexts, below = [], [], None
+    for k in range(1, ORDER + 1):
+        t = types[k].select("lang", F.col(f"g{k}").alias("slot"), F.col(f"x{k - 1}").alias("x"), "c", *([F.col(f"g{k - 1}").alias("lesser")] if k > 1 else []))
+        n1, n2 = (F.count_if(F.col("c") == i) for i in (1, 2))
+        d = t.groupBy("lang").agg(F.least(F.greatest(n1 / F.greatest(n1 + 2 * n2, F.lit(1)), F.lit(0.1)), F.lit(0.9)).alias("d"))
+        sums = t.groupBy("lang", "x").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        context = materialise(sums.join(d, "lang").select("lang", "x", "total", "d", (F.col("d") * F.col("kinds") / F.col("total")).alias("weight")), "contexts")
+        both = t.join(context, ["lang", "x"])
+        both = both.withColumn("q", F.lit(1.0 / POINTS)) if below is None else both.join(below.select("lang", F.col("slot").alias("lesser"), F.col("p").alias("q")), ["lang", "lesser"])
+        below = materialise(both.select("lang", "slot", ((F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("q")).alias("p")), "probabilities")
+        found.append(below)
+        contexts.append(context.select("lang", F.col("x").alias("slot"), F.col("weight").alias("p")))
+    return found, contexts
+
+
+@dataclass
+class Entries:
+    """Of an order: sorted slots, where each one's entries start, and the entries' languages and values."""
+
+    slots: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(table: DataFrame, langs: list[str]) -> Entries:
+        """From lang, slot and p, at most SLOTS rows a language."""
+        t = table.select("lang", F.col("slot").cast("int"), F.col("p").cast("float")).toArrow()
+        code = pa.array(range(len(langs)), pa.int32()).take(pa.compute.index_in(t.column("lang"), pa.array(langs, pa.string())).combine_chunks()).to_numpy().astype(np.uint16)
+        slot, value = t.column("slot").to_numpy().astype(np.uint32), t.column("p").to_numpy()
+        order = np.lexsort((code, slot))
+        slots, starts = np.unique(slot[order], return_index=True)
+        return Entries(slots, np.r_[starts, len(slot)].astype(np.uint32), code[order], value[order])
+
+    def find(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of slots, language and value of every entry that they have."""
+        s = slots.astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.slots, s), len(self.slots) - 1)
+        rows = np.flatnonzero(self.slots[at] == s)
+        first = self.starts[at[rows]].astype(np.int64)
+        n = self.starts[at[rows] + 1].astype(np.int64) - first
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(rows, n), self.lang[entry], self.value[entry]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    slots: list[np.ndarray]
-    logs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    weights: list[np.ndarray]
-    unseen: float
+    grams: list[Entries]
+    contexts: list[Entries]
+
+    def probabilities(self, full: list[np.ndarray], context: list[np.ndarray]) -> np.ndarray:
+        """Of each n-gram in each language: from the uniform distribution up, a context's weight scales what its shorter one gives, and n-grams that a language has hold their own."""
+        p = np.full((len(full[0]), len(self.langs)), 1.0 / POINTS, np.float32)
+        for k in range(ORDER):
+            row, lang, value = self.contexts[k].find(context[k])
+            p[row, lang] *= value
+            row, lang, value = self.grams[k].find(full[k])
+            p[row, lang] = value
+        return p
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word in each language, and its scored characters."""
-        full, context, word = grams(words)
-        out = np.zeros((len(word), len(self.langs)), np.float32)
-        rest = np.arange(len(word))
-        for k in range(ORDER - 1, -1, -1):
-            s = full[k][rest]
-            at = np.searchsorted(self.slots[k], s)
-            at[at == len(self.slots[k])] = 0
-            hit = self.slots[k][at] == s
-            out[rest[hit]] += self.logs[k][at[hit]]
-            rest = rest[~hit]
-            if not len(rest):
-                break
-            if k:
-                x = context[k - 1][rest]
-                at = np.searchsorted(self.contexts[k - 1], x)
-                at[at == len(self.contexts[k - 1])] = 0
-                hit = self.contexts[k - 1][at] == x
-                out[rest[hit]] += self.weights[k - 1][at[hit]]
-            else:
-                out[rest] += self.unseen
-        sums = np.stack([np.bincount(word, out[:, j], len(words)) for j in range(len(self.langs))], 1)
+        full, context, whole, word = grams(words)
+        _, index, inverse = np.unique(whole, return_index=True, return_inverse=True)
+        log = np.empty((len(index), len(self.langs)), np.float32)
+        step = max(1, CELLS // max(1, len(self.langs)))
+        for i in range(0, len(index), step):
+            own = index[i : i + step]
+            log[i : i + step] = np.log(self.probabilities([x[own] for x in full], [x[own] for x in context]))
+        sums = np.stack([np.bincount(word, log[inverse, j], len(words)) for j in range(len(self.langs))], 1)
         return sums, np.bincount(word, minlength=len(words))
 
 
-def fit(counted: pd.DataFrame) -> Model:
-    """From the rows of counts(), at most SLOTS[3] a language."""
-    langs = sorted(counted["lang"].unique())
-    code = counted["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-    width = len(langs)
-    top = {c: counted[c].to_numpy(np.int64) for c in COUNTED[1:]} | {"code": code}
-    tables = [top]
-    for k in (3, 2, 1):  # the number of slots of the order above that end in each slot
-        above = tables[0]
-        key = above[f"g{k}"] * width + above["code"]
-        _, index, n = np.unique(key, return_index=True, return_counts=True)
-        tables.insert(0, {c: above[c][index] for c in above if c != "n" and c[0] in "gxc"} | {"n": n})
-    slots, probabilities, contexts, weights = [], [], [], []
-    below = None
-    unseen = 1.0 / SLOTS[0]
-    for k in range(1, ORDER + 1):
-        t = tables[k - 1]
-        n1 = np.bincount(t["code"][t["n"] == 1], minlength=width)
-        n2 = np.bincount(t["code"][t["n"] == 2], minlength=width)
-        discount = np.clip(n1 / np.maximum(n1 + 2.0 * n2, 1), 0.1, 0.9)
-        own, inverse = np.unique(t[f"g{k}"], return_inverse=True)
-        count = np.zeros((len(own), width))
-        np.add.at(count, (inverse, t["code"]), t["n"])
-        first = np.zeros(len(own), np.int64)
-        first[inverse] = np.arange(len(inverse))
-        x = t[f"x{k - 1}"] if k > 1 else np.zeros(len(t["n"]), np.int64)
-        before, x_inverse = np.unique(x, return_inverse=True)
-        total, kinds = np.zeros((len(before), width)), np.zeros((len(before), width))
-        np.add.at(total, (x_inverse, t["code"]), t["n"])
-        np.add.at(kinds, (x_inverse, t["code"]), 1)
-        weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        at = x_inverse[first]
-        lesser = np.full((len(own), width), unseen) if k == 1 else below[1][np.searchsorted(below[0], t[f"g{k - 1}"][first])]
-        p = np.where(total[at] > 0, np.maximum(count - discount, 0) / np.maximum(total[at], 1), 0) + weight[at] * lesser
-        slots.append(own)
-        probabilities.append(p)
-        if k > 1:
-            contexts.append(before)
-            weights.append(np.log(weight).astype(np.float32))
-        below = (own, p)
-    return Model(langs, slots, [np.log(p).astype(np.float32) for p in probabilities], contexts, weights, float(np.log(unseen)))
-
-
 def train(docs: DataFrame) -> Model | None:
-    counted = counts(docs).toPandas()  # at most SLOTS[3] short rows a language
-    return fit(counted) if len(counted) else None
+    found, contexts = tables(docs)
+    langs = sorted(r["lang"] for r in found[0].select("lang").distinct().collect())
+    return Model(langs, [Entries.of(t, langs) for t in found], [Entries.of(t, langs) for t in contexts]) if langs else None
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, score, entropy (nats a character) and n_scored; only text is used."""
     added = ("lang_pred", "score", "entropy", "n_scored")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SLOTS
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SLOTS for each language
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +233,18 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy and rejected. Learns from the folds of doc_id that are not held out."""
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
-    docs = docs.select("doc_id", "text", "lang", held_out.alias("held_out"))
-    model = train(docs.filter(~F.col("held_out")))
-    found = materialise(classify(docs.select("doc_id", "text", "held_out", F.when(~F.col("held_out"), F.col("lang")).alias("learned")), model).drop("text"), "languages")
-    usual = found.filter(F.col("learned") == F.col("lang_pred")).groupBy("lang_pred").agg((F.avg("entropy") + REJECT * F.coalesce(F.stddev_samp("entropy"), F.lit(0.0))).alias("most"))
-    return found.join(F.broadcast(usual), "lang_pred", "left").select("doc_id", "held_out", "lang_pred", "score", "entropy", F.coalesce(F.col("entropy") > F.col("most"), F.col("lang_pred") == "und").alias("rejected"))  # a row per language
+    apart = ~held_out & (F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(FOLD)) == 0)
+    docs = docs.select("doc_id", "text", "lang", held_out.alias("held_out"), apart.alias("apart"))
+    model = train(docs.filter("NOT held_out AND NOT apart"))
+    seen = docs.select("doc_id", "text", "held_out", F.when(F.col("apart"), F.col("lang")).alias("tested"))
+    found = materialise(classify(seen, model).drop("text").withColumn("trust", F.sqrt(F.least("n_scored", F.lit(TRUST)).cast("double"))), "languages")
+    known = found.filter(F.col("tested") == F.col("lang_pred"))
+    # A row per language.
+    means = materialise(known.groupBy("lang_pred").agg((F.sum(F.col("entropy") * F.col("n_scored")) / F.sum("n_scored")).alias("mean")), "means")
+    away = (F.col("entropy") - F.col("mean")) * F.col("trust")
+    usual = materialise(known.join(means, "lang_pred").groupBy("lang_pred", "mean").agg(F.sqrt(F.avg(away * away)).alias("spread")), "spreads")
+    rejected = F.coalesce(away > REJECT * F.col("spread"), F.col("lang_pred") == "und")
+    return found.join(usual, "lang_pred", "left").select("doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))
 
 
 def query(docs: DataFrame) -> DataFrame:

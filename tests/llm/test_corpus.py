@@ -352,16 +352,55 @@ def test_language_of_held_out_texts(spark):
     assert len(got) > 200 and (got.lang == got.lang_pred).mean() > 0.99 and got.score.between(0, 1).all()
 
 
-def test_model_is_a_distribution(spark):
-    texts = ["the cat sat on the mat and the hat", "der hund und die katze und das haus"] * 3
-    m = language.train(docs(spark, texts, lang=["en", "de"] * 3))
-    letters = sorted(set("".join(texts)) - {" "})
-    for history in ("th", "un", "zz"):
-        log, _ = m.score([history + c for c in letters] + [history])
-        whole, _ = m.score([history + c for c in letters])
-        assert np.isfinite(whole).all()
-    own = m.score("the cat sat".split())[0].sum(0)
-    assert m.langs[int(own.argmax())] == "en"
+def kneser_ney(texts):
+    """The model by definition, over n-grams as strings: p(history, character) for letters and the word's end (a space)."""
+    types = {4: Counter()}
+    for t in texts:
+        for w in t.lower().split():
+            x = "   " + w + " "
+            types[4].update(x[i - 3 : i + 1] for i in range(3, len(x)))
+    for k in (3, 2, 1):
+        types[k] = Counter(g[1:] for g in types[k + 1])
+
+    def p(history, c, k=4):
+        if k == 0:
+            return 1 / 0x110000
+        h = ("   " + history)[-(k - 1) :] if k > 1 else ""
+        n1, n2 = (sum(v == i for v in types[k].values()) for i in (1, 2))
+        d = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+        after = {g: n for g, n in types[k].items() if g[:-1] == h}
+        if not after:
+            return p(history, c, k - 1)
+        total = sum(after.values())
+        return max(after.get(h + c, 0) - d, 0) / total + d * len(after) / total * p(history, c, k - 1)
+
+    return p
+
+
+def test_model_by_definition(spark):
+    texts = {"en": ["the cat sat on the mat and the hat", "that chat"], "de": ["der hund und die katze und das haus", "dort"]}
+    m = language.train(docs(spark, sum(texts.values(), []), lang=["en", "en", "de", "de"]))
+    assert m.langs == ["de", "en"]
+    words = ["the", "hund", "zzz", "thé", "x", "und", "mathaus"]
+    sums, n = m.score(words)
+    for j, lang in enumerate(m.langs):
+        p = kneser_ney(texts[lang])
+        for i, w in enumerate(words):
+            assert n[i] == len(w) + 1 and sums[i, j] == pytest.approx(sum(np.log(p(w[:k], c)) for k, c in enumerate(w + " ")), rel=1e-4)
+        letters = sorted(set("".join(texts[lang])))  # the space among them, as the end
+        for history in ("", "t", "th", "un", "zz", "dor"):
+            whole = sum(p(history, c) for c in letters) + (0x110000 - len(letters)) * p(history, "\u4e00")
+            assert whole == pytest.approx(1)
+
+
+def test_noise_is_rejected_and_unseen_texts_are_not(spark):
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    rng = np.random.default_rng(11)
+    noise = [" ".join("".join(rng.choice(list("qxzjkvwy"), 7)) for _ in range(30)) for _ in range(40)]
+    both = d.select("doc_id", "text", "lang", "source", "n_chars").union(docs(spark, noise, doc_id=range(10**6, 10**6 + 40), lang=[None] * 40))
+    got = language.query(both).toPandas()
+    real = got[(got.doc_id < 10**6) & got.held_out & (got.lang_pred != "und")]
+    assert got[got.doc_id >= 10**6].rejected.mean() > 0.9 and real.rejected.mean() < 0.02
 
 
 def test_nothing_to_learn_from(spark):
