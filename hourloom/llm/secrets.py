@@ -2,7 +2,8 @@
 
 Three patterns give the base spans: assign, access and hex. The lexer then reads source and configuration syntax around
 each = and : into pairs of a name and a value. A value is a chain of string literals, bare words and names joined by
-+ or by standing next to each other. Names that were given constant values earlier in the text stand for
++ or by standing next to each other, in brackets over several lines with comments between them; or it is a block of lines: a
+triple-quoted string, a shell document (<<TAG) or the deeper lines after key: | or key: >. Assignments in comments count, as they give secrets away too. Names that were given constant values earlier in the text stand for
 those values, so password = part1 + part2 leads back to both literals, also without blanks and as $part1, ${part1} or $(part1). A
 value refers to the constants in it and holds a digest of the whole literal, so constants made of constants stay small however many
 parts they have. A new value replaces the old one; = without a value that can be read ends it. The words of the target name and the
@@ -10,13 +11,15 @@ form of the whole literal give a score; from LEAST up every literal that went in
 covers it.
 
 Cases: null or empty texts have no spans; offsets are code points, ends exclusive; every row is searched for itself, so repeated
-rows and null ids change nothing; other columns are left out of the result.
+rows and null ids change nothing; spans with one start are in the order of their kinds; a very long text is read once, in steps that grow
+with its length; an empty table gives an empty one; other columns are left out of the result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,6 +40,17 @@ VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|(\$\
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\\\n)?[ \t]*")
 #: After a name with $, a single point joins too, as in PHP.
 JOIN_NAMES = re.compile(r"[ \t]*(?:\+|\.\.?|\\\n)?[ \t]*")
+#: In brackets, lines may end and comments may stand between the parts.
+JOIN_LINES = re.compile(r"(?:[\s+]|\.\.|#[^\n]*|//[^\n]*)*")
+OPEN = re.compile(r"[ \t]*\((?=\s*(?:#[^\n]*\s*)*[\"'A-Za-z_])")
+FENCE = re.compile(r"""[ \t]*("{3}|'{3})""")
+#: A shell or configuration document: the rest of the line, then lines up to one that holds the tag alone.
+HEREDOC = re.compile(r"""[ \t]*(?:\$\(\s*cat\s*)?<<[-~]?[ \t]*["']?([A-Za-z_]\w*)["']?[^\n]*\n""", re.ASCII)
+#: Fences, and lines that hold nothing but a name, brackets and semicolons.
+CLOSE = re.compile(r"""("{3}|'{3})|^[ \t]*([A-Za-z_]\w*)[ \t]*[);]*[ \t]*$""", re.ASCII | re.M)
+#: A block of deeper lines after a key.
+BLOCK = re.compile(r"[ \t]*[|>][-+0-9]{0,2}[ \t]*(?:#[^\n]*)?\n")
+LINE = re.compile(r"[^\n]+")
 OPERAND = re.compile(r"\$?(?:(?!\.\$)[^+$])+")
 NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -153,16 +167,68 @@ def operands(word: str, constants: dict[str, Value]) -> list[tuple[int, int, Val
     return [(0, len(word), constants.get(word))]
 
 
+class Blocks:
+    """Literals of several lines. Where they may end is listed once for a text, so what has no end isn't sought again and again."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends: dict[str, list[tuple[int, int]]] | None = None
+
+    def close(self, what: str, at: int) -> tuple[int, int] | None:
+        """The first fence, or line that holds the tag alone, from at on."""
+        if self.ends is None:
+            self.ends = {}
+            for m in CLOSE.finditer(self.text):
+                self.ends.setdefault(m[1] or m[2], []).append(m.span())
+        own = self.ends.get(what, [])
+        i = bisect_left(own, (at, 0))
+        return own[i] if i < len(own) else None
+
+    def at(self, place: int, colon: bool) -> tuple[int, int, int] | None:
+        """Where a block that opens at place begins and ends, and where reading goes on."""
+        text = self.text
+        if m := FENCE.match(text, place):
+            end = self.close(m[1], m.end())
+            return (m.end(), *end) if end else None
+        if m := HEREDOC.match(text, place):
+            end = self.close(m[1], m.end())
+            return (m.end(), *end) if end else None
+        if colon and (m := BLOCK.match(text, place)):
+            line = text.rfind("\n", 0, place) + 1
+            depth = len(text[line:place]) - len(text[line:place].lstrip(" -"))
+            end = m.end()
+            while end < len(text):
+                stop = text.find("\n", end) + 1 or len(text)
+                own = text[end:stop]
+                if own.strip() and len(own) - len(own.lstrip(" ")) <= depth:
+                    break
+                end = stop
+            return m.end(), end, end
+        return None
+
+
 def lexed(text: str) -> list[Span]:
     """Literals that reach a sensitive name, through constants if need be."""
     constants: dict[str, Value] = {}
     found: dict[tuple[int, int], float] = {}
     done = 0
+    blocks = Blocks(text)
     for m in OPERATOR.finditer(text):
         if m.start() < done or not (name := target(text, m.start())):
             continue
         value, end, at, n = Value(), m.end(), m.end(), 0
-        while v := VALUE.match(text, at):
+        if block := blocks.at(at, m[0] == ":"):
+            for x in LINE.finditer(text, *block[:2]):
+                own = x[0].strip()
+                if own:
+                    first = x.start() + x[0].index(own)
+                    value.write(first, first + len(own), own)
+                    n += 1
+            at = end = block[2]
+        bracket = None if block else OPEN.match(text, at)
+        if bracket:
+            at = JOIN_LINES.match(text, bracket.end()).end()
+        while not block and (v := VALUE.match(text, at)):
             group, first, at = v.lastindex, v.start(v.lastindex), v.end()
             parts = operands(v[3], constants) if group == 3 else [(0, len(v[group]), None)]
             more = True
@@ -171,7 +237,7 @@ def lexed(text: str) -> list[Span]:
                 if known:
                     value.use(known)
                     end = m.end()
-                elif group != 3 or not part.startswith(("${", "$(")) and (n == 0 or re.search(r"[0-9]", part)):
+                elif group != 3 or not bracket and not part.startswith(("${", "$(")) and (n == 0 or re.search(r"[0-9]", part)):
                     value.write(first + a, first + b, part)
                     end = first + b
                 else:
@@ -182,8 +248,8 @@ def lexed(text: str) -> list[Span]:
                 break
             names = group == 3 and parts[-1][2] is not None
             marked = names and "$" in v[3]
-            j = (JOIN_NAMES if marked else JOIN).match(text, at)
-            if group == 3 and not (j[0].strip() or (names and v[3].endswith("+")) or (marked and not j[0])):
+            j = (JOIN_LINES if bracket else JOIN_NAMES if marked else JOIN).match(text, at)
+            if group == 3 and not (bracket or j[0].strip() or (names and v[3].endswith("+")) or (marked and not j[0])):
                 break  # bare words are joined by an operator, or names with $ by standing together
             at = j.end()
         if not n:
@@ -202,7 +268,17 @@ def spans(text: str) -> list[Span]:
     """All spans by start, then by kind; lexed ones only where no base span covers them."""
     own = base(text)
     if "=" in text or ":" in text:
-        own += [x for x in lexed(text) if not any(a <= x[1] and x[2] <= b for _, a, b, _ in own)]
+        starts, reach, most = [], [], 0
+        for _, a, b, _ in sorted(own, key=lambda x: x[1]):
+            most = max(most, b)
+            starts.append(a)
+            reach.append(most)  # the furthest end of what starts here or before
+
+        def covered(x: Span) -> bool:
+            i = bisect_right(starts, x[1])
+            return i > 0 and reach[i - 1] >= x[2]
+
+        own += [x for x in lexed(text) if not covered(x)]
     return sorted(own, key=lambda x: (x[1], x[0], x[2]))
 
 

@@ -187,6 +187,30 @@ def test_lexer_follows_every_constant():
     assert found('a = "Zx81kQpLmN"\n' + "a = a + a\n" * 3000 + "db_pwd = a\n" * 3000) == ["Zx81kQpLmN"]
 
 
+def test_lexer_reads_blocks_of_lines():
+    found = lambda t: [t[a:b] for k, a, b, _ in secrets.spans(t) if k == 3]
+    assert found('db_pwd = """\n  Zx81kQpLmN\n  77aaBBcc\n"""\nx = 1') == ["Zx81kQpLmN", "77aaBBcc"]
+    assert found("export DB_PWD=$(cat <<EOF\nZx81kQpLmN\nEOF\n)\n") == ["Zx81kQpLmN"] and found("db_pwd = <<-END\n\tZx81kQpLmN\n\tEND\n") == ["Zx81kQpLmN"]
+    assert found("db:\n  auth_key: |\n    Zx81kQpLmN\n    77aaBBcc\n  port: 1234567890\n") == ["Zx81kQpLmN", "77aaBBcc"]
+    assert found('db_pwd = (\n  "Zx81k"  # first\n  "QpLmN" // second\n)\n') == ["Zx81k", "QpLmN"]
+    assert found('a = "Zx81k"\ndb_pwd = (a +\n  "QpLmN")') == ["Zx81k", "QpLmN"] and found("# db_pwd = Zx81kQpLmN") == ["Zx81kQpLmN"]
+    assert found('db_pwd = """unclosed\nZx81kQpLmN') == found("db_pwd = <<EOF\nZx81kQpLmN") == []
+    for i in range(3):
+        assert found(PROSE * i + "The token of the game: a small stone. His secret = the key to the barn, and the pass: closed (for now).") == []
+
+
+def test_lexer_takes_time_in_proportion():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        t = "".join(f'x{i} = """\npwd{i} = <<E{i}\nsecret_key{i} = "Zx81kQpLmN{i}"\npassword = abcdef{i}\n' for i in range(n))
+        began = time.process_time()
+        assert len(secrets.spans(t)) >= n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------------
 
 
