@@ -2,13 +2,14 @@
 
 Rules read each whole text. Base rules fail short or repetitive texts. Two further rules, on symbols and on
 repeated lines, have a mild and a severe limit. For each host (the column source) and rule the share of failing
-documents is shrunk towards a beta prior whose mean and strength come from all hosts (method of moments), and a host
-whose shrunk share exceeds host_share is bad at that rule. A document goes if it fails a base rule, passes a severe
+documents is shrunk towards a beta prior whose mean and strength come from all hosts (method of moments, weighted by documents and less the
+spread that chance gives hosts of few documents), and a host whose shrunk share exceeds HOST_SHARE is bad at that rule. A document goes if it fails a base rule, passes a severe
 limit, or passes a mild limit on a host that is bad at that rule. So a host's verdict tightens the limits but
 never removes a document that meets all of them.
 
 Cases: a null text has no words and fails; a null host is a host of its own; repeated rows are judged alike and count
-each; with one host the prior is that host's own share; an empty table gives an empty one.
+each; with one host the prior is that host's own share; a very long text is sorted inside its row; other columns are ignored, whatever
+their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -49,11 +50,16 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 def host_rates(measured: DataFrame) -> DataFrame:
     """One row per host: share of documents past each mild limit, shrunk by the prior of all hosts."""
     hosts = measured.groupBy(F.col("source").alias("host")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"mild_{r}").cast("bigint")).alias(f"f_{r}") for r in ("symbols", "lines")])
-    prior = hosts.agg(*[x for r in ("symbols", "lines") for x in (F.avg(F.col(f"f_{r}") / F.col("n")).alias(f"m_{r}"), F.var_pop(F.col(f"f_{r}") / F.col("n")).alias(f"v_{r}"))])
+    n = F.col("n").cast("double")
+    sums = [F.sum(n).alias("all_n"), F.sum(n * n).alias("all_n2"), F.count(F.lit(1)).alias("hosts")]
+    prior = hosts.agg(*sums, *[x for r in ("symbols", "lines") for x in (F.sum(f"f_{r}").alias(f"all_{r}"), F.sum(F.col(f"f_{r}") * F.col(f"f_{r}") / n).alias(f"sq_{r}"))])
     out = hosts.crossJoin(F.broadcast(prior))  # prior is one row
     for r in ("symbols", "lines"):
-        m, v = F.col(f"m_{r}"), F.col(f"v_{r}")
-        strength = F.least(F.greatest(F.coalesce(F.try_divide(m * (1 - m), v) - 1, F.lit(PRIOR_MOST)), F.lit(PRIOR_LEAST)), F.lit(PRIOR_MOST))
+        m = F.col(f"all_{r}") / F.col("all_n")
+        # What the shares differ by, weighted by documents, less what chance alone gives hosts of that size; over the most it could be.
+        rest = F.col(f"sq_{r}") - m * F.col(f"all_{r}") - m * (1 - m) * (F.col("hosts") - 1)
+        rho = F.try_divide(rest, m * (1 - m) * (F.col("all_n") - F.col("all_n2") / F.col("all_n") - (F.col("hosts") - 1)))
+        strength = F.when(rho > 0, F.least(F.greatest(1 / rho - 1, F.lit(PRIOR_LEAST)), F.lit(PRIOR_MOST))).otherwise(F.lit(PRIOR_MOST))
         out = out.withColumn(f"share_{r}", (F.col(f"f_{r}") + m * strength) / (F.col("n") + strength))
     return out.select("host", "n", "share_symbols", "share_lines")
 
@@ -96,8 +102,10 @@ m AS (SELECT doc_id, source, len(ws) AS n_words, coalesce(list_sum(list_transfor
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * n_symbols > 10 * n_words AS ms, 100 * n_dup_lines > 30 * n_lines AS ml,
              100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 60 * n_lines AS severe FROM m),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (ms) AS fs, count(*) FILTER (ml) AS fl FROM v GROUP BY source),
-p AS (SELECT avg(fs / n) AS a, var_pop(fs / n) AS b, avg(fl / n) AS c, var_pop(fl / n) AS e FROM h),
-q AS (SELECT a, c, least(greatest(coalesce(a * (1 - a) / nullif(b, 0) - 1, 1000), 2), 1000) AS s, least(greatest(coalesce(c * (1 - c) / nullif(e, 0) - 1, 1000), 2), 1000) AS z FROM p),
+p AS (SELECT sum(n)::DOUBLE AS m, sum(n::DOUBLE * n) AS m2, count(*) AS hosts, sum(fs) / sum(n) AS a, sum(fs::DOUBLE * fs / n) - sum(fs) / sum(n) * sum(fs) AS b,
+             sum(fl) / sum(n) AS c, sum(fl::DOUBLE * fl / n) - sum(fl) / sum(n) * sum(fl) AS e FROM h),
+o AS (SELECT a, c, (b - a * (1 - a) * (hosts - 1)) / nullif(a * (1 - a) * (m - m2 / m - (hosts - 1)), 0) AS x, (e - c * (1 - c) * (hosts - 1)) / nullif(c * (1 - c) * (m - m2 / m - (hosts - 1)), 0) AS y FROM p),
+q AS (SELECT a, c, CASE WHEN x > 0 THEN least(greatest(1 / x - 1, 2), 1000) ELSE 1000 END AS s, CASE WHEN y > 0 THEN least(greatest(1 / y - 1, 2), 1000) ELSE 1000 END AS z FROM o),
 k AS (SELECT source, (fs + a * s) / (n + s) > 0.3 AS bs, (fl + c * z) / (n + z) > 0.3 AS bl FROM h, q)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
        NOT (base_failed OR severe OR (ms AND bs) OR (ml AND bl)) AS kept
