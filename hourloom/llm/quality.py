@@ -6,9 +6,9 @@ each pattern a posterior label. The labels of at most SAMPLE documents, chosen b
 scorer over hashed features (logistic loss; up to SHARDS models, trained on their own parts of the sample, PER_SHARD documents or more, and averaged). The
 scorer judges all documents.
 
-Cases: a null text or one without a word is rejected with score 0 and takes no part in training; repeated rows count each; with
-fewer than two kinds of labels the scorer still trains and follows its bias; an empty table gives an empty one; columns
-named like those added are replaced.
+Cases: a null text or one without a word is rejected with score 0 and takes no part in training; a score of exactly one half is kept;
+repeated rows count each and score alike; with fewer than two kinds of labels the scorer still trains and follows its bias; a very long
+text is read whole by one task; an empty table gives an empty one; other columns stay, but for quality_score and quality_kept, which are replaced.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ class Features:
         return zlib.crc32(name.encode("utf-8", "surrogatepass")) % DIMENSIONS
 
     def word(self, w: str) -> tuple[int, int, int]:
-        form = re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))[:24]
+        form = re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
         return self.slot(f"f:{form}"), self.slot(f"t:{w[-2:]}" if not w[-1].isalnum() else "t:"), self.slot(f"w:{w.lower()}")
 
     def words(self, many: set[str]) -> dict[str, tuple[int, int, int]]:
@@ -182,7 +182,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str,
     features = chosen.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, slots array<int>, values array<double>, good double")
     features = features.withColumn("part", F.pmod(F.xxhash64(F.lit(2), F.col("doc_id")), F.lit(parts)))
 
-    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:
         w = train_part(rows.sort_values("doc_id", kind="stable"))
         at = np.flatnonzero(w)
         return pd.DataFrame({"slot": at, "w": w[at], "part": key[0]})
