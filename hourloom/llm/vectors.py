@@ -132,10 +132,8 @@ def compare(table: pa.Table, index: Index, least: float, width: int) -> pa.Table
         for j, t in enumerate(index.table(part, which)):
             d += t[:, codes[:, j]]
         a, b = np.nonzero(d <= reach)
-        if 8 * len(a) > d.size:
-            cosine = (part @ x.T)[a, b]
-        else:
-            cosine = np.concatenate([np.einsum("ij,ij->i", part[a[k : k + 65536]], x[b[k : k + 65536]]) for k in range(0, len(a), 65536)]) if len(a) else np.empty(0)
+        # The same sum for a pair whatever the group.
+        cosine = np.concatenate([np.einsum("ij,ij->i", part[a[k : k + 65536]], x[b[k : k + 65536]]) for k in range(0, len(a), 65536)]) if len(a) else np.empty(0)
         ok = (cosine >= least) & (qi[i + a] != xi[b])
         a, b = a[ok], b[ok]
         counted[i : i + CHUNK] = np.bincount(a, weight[b], len(part)).astype(np.int64)
@@ -163,9 +161,10 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     width = usual[0]["n"] if usual else 1
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
     good = F.coalesce((F.size("embedding") == width) & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    keyed = materialise(rows.select("id", good.alias("good"), F.when(good, F.xxhash64("embedding")).alias("h1"), F.when(good, F.xxhash64(F.lit(1), "embedding")).alias("h2"), F.when(good, F.col("embedding")).alias("embedding")), "vectors")
-    distinct = keyed.filter("good").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("embedding").alias("embedding"))
-    distinct = materialise(distinct.withColumnRenamed("h1", "node"), "distinct-vectors")
+    keyed = materialise(rows.select("id", good.alias("good"), F.when(good, F.xxhash64("embedding")).alias("h1"), F.when(good, F.xxhash64(F.lit(1), "embedding")).alias("h2"), F.when(good, F.col("embedding")).alias("embedding")).withColumn("rid", F.monotonically_increasing_id()), "vectors")
+    # Equal vectors by 128 bits; the least row number names them.
+    distinct = keyed.filter("good").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("embedding").alias("embedding"))
+    distinct = materialise(distinct, "distinct-vectors")
     total = distinct.count()
     if total:
         share = min(1.0, SAMPLE / total)
@@ -177,10 +176,10 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
         linked = link(distinct, index, least, width)
         known = materialise(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector-components")
         sums = materialise(linked.groupBy("node").agg(F.sum("n").alias("n")), "vector-links")
-        both = distinct.select("node", "h2", "rep", "m").join(sums, "node", "left").join(known, "node", "left")
-        both = materialise(both.select("node", "h2", "rep", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("root")), "classes")
+        both = distinct.select("node", "h1", "h2", "rep", "m").join(sums, "node", "left").join(known, "node", "left")
+        both = materialise(both.select("h1", "h2", "rep", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("root")), "classes")
         least_id = materialise(both.groupBy("root").agg(F.min("rep").alias("component_id")), "least-ids")
-        done = materialise(both.join(least_id, "root").select(F.col("node").alias("h1"), "h2", "n_links", "component_id"), "class-results")
+        done = materialise(both.join(least_id, "root").select("h1", "h2", "n_links", "component_id"), "class-results")
     else:
         done = spark.createDataFrame([], "h1 long, h2 long, n_links long, component_id long")
     real = lambda c: F.when(c != NULL_ID, c)
