@@ -98,9 +98,10 @@ p AS (SELECT source, greatest(ceil(rate / 64.0), 1)::INT AS parts, rate / greate
 t AS (SELECT source, parts, u.k, m, ceil(m + 12 * sqrt(m) + 40)::INT AS top FROM p, LATERAL (SELECT unnest(range(0, ceil(m + 12 * sqrt(m) + 40)::INT + 1)) AS k) u),
 d AS (SELECT source, k, exp(-m) * exp(sum(CASE WHEN k = 0 THEN 0 ELSE ln(m / k) END) OVER (PARTITION BY source ORDER BY k)) AS mass FROM t),
 f AS (SELECT source, k, sum(mass) OVER (PARTITION BY source ORDER BY k) AS cdf FROM d),
-u AS (SELECT doc_id, x.source, (('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, '') || ':' || j), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
-      FROM documents x JOIN p ON x.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(1, parts + 1)) AS j) y),
-n AS (SELECT doc_id, u.source, count(*) AS n FROM u JOIN f ON u.source IS NOT DISTINCT FROM f.source AND f.cdf <= u.u GROUP BY doc_id, u.source)
-SELECT doc_id, source, copy::BIGINT AS copy, n::BIGINT AS n_copies, md5('8:order:' || doc_id || ':' || copy) AS mix_key
+x AS (SELECT row_number() OVER () AS rid, doc_id, source FROM documents),
+u AS (SELECT rid, doc_id, x.source, (('0x' || substr(md5('8:' || coalesce(doc_id::VARCHAR, '') || ':' || j), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+      FROM x JOIN p ON x.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(1, parts + 1)) AS j) y),
+n AS (SELECT rid, doc_id, u.source, count(*) AS n FROM u JOIN f ON u.source IS NOT DISTINCT FROM f.source AND f.cdf <= u.u GROUP BY rid, doc_id, u.source)
+SELECT doc_id, source, copy::BIGINT AS copy, n::BIGINT AS n_copies, md5(concat_ws(':', '8:order', doc_id, copy)) AS mix_key
 FROM n, LATERAL (SELECT unnest(range(0, n)) AS copy) z
 """
