@@ -65,6 +65,12 @@ def calendar_disagreements(df: DataFrame, ts: str = "observation_timestamp") ->
     return df.agg(F.coalesce(F.sum((~right).cast("bigint")), F.lit(0)).cast("bigint").alias("n_wrong"))
 
 
+def require_calendar(df: DataFrame, ts: str = "observation_timestamp") -> None:
+    """Only where the panel brings all four calendar fields."""
+    if {"year", "month", "day", "hour"} <= set(df.columns) and (n := calendar_disagreements(df, ts).first()[0]):
+        raise ValueError(f"{n} rows have calendar fields that aren't the timestamp's")
+
+
 def missing_rates(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column and missing_rate, in one pass."""
     columns = columns or df.columns
@@ -112,5 +118,16 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).union(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def require_same_release(a: DataFrame, b: DataFrame, position: str | None = None) -> None:
+    """Columns, their order and types, and rows, duplicates counted. position: a column that holds a row's place in its file,
+    so that rows must come in the same order too."""
+    if (x := a.dtypes) != (y := b.dtypes):
+        raise ValueError(f"schemas differ: {[c for c in x if c not in y] or x} against {[c for c in y if c not in x] or y}")
+    if position and position not in a.columns:
+        raise ValueError(f"no column {position}")
+    if found := difference(a, b).groupBy("side").count().collect():
+        raise ValueError("rows of one side only: " + ", ".join(f"{r['count']} {r['side']}" for r in found))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]

@@ -14,15 +14,12 @@ STATISTICS = ("mean", "std", "min", "max", "median")
 MEAN_LAGS, HALO = (1, 3, 6, 24), 24
 
 
-def hour_table(panel: DataFrame, ts: str = "observation_timestamp", readings: bool = False) -> DataFrame:
-    """One row per hour: statistics of the network columns over its stations, their range and, on request, each station's
-    primary readings as a map, which holds as many entries as there are stations."""
+def hour_table(panel: DataFrame, ts: str = "observation_timestamp") -> DataFrame:
+    """One row per hour: statistics of the network columns over its stations, and the primary ones' range."""
     aggs: list[Column] = []
     for c in NETWORK:
         made = (F.avg(c), F.stddev_samp(c), F.min(c), F.max(c), F.median(c))
         aggs += [a.alias(f"network_{c}_{s}") for a, s in zip(made, STATISTICS)]
-    if readings:
-        aggs.append(F.map_from_entries(F.collect_list(F.struct("station", F.struct(*PRIMARY)))).alias("readings_"))
     out = panel.groupBy(ts).agg(*aggs)
     return out.select("*", *[(F.col(f"network_{c}_max") - F.col(f"network_{c}_min")).alias(f"network_{c}_range") for c in PRIMARY])
 
@@ -46,9 +43,9 @@ def network_rates() -> Columns:
     return out
 
 
-def hours(panel: DataFrame, readings: bool = False) -> DataFrame:
+def hours(panel: DataFrame) -> DataFrame:
     """The hour table with its history and rates."""
-    table = with_history(hour_table(panel, readings=readings), [], history_columns, HALO)
+    table = with_history(hour_table(panel), [], history_columns, HALO)
     return table.select("*", *[c.alias(n) for n, c in network_rates().items()])
 
 

@@ -80,14 +80,26 @@ def lags_by_join(df: DataFrame, keys: list[str], columns: list[str], hours: int,
     return df.join(right, [*keys, ts], "left")
 
 
-def gap_hours(df: DataFrame, keys: list[str], ts: str = "observation_timestamp") -> DataFrame:
+def latest(df: DataFrame, keys: list[str], seen: dict[str, Column], inclusive: bool, ts: str = "observation_timestamp", bucket_hours: int = BUCKET_HOURS) -> DataFrame:
+    """df with, for each name, the epoch of the last row up to the own one (or before it) where its condition holds; null while there is none.
+
+    Rows are windowed by (keys, bucket of time). What lies in earlier buckets comes from one row per key and bucket, so no
+    window holds an entity's whole history."""
+    marked = df.withColumns({"epoch_": epoch(ts), "bucket_": F.floor(epoch(ts) / F.lit(bucket_hours * HOUR))}).withColumns({f"{n}_at_": F.when(c, F.col("epoch_")) for n, c in seen.items()})
+    before = Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy(*keys, "bucket_").agg(*[F.max(f"{n}_at_").alias(f"{n}_at_") for n in seen]).select(*keys, "bucket_", *[F.max(f"{n}_at_").over(before).alias(f"{n}_before_") for n in seen])
+    own = Window.partitionBy(*keys, "bucket_").orderBy("epoch_").rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    both = marked.join(carried, [*keys, "bucket_"], "left")
+    return both.select(*[F.col(f"`{c}`") for c in df.columns], "epoch_", *[F.greatest(F.max(f"{n}_at_").over(own), F.col(f"{n}_before_")).alias(n) for n in seen])
+
+
+def gap_hours(df: DataFrame, keys: list[str], ts: str = "observation_timestamp", bucket_hours: int = BUCKET_HOURS) -> DataFrame:
     """Each row with the hours since the row before it, null for the first."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    return df.withColumn("gap_hours", (epoch(ts) - F.lag(epoch(ts)).over(w)) / F.lit(float(HOUR)))
+    out = latest(df, keys, {"last_": F.lit(True)}, False, ts, bucket_hours)
+    return out.withColumn("gap_hours", (F.col("epoch_") - F.col("last_")) / F.lit(float(HOUR))).drop("epoch_", "last_")
 
 
-def hours_since_observed(df: DataFrame, keys: list[str], columns: list[str], ts: str = "observation_timestamp") -> DataFrame:
+def hours_since_observed(df: DataFrame, keys: list[str], columns: list[str], ts: str = "observation_timestamp", bucket_hours: int = BUCKET_HOURS) -> DataFrame:
     """Hours since the last reading of each column at or before the row; null while none is known."""
-    w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    since = lambda c: (epoch(ts) - F.last(F.when(F.col(c).isNotNull(), epoch(ts)), ignorenulls=True).over(w)) / F.lit(float(HOUR))
-    return df.withColumns({f"{c}_hours_since": since(c) for c in columns})
+    out = latest(df, keys, {f"{c}_last_": F.col(c).isNotNull() for c in columns}, True, ts, bucket_hours)
+    return out.withColumns({f"{c}_hours_since": (F.col("epoch_") - F.col(f"{c}_last_")) / F.lit(float(HOUR)) for c in columns}).drop("epoch_", *[f"{c}_last_" for c in columns])

@@ -26,31 +26,26 @@ def edges(spark: SparkSession, stations: dict[str, tuple[float, float]] = STATIO
     return met.filter(F.col("align") > F.cos(F.radians(F.lit(45.0))))
 
 
-def upwind_map(spark: SparkSession) -> DataFrame:
-    """station, wd and up: array of station and align; at most 12 x 16 rows."""
-    return edges(spark).groupBy("station", "wd").agg(F.array_sort(F.collect_list(F.struct("up_station", "align"))).alias("up_"))
-
-
 def state() -> Columns:
-    """From up_ and readings_: means over the readings there are, weighted by align too, and the number of stations, readings or not."""
-    known = lambda c: F.filter("up_", lambda u: F.try_element_at("readings_", u["up_station"])[c].isNotNull())
-    total = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda n, u: n + f(u))
-
-    def value(c: str):
-        return lambda u: F.try_element_at("readings_", u["up_station"])[c]
-
+    """Aggregates over a row's edges: means of the readings there are, weighted by align too, and the number of stations, readings or not."""
     out: Columns = {}
     for c in PRIMARY:
-        rows = F.coalesce(known(c), F.array().cast("array<struct<up_station: string, align: double>>"))
-        out[f"upwind_{c}_mean"] = total(rows, value(c)) / F.nullif(F.size(rows).cast("double"), F.lit(0.0))
-        out[f"upwind_{c}_weighted"] = total(rows, lambda u, v=value(c): v(u) * u["align"]) / F.nullif(total(rows, lambda u: u["align"]), F.lit(0.0))
-    return out | {"upwind_count": F.coalesce(F.size("up_"), F.lit(0)), "upwind_missing": (F.coalesce(F.size("up_"), F.lit(0)) <= 0).cast("int")}
+        out[f"upwind_{c}_mean"] = F.avg(f"up_{c}")
+        out[f"upwind_{c}_weighted"] = F.sum(F.col(f"up_{c}") * F.col("align")) / F.nullif(F.sum(F.when(F.col(f"up_{c}").isNotNull(), F.col("align"))), F.lit(0.0))
+    return out | {"upwind_count": F.count("up_station"), "upwind_missing": (F.count("up_station") <= 0).cast("int")}
+
 
+def with_upwind(panel: DataFrame, ts: str = "observation_timestamp") -> DataFrame:
+    """Adds state() to a panel that is unique by station and hour.
 
-def with_upwind(panel_hours: DataFrame) -> DataFrame:
-    """Adds state() to rows that have wd and the hour's readings_. The map is a fixed table and is broadcast."""
-    joined = panel_hours.join(F.broadcast(upwind_map(panel_hours.sparkSession)), ["station", "wd"], "left")
-    return joined.select("*", *[c.alias(n) for n, c in state().items()]).drop("up_", "readings_")
+    The fixed table of edges is broadcast and gives each row the stations to read, a few at most; these meet the readings
+    of the hour in an equi-join, and their aggregates meet the rows by (station, hour)."""
+    wanted = panel.select("station", ts, "wd").join(F.broadcast(edges(panel.sparkSession)), ["station", "wd"])
+    readings = panel.select(ts, F.col("station").alias("up_station"), *[F.col(c).alias(f"up_{c}") for c in PRIMARY])
+    made = state()
+    known = wanted.join(readings, [ts, "up_station"], "left").groupBy("station", ts).agg(*[c.alias(n) for n, c in made.items()])
+    empty = {"upwind_count": F.coalesce("upwind_count", F.lit(0)).cast("int"), "upwind_missing": F.coalesce("upwind_missing", F.lit(1))}
+    return panel.join(known, ["station", ts], "left").withColumns(empty)
 
 
 def history_columns(h: History) -> Columns:
@@ -68,5 +63,5 @@ def contrasts() -> Columns:
 
 def coverage(spark: SparkSession) -> DataFrame:
     """Share of (station, wd) pairs with a station upwind, as a DataFrame of one row."""
-    found = upwind_map(spark).count()
+    found = edges(spark).select("station", "wd").distinct().count()
     return spark.createDataFrame([(found / (len(STATIONS) * len(COMPASS)),)], "coverage double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hourloom.operators import checks, network, rowwise, splits, temporal, upwind
 from hourloom.schema import KEY, NETWORK, POLLUTANTS, PRIMARY, TARGET, WEATHER
-from hourloom.sources import read_panel_csv, write_parquet, write_registry
+from hourloom.sources import delete, read_panel_csv, write_parquet, write_registry
 
 LONGEST = 48
 TS = "observation_timestamp"
@@ -83,12 +83,11 @@ def column_order(families: dict[str, list[str]]) -> list[str]:
 def build_features(panel: DataFrame, keep: tuple[str, ...] = ("id", TS, "_is_train")) -> DataFrame:
     """All families for every row of the panel, which must be unique by station and hour.
 
-    Two exchanges carry the rows: one to the hour, for the network and upwind columns, and one to (station, bucket of time), for
-    all lags and windows. Rows that are to be split later must be in one panel, since test rows look back into training rows."""
+    Rows are exchanged by hour for the network columns, by (hour, station) for the upwind ones and by (station, bucket of time) for
+    all lags and windows, which share one sort. Rows that are to be split later must be in one panel, since test rows look back into training rows."""
     keep = tuple(c for c in keep if c in panel.columns)
     base = panel.select(*dict.fromkeys([TS, *keep, "station", *POLLUTANTS, *WEATHER, "wd"]))
-    hours = network.hours(base, readings=True)
-    seen = upwind.with_upwind(base.join(hours, TS, "left"))
+    seen = upwind.with_upwind(base).join(network.hours(base), TS, "left")
 
     def history(h):
         return temporal.lag_columns(h) | temporal.rolling_columns(h) | upwind.history_columns(h)
@@ -102,8 +101,9 @@ def build_features(panel: DataFrame, keep: tuple[str, ...] = ("id", TS, "_is_tra
 
 @dataclass
 class Export:
-    train: DataFrame
-    test: DataFrame
+    """features holds both splits, marked by _is_train; nothing has run yet but the checks."""
+
+    features: DataFrame
     labels: DataFrame
     test_ids: DataFrame
     families: dict[str, list[str]] = field(default_factory=dict)
@@ -114,23 +114,31 @@ def prepare(train: DataFrame, test: DataFrame, audit: bool = True) -> Export:
     measured = [*POLLUTANTS, *WEATHER]
     if audit:
         checks.require_no_leak(checks.leak_audit(train, measured, TARGET))
+    checks.require_disjoint(train, test)
     full = splits.union(train, test)
     checks.require_unique(full)
+    checks.require_calendar(full)
     features = build_features(full)
     known = families()
     checks.reject_names(features.columns)
     if rest := unassigned([c for c in features.columns if c not in ("id", TS, "_is_train")], known):
         known["UNASSIGNED"] = rest
-    parts = splits.split(features)
-    checks.require_same_columns(*parts)
-    labels = checks.join_one_to_one(parts[0].select("id", *KEY), train.select(*KEY, TARGET), list(KEY)).select("id", TARGET)
-    return Export(parts[0], parts[1], labels, parts[1].select("id"), known)
+    labels = checks.join_one_to_one(full.filter("_is_train = 1").select("id", *KEY), train.select(*KEY, TARGET), list(KEY)).select("id", TARGET)
+    return Export(features, labels, full.filter("_is_train = 0").select("id"), known)
 
 
 def export(spark: SparkSession, made: Export, folder: str) -> None:
-    """features_train, features_test, y, test_ids and feature_groups.json. Rows carry their id: files have no row order to align by."""
-    for name, df in (("features_train", made.train), ("features_test", made.test)):
-        write_parquet(df.drop(TS), f"{folder}/{name}.parquet", narrow=True)
+    """features_train, features_test, y, test_ids and feature_groups.json. Rows carry their id: files have no row order to align by.
+
+    The features are made once, into a table by split that both files are read from; it goes again at the end."""
+    stage = f"{folder}/_features.parquet"
+    made.features.drop(TS).write.mode("overwrite").partitionBy("_is_train").parquet(stage)
+    written = spark.read.schema(made.features.drop(TS).schema).parquet(stage)
+    parts = splits.split(written)
+    checks.require_same_columns(*parts)
+    for name, df in zip(("features_train", "features_test"), parts):
+        write_parquet(df, f"{folder}/{name}.parquet", narrow=True)
+    delete(spark, stage)
     write_parquet(made.labels, f"{folder}/y.parquet")
     write_parquet(made.test_ids, f"{folder}/test_ids.parquet")
     write_registry(spark, made.families, f"{folder}/feature_groups.json")

@@ -29,11 +29,33 @@ def guard_columns(names: list[str], train: bool) -> None:
         raise ValueError(f"the test panel has {TARGET}")
 
 
+#: Whole types from the narrowest, with the largest value of each.
+WHOLE = (("tinyint", (1 << 7) - 1), ("smallint", (1 << 15) - 1), ("int", (1 << 31) - 1))
+
+
+def narrowed(df: DataFrame) -> DataFrame:
+    """Doubles as floats, and whole columns in the narrowest type that holds all their values, which takes one pass over their ranges."""
+    whole = [c for c, t in df.dtypes if t in ("bigint", "int", "smallint")]
+    ranges = df.agg(*[x for c in whole for x in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))]).first() if whole else None
+
+    def kind(c: str, t: str) -> str:
+        if t == "double":
+            return "float"
+        low, high = (ranges[f"{c}_min"], ranges[f"{c}_max"]) if c in whole else (None, None)
+        return next((k for k, most in WHOLE if -most - 1 <= low and high <= most), t) if low is not None else t
+
+    return df.select([F.col(c).cast(kind(c, t)).alias(c) for c, t in df.dtypes])
+
+
 def write_parquet(df: DataFrame, path: str, narrow: bool = False) -> None:
-    """narrow: doubles are stored as floats, as the last step only."""
-    if narrow:
-        df = df.select([F.col(c).cast("float").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-    df.write.mode("overwrite").parquet(path)
+    """narrow: types as narrow as the values allow, as the last step only."""
+    (narrowed(df) if narrow else df).write.mode("overwrite").parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder in any store that Spark can write."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:

@@ -11,7 +11,7 @@ from hourloom.functions import clip_low, correlation, ratio
 from hourloom.operators import checks, network, rowwise, splits, temporal, upwind
 from hourloom.plans import features
 from hourloom.schema import COMPASS, POLLUTANTS, STATIONS, TARGET, WEATHER
-from hourloom.sources import fingerprints, guard_columns, read_panel_csv, read_registry
+from hourloom.sources import fingerprints, guard_columns, read_panel_csv, read_registry, write_parquet
 
 START = dt.datetime(2016, 1, 1)
 NUMBERS = [*POLLUTANTS, *WEATHER]
@@ -204,6 +204,70 @@ def test_time_since_observed(spark):
     assert [got[h]["CO_hours_since"] for h in (0, 1, 4)] == [None, 0, 3]
 
 
+@pytest.mark.parametrize("bucket", [1, 3, 7, 100_000])
+def test_gaps_and_readings_over_buckets(spark, bucket):
+    hours = [h for h in range(40) if h % 6 not in (2, 3)]
+    p = panel(spark, [(h, s, {"CO": h if h % 5 == 0 and h > 3 else None}) for h in hours for s in ("Dongsi", "Wanliu")])
+    for s in ("Dongsi", "Wanliu"):
+        gaps = by_hour(temporal.gap_hours(p, ["station"], bucket_hours=bucket).filter(F.col("station") == s))
+        since = by_hour(temporal.hours_since_observed(p, ["station"], ["CO"], bucket_hours=bucket).filter(F.col("station") == s))
+        for before, h in zip([None, *hours], hours):
+            assert gaps[h]["gap_hours"] == (None if before is None else h - before)
+            seen = [x for x in hours if x <= h and x % 5 == 0 and x > 3]
+            assert since[h]["CO_hours_since"] == (h - seen[-1] if seen else None)
+
+
+def test_ablation_wants_both_holdouts(spark):
+    rows = [(START + dt.timedelta(days=d), 2.0, 1.0, a, b, -1.0) for d, a, b in ((0, 2.0, 2.0), (1, 1.5, -9.0))]
+    df = spark.createDataFrame(rows, f"observation_timestamp timestamp_ntz, {TARGET} double, base double, both double, one double, neither double")
+    parts = {"A": ("2016-01-01", "2016-01-02"), "B": ("2016-01-02", "2016-01-03")}
+    got = {r["candidate"]: r for r in splits.ablation(df, "base", ["both", "one", "neither"], TARGET, parts).collect()}
+    assert [got[c]["accepted"] for c in ("both", "one", "neither")] == [True, False, False]
+    assert got["both"]["rmse_A"] == 0 and got["one"]["rmse_B"] == 2 and got["neither"]["base_rmse_A"] == 1  # clipped at 0
+    assert not any(r["accepted"] for r in splits.ablation(df, "base", ["both"], TARGET, parts | {"C": ("2020-01-01", "2020-02-01")}).collect())
+
+
+def test_releases(spark):
+    a = spark.createDataFrame([(1, "x", 1.0), (2, "y", 2.0)], "place long, k string, v double")
+    checks.require_same_release(a, a.orderBy(F.desc("place")), "place")
+    swapped = spark.createDataFrame([(2, "x", 1.0), (1, "y", 2.0)], a.schema)
+    checks.require_same_release(a.drop("place"), swapped.drop("place"))
+    for other in (swapped, a.select("k", "place", "v"), a.withColumn("v", F.col("v").cast("float")), a.limit(1), a.union(a)):
+        with pytest.raises(ValueError):
+            checks.require_same_release(a, other, "place")
+
+
+def test_narrow_types(spark, tmp_path):
+    df = spark.createDataFrame([(1, 127, -129, 40_000, 1 << 40, None, 1.5, "s"), (2, -128, 0, 0, 0, None, 2.5, "t")], "i int, a long, b long, c long, d long, e long, f double, g string")
+    write_parquet(df, str(tmp_path / "x"), narrow=True)
+    back = spark.read.parquet(str(tmp_path / "x"))
+    assert [t for _, t in back.dtypes] == ["tinyint", "tinyint", "smallint", "int", "bigint", "bigint", "float", "string"]
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_fingerprints_of_all_files(spark, tmp_path):
+    import hashlib
+
+    for i in range(3):
+        spark.range(i + 1).coalesce(1).write.parquet(str(tmp_path / f"t{i}.parquet"))
+    want = sorted((x.name, x.stat().st_size, hashlib.sha256(x.read_bytes()).hexdigest()) for x in tmp_path.glob("*.parquet/part-*"))
+    assert len(want) == 3 and sorted(map(tuple, fingerprints(spark, f"{tmp_path}/*.parquet").collect())) == want
+
+
+def test_prepare_finds_broken_releases(spark):
+    own = [*NUMBERS, "wd", "id", "observation_timestamp", "station"]
+    p = panel(spark, [(h, "Dongsi", {"PM10": h * 3 % 11}) for h in range(9)]).select(own)
+    train = p.filter("id < 6").withColumn(TARGET, F.col("id") * 1.0)
+    test = p.filter("id >= 6")
+    assert features.prepare(train, test).features.columns
+    with pytest.raises(ValueError):  # an id of the training panel
+        features.prepare(train, test.withColumn("id", F.lit(3).cast("long")).limit(1))
+    parts = {n: c for n, c in rowwise.calendar().items() if n in ("year", "month", "day", "hour")}
+    wrong = lambda df: df.withColumns(parts).withColumn("hour", F.col("hour") + 1)
+    with pytest.raises(ValueError):
+        features.prepare(wrong(train), wrong(test))
+
+
 def test_csv_to_files(spark, tmp_path):
     """The whole run: CSV in, five files out, columns of both splits alike, test rows looking back into training rows."""
     head = ["id", "observation_timestamp", "station", "year", "month", "day", "hour", *POLLUTANTS, "TEMP", "PRES", "DEWP", "RAIN", "wd", "WSPM"]
@@ -229,7 +293,9 @@ def test_csv_to_files(spark, tmp_path):
     made = features.run(spark, str(tmp_path / "train.csv"), str(tmp_path / "test.csv"), str(tmp_path / "out"))
     train, test = (spark.read.parquet(str(tmp_path / "out" / f"features_{x}.parquet")) for x in ("train", "test"))
     assert train.columns == test.columns and len(train.columns) == 262 and train.count() == 120 and test.count() == 8
-    assert dict(train.dtypes)["PM10"] == "float"
+    kinds = dict(train.dtypes)
+    assert kinds["PM10"] == "float" and kinds["id"] == "tinyint" and kinds["year"] == "smallint" and kinds["CO_missing"] == "tinyint"
+    assert not (tmp_path / "out" / "_features.parquet").exists()
     first = test.filter("station = 'Dongsi'").orderBy("id").first()
     assert first["PM10_lag_1h"] == 59 and first["PM10_lag_48h"] == 12
     labels = spark.read.parquet(str(tmp_path / "out" / "y.parquet"))
@@ -243,7 +309,8 @@ def test_csv_to_files(spark, tmp_path):
 def test_statistics_come_from_training_rows(spark):
     df = spark.createDataFrame([(1.0, 1), (3.0, 1), (None, 0), (100.0, 0)], "x double, _is_train int")
     assert [r["x"] for r in splits.fill_from_training(df, ["x"]).collect()] == [1.0, 3.0, 2.0, 100.0]
-    assert splits.scale_from_training(df, ["x"]).filter("x = 98 / sqrt(2)").count() <= 1
+    got = [r["x"] for r in splits.scale_from_training(df, ["x"]).collect()]
+    assert got == [pytest.approx(-1 / math.sqrt(2)), pytest.approx(1 / math.sqrt(2)), None, pytest.approx(98 / math.sqrt(2))]
 
 
 def test_hour_table_and_pivot(spark):
