@@ -11,12 +11,18 @@ from hourloom.operators.temporal import History
 from hourloom.schema import COMPASS, PRIMARY, STATIONS
 
 
+def fixed(spark: SparkSession, rows: list[tuple], *names: str) -> DataFrame:
+    """A small table of constants in one partition, so that joins of such tables don't multiply partitions."""
+    each = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.explode(F.array(*each)).alias("row")).select("row.*")
+
+
 def edges(spark: SparkSession, stations: dict[str, tuple[float, float]] = STATIONS) -> DataFrame:
     """station, wd, up_station and align (cosine of the angle), strictly within the cone. Fixed tables: 12 stations and 16 labels."""
-    places = spark.createDataFrame([(s, *at) for s, at in stations.items()], "station string, lon double, lat double")
+    places = fixed(spark, [(s, *at) for s, at in stations.items()], "station", "lon", "lat")
     middle = F.radians(F.lit(sum(lat for _, lat in stations.values()) / len(stations)))
     places = places.select("station", (F.col("lon") * F.cos(middle)).alias("x"), F.col("lat").alias("y"))
-    winds = spark.createDataFrame(list(COMPASS.items()), "wd string, degrees double")
+    winds = fixed(spark, list(COMPASS.items()), "wd", "degrees")
     other = places.select(F.col("station").alias("up_station"), F.col("x").alias("ux"), F.col("y").alias("uy"))
     pairs = places.join(other, F.col("station") != F.col("up_station"))
     dx, dy = F.col("ux") - F.col("x"), F.col("uy") - F.col("y")
