@@ -184,9 +184,9 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert got == brute_vectors(unit)
 
 
-@pytest.mark.parametrize("rank", [3, 16])
-def test_links_across_lists_of_low_rank_vectors(spark, monkeypatch, rank):
-    monkeypatch.setattr(vectors, "PER_LIST", 40)
+@pytest.mark.parametrize("rank", [3, 6, 64])
+def test_links_across_200_lists(spark, monkeypatch, rank):
+    monkeypatch.setattr(vectors, "PER_LIST", 8)
     rng = np.random.default_rng(7)
     base = rng.normal(size=(400, rank))
     x = (np.concatenate([base, np.repeat(base, 3, 0) + 0.2 * rng.normal(size=(1200, rank))]) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T).astype(np.float32)
