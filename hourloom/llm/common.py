@@ -120,9 +120,9 @@ class Recent:
     def look(self, keys: set) -> list:
         """The keys that neither generation has."""
         new = keys.difference(self.young)
-        known = new.intersection(self.old)
-        self.add({k: self.old[k] for k in known}, 0)
-        return list(new.difference(known))
+        old = self.old
+        self.add({k: old[k] for k in new if k in old}, 0)
+        return [k for k in new if k not in old]
 
     def add(self, found: dict, size: int) -> None:
         """size: bytes of the values; keys count with their length and each entry with 150 bytes."""
