@@ -12,15 +12,16 @@ Lists and their queries are dealt in blocks of bounded size, each pair of blocks
 covers many tasks. A group returns for each vector the number of links that it counts there, weighted by the classes' counts, and the root of its
 links inside the group; no pair leaves it.
 
-Cases: vectors that are null, zero, hold null or non-finite components, or have another length than most, link with nothing; a
-null vec_id counts as the smallest id and comes back null; repeated rows are vectors of their own and link with each other; an empty
-table gives an empty one; other columns are ignored.
+Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different lengths have
+no cosine, so each length has an index and lists of its own; a null vec_id counts as the smallest id and comes back null; repeated
+rows are vectors of their own and link with each other; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -157,23 +158,15 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     """vec_id, n_links, component_id and kept, one row per row."""
     spark = vectors.sparkSession
     rows = vectors.select(F.coalesce(F.col("vec_id"), F.lit(NULL_ID)).alias("id"), F.col("embedding"))
-    usual = rows.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    width = usual[0]["n"] if usual else 1
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double")) == float("inf")))
-    good = F.coalesce((F.size("embedding") == width) & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
+    good = F.coalesce((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
     keyed = materialise(rows.select("id", good.alias("good"), F.when(good, F.xxhash64("embedding")).alias("h1"), F.when(good, F.xxhash64(F.lit(1), "embedding")).alias("h2"), F.when(good, F.col("embedding")).alias("embedding")).withColumn("rid", F.monotonically_increasing_id()), "vectors")
     # Equal vectors by 128 bits; the least row number names them.
     distinct = keyed.filter("good").groupBy("h1", "h2").agg(F.min("rid").alias("node"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("embedding").alias("embedding"))
-    distinct = materialise(distinct, "distinct-vectors")
-    total = distinct.count()
-    if total:
-        share = min(1.0, SAMPLE / total)
-        sample = distinct.filter(F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.lit(1 << 30)) < share * (1 << 30)).select("node", "embedding").toArrow().sort_by("node")
-        lists = max(1, min(LISTS, total // PER_LIST))
-        index = Index.fit(unit(sample.column("embedding"), width), lists) if len(sample) else None
-        while index is None:  # a hash that takes no row of a tiny table
-            index = Index.fit(unit(distinct.select("embedding").limit(100).toArrow().column("embedding"), width), 1)
-        linked = link(distinct, index, least, width)
+    distinct = materialise(distinct.withColumn("width", F.size("embedding")), "distinct-vectors")
+    widths = sorted(distinct.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each length of vectors
+    if widths:
+        linked = reduce(DataFrame.union, [link(own := distinct.filter(F.col("width") == w), fit(own, n, w), least, w) for w, n in widths])
         known = materialise(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))), "vector-components")
         sums = materialise(linked.groupBy("node").agg(F.sum("n").alias("n")), "vector-links")
         both = distinct.select("node", "h1", "h2", "rep", "m").join(sums, "node", "left").join(known, "node", "left")
@@ -188,6 +181,15 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     return out.select(real(F.col("id")).alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), real(component).alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
+def fit(distinct: DataFrame, total: int, width: int) -> Index:
+    """The index of distinct vectors of one length, from a sample of some SAMPLE of them."""
+    share = min(1.0, SAMPLE / total)
+    sample = distinct.filter(F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.lit(1 << 30)) < share * (1 << 30)).select("node", "embedding").toArrow().sort_by("node")
+    if len(sample):
+        return Index.fit(unit(sample.column("embedding"), width), max(1, min(LISTS, total // PER_LIST)))
+    return Index.fit(unit(distinct.select("embedding").limit(100).toArrow().column("embedding"), width), 1)  # a hash that takes no row of a tiny table
+
+
 def link(distinct: DataFrame, index: Index, least: float, width: int) -> DataFrame:
     """node, n and root, from every group in which a node has links."""
     held = distinct.sparkSession.sparkContext.broadcast(index)  # bounded by LISTS and CODES

@@ -197,6 +197,17 @@ def test_links_across_200_lists(spark, monkeypatch, rank):
     assert got.n_links.tolist() == (close.sum(1) - 1).tolist() and got.component_id.tolist() == root.tolist()
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=w).round(1) + 3 * (i % 2)).tolist()) for i, w in enumerate([1, 2, 5, 5, 2, 16, 1] * 12)] + [(500 + i, [1.0] * w) for i, w in enumerate([1, 2, 5, 16, 5])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.query(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    unit = [(i, np.array(r, np.float32).astype(np.float64)) for i, r in rows]
+    want = []
+    for w in (1, 2, 5, 16):
+        want += brute_vectors([(i, r / np.linalg.norm(r)) for i, r in unit if len(r) == w])
+    assert got == sorted(want) and sum(n for _, n, _ in got) > 200
+
+
 def test_no_vectors(spark):
     assert vectors.query(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     one = vectors.query(spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<float>")).collect()
