@@ -1,12 +1,15 @@
 """Operator 10: language of texts by interpolated Kneser-Ney character models.
 
-Texts are cut at white space; letters in lower case count, everything else is a word's border. A model of order 4 predicts each
-letter and the end of each word from up to three characters before it in the word. Single characters are counted by code point,
-longer n-grams by hash in SLOTS slots, and counts cover every learned text. The highest order uses counts, lower ones the number of
-different characters seen before; absolute discounts come from the counts of counts. Spark makes all of it, order by order, from
-groups and joins of (language, slot); the driver only puts together the finished tables: per order sorted arrays of slots
-with the languages and probabilities that each has, and the same of contexts with their back-off weights. An entry takes 10 bytes, so a
-language has 3 * SLOTS entries (30 MB) and half as many contexts at most, and as many as there are different n-grams as a rule.
+Texts are cut at white space; letters in lower case count, everything else is a border. A model of order 4 predicts each letter and
+the border after it from three characters before it, borders among them (three stand before each piece). Single characters are counted by code point,
+longer n-grams by a 64-bit hash, and counts cover every learned text, so the model grows with it. The highest order uses counts, lower
+ones the number of different characters seen before; absolute discounts come from the counts of counts. Spark makes all of it, order by
+order, from groups and joins of (language, n-gram).
+
+Where the tables hold HELD entries or fewer in all, the driver puts them together and every task has them: per order sorted arrays of
+hashes with the languages and probabilities that each has, and the same of contexts with their back-off weights; HELD entries take 150 MB.
+Larger tables stay in Spark: n-grams of the texts, each once, are joined with them order by order, and the sums go back to the texts by
+joins. Both ways score alike (up to rounding, as the arrays hold single precision).
 
 A text's language has the lowest cross-entropy per character. The score is the posterior of a flat prior, with at most
 TRUST characters counting. One learned document in FOLD takes no part in the counts; these documents, which the model hasn't seen, say how
@@ -30,10 +33,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import materialise, slices, texts
+from hourloom.llm.common import materialise, slices, texts, unused
 
-ORDER, SLOTS, POINTS = 4, 1 << 20, 0x110000
+ORDER, POINTS = 4, 0x110000
 KEPT, TRUST, REJECT, FOLD, BORDER = 200_000, 40, 5.0, 16, 32
+#: Most entries (n-grams and contexts of all languages) that are broadcast.
+HELD = 8 << 20
 #: Probabilities of n-grams in languages that a task holds at once.
 CELLS = 4 << 20
 
@@ -52,9 +57,9 @@ def lower() -> np.ndarray:
     return _lower[0]
 
 
-def grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Of the scored characters of words: slots of the n-grams of 1 to ORDER characters that end there, slots of their contexts
-    of 0 to ORDER - 1 characters, a 64-bit hash of the longest n-gram, and each character's word."""
+def grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of the scored characters of words: hashes of the n-grams of 1 to ORDER characters that end there, hashes of their contexts
+    of 0 to ORDER - 1 characters, and each character's word."""
     gap = " " * (ORDER - 1)
     raw = np.frombuffer((gap + gap.join(words) + gap).encode("utf-32-le", "surrogatepass"), "<u4")
     c = lower()[raw]
@@ -67,9 +72,9 @@ def grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndar
     h, g = mix(np.zeros(len(at), np.uint64), c[at]), np.zeros(len(at), np.uint64)
     for k in range(1, ORDER):
         h, g = mix(h, c[at - k]), mix(g, c[at - k])
-        full.append((h % np.uint64(SLOTS)).astype(np.int64))
-        context.append((g % np.uint64(SLOTS)).astype(np.int64))
-    return full, context, h, word
+        full.append(h.view(np.int64))
+        context.append(g.view(np.int64))
+    return full, context, word
 
 
 def mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -78,20 +83,23 @@ def mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-COUNTED = ["lang", "g4", "g3", "g2", "g1", "x3", "x2", "x1", "x0", "n"]
+KEYS = ["g4", "g3", "g2", "g1", "x3", "x2", "x1", "x0"]
+
+
+def distinct_grams(words: Counter) -> list[np.ndarray]:
+    """The KEYS of each different n-gram of order 4 in counted words, and its count."""
+    full, context, word = grams(list(words))
+    w = np.fromiter(words.values(), np.int64, len(words))[word]
+    at, index, inverse = np.unique(full[-1], return_index=True, return_inverse=True)
+    return [at, *(x[index] for x in (*full[-2::-1], *context[::-1])), np.bincount(inverse, w, len(at)).astype(np.int64)]
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """By language and slot of order 4: count, and slots of its endings and contexts (the least where some share a slot)."""
+    """By language and n-gram of order 4: its endings, contexts and count."""
 
     def rows(lang: str, words: Counter) -> pa.RecordBatch:
-        names = list(words)
-        full, context, _, word = grams(names)
-        w = np.fromiter(words.values(), np.int64, len(words))[word]
-        at, index, inverse = np.unique(full[3], return_index=True, return_inverse=True)
-        n = np.bincount(inverse, w, len(at)).astype(np.int64)
-        columns = [pa.array([lang] * len(at), pa.string()), pa.array(at), *[pa.array(x[index]) for x in (full[2], full[1], full[0], context[3], context[2], context[1], context[0])], pa.array(n)]
-        return pa.record_batch(columns, names=COUNTED)
+        found = distinct_grams(words)
+        return pa.record_batch([pa.array([lang] * len(found[0]), pa.string()), *map(pa.array, found)], names=["lang", *KEYS, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -106,16 +114,27 @@ def counts(docs: DataFrame) -> DataFrame:
             if words:
                 yield rows(lang, words)
 
-    raw = docs.filter(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(run, "lang string, " + ", ".join(f"{c} long" for c in COUNTED[1:]))
-    return raw.groupBy("lang", "g4").agg(*[F.min(c).alias(c) for c in COUNTED[2:-1]], F.sum("n").alias("n"))
+    raw = docs.filter(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(run, "lang string, " + ", ".join(f"{c} long" for c in [*KEYS, "n"]))
+    return raw.groupBy("lang", "g4").agg(*[F.min(c).alias(c) for c in KEYS[1:]], F.sum("n").alias("n"))
+
+
+@dataclass
+class Tables:
+    """For each order from 1: lang, slot (the hash) and p of every n-gram that a language has, and the same of every context and its weight."""
+
+    langs: list[str]
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+
+    def entries(self) -> int:
+        return sum(t.count() for t in [*self.grams, *self.contexts])
 
 
-def tables(docs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """For each order from 1: lang, slot and p of every n-gram that a language has, and lang, slot and weight of every context."""
+def train(docs: DataFrame) -> Tables:
     top = materialise(counts(docs), "grams")
     types = {ORDER: top.withColumnRenamed("n", "c")}
     for k in range(ORDER - 1, 0, -1):  # an n-gram of a lower order counts the longer ones that end in it
-        rest = [x for x in COUNTED[1:-1] if int(x[1]) < k]
+        rest = [x for x in KEYS if int(x[1]) < k]
         types[k] = materialise(types[k + 1].groupBy("lang", f"g{k}").agg(*[F.min(x).alias(x) for x in rest], F.count(F.lit(1)).alias("c")), "grams")
     found, contexts, below = [], [], None
     for k in range(1, ORDER + 1):
@@ -129,7 +148,7 @@ def tables(docs: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
         below = materialise(both.select("lang", "slot", ((F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("q")).alias("p")), "probabilities")
         found.append(below)
         contexts.append(context.select("lang", F.col("x").alias("slot"), F.col("weight").alias("p")))
-    return found, contexts
+    return Tables(sorted(r["lang"] for r in found[0].select("lang").distinct().collect()), found, contexts)
 
 
 @dataclass
@@ -143,19 +162,18 @@ class Entries:
 
     @staticmethod
     def of(table: DataFrame, langs: list[str]) -> Entries:
-        """From lang, slot and p, at most SLOTS rows a language."""
-        t = table.select("lang", F.col("slot").cast("int"), F.col("p").cast("float")).toArrow()
+        """From lang, slot and p, HELD rows at most."""
+        t = table.select("lang", "slot", F.col("p").cast("float")).toArrow()
         code = pa.array(range(len(langs)), pa.int32()).take(pa.compute.index_in(t.column("lang"), pa.array(langs, pa.string())).combine_chunks()).to_numpy().astype(np.uint16)
-        slot, value = t.column("slot").to_numpy().astype(np.uint32), t.column("p").to_numpy()
+        slot, value = t.column("slot").to_numpy(), t.column("p").to_numpy()
         order = np.lexsort((code, slot))
         slots, starts = np.unique(slot[order], return_index=True)
         return Entries(slots, np.r_[starts, len(slot)].astype(np.uint32), code[order], value[order])
 
     def find(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row of slots, language and value of every entry that they have."""
-        s = slots.astype(np.uint32)
-        at = np.minimum(np.searchsorted(self.slots, s), len(self.slots) - 1)
-        rows = np.flatnonzero(self.slots[at] == s)
+        at = np.minimum(np.searchsorted(self.slots, slots), len(self.slots) - 1)
+        rows = np.flatnonzero(self.slots[at] == slots)
         first = self.starts[at[rows]].astype(np.int64)
         n = self.starts[at[rows] + 1].astype(np.int64) - first
         entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -168,6 +186,10 @@ class Model:
     grams: list[Entries]
     contexts: list[Entries]
 
+    @staticmethod
+    def of(t: Tables) -> Model | None:
+        return Model(t.langs, [Entries.of(x, t.langs) for x in t.grams], [Entries.of(x, t.langs) for x in t.contexts]) if t.langs else None
+
     def probabilities(self, full: list[np.ndarray], context: list[np.ndarray]) -> np.ndarray:
         """Of each n-gram in each language: from the uniform distribution up, a context's weight scales what its shorter one gives, and n-grams that a language has hold their own."""
         p = np.full((len(full[0]), len(self.langs)), 1.0 / POINTS, np.float32)
@@ -180,8 +202,8 @@ class Model:
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each word in each language, and its scored characters."""
-        full, context, whole, word = grams(words)
-        _, index, inverse = np.unique(whole, return_index=True, return_inverse=True)
+        full, context, word = grams(words)
+        _, index, inverse = np.unique(full[-1], return_index=True, return_inverse=True)
         log = np.empty((len(index), len(self.langs)), np.float32)
         step = max(1, CELLS // max(1, len(self.langs)))
         for i in range(0, len(index), step):
@@ -191,17 +213,17 @@ class Model:
         return sums, np.bincount(word, minlength=len(words))
 
 
-def train(docs: DataFrame) -> Model | None:
-    found, contexts = tables(docs)
-    langs = sorted(r["lang"] for r in found[0].select("lang").distinct().collect())
-    return Model(langs, [Entries.of(t, langs) for t in found], [Entries.of(t, langs) for t in contexts]) if langs else None
+ADDED = ("lang_pred", "score", "entropy", "n_scored")
 
 
-def classify(docs: DataFrame, model: Model | None) -> DataFrame:
+def classify(docs: DataFrame, tables: Tables) -> DataFrame:
     """docs with lang_pred, score, entropy (nats a character) and n_scored; only text is used."""
-    added = ("lang_pred", "score", "entropy", "n_scored")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SLOTS for each language
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    return by_arrays(docs, Model.of(tables)) if tables.entries() <= HELD else by_joins(docs, tables)
+
+
+def by_arrays(docs: DataFrame, model: Model | None) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by HELD
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,20 +246,52 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
                 scores[ok], entropies[ok] = 1 / near.sum(1), -rate.max(1)
                 for i, j in zip(np.flatnonzero(ok).tolist(), best.tolist()):
                     langs[i] = m.langs[j]
-            yield pa.record_batch([*b.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(entropies, from_pandas=True), pa.array(n)], names=[*b.schema.names, *added])
+            yield pa.record_batch([*b.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(entropies, from_pandas=True), pa.array(n)], names=[*b.schema.names, *ADDED])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, entropy double, n_scored long")
 
 
+def by_joins(docs: DataFrame, tables: Tables) -> DataFrame:
+    (rid,) = unused(docs.columns, "rid")
+    docs = materialise(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4 << 20):
+            for row, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
+                if words := Counter(text.split()):
+                    found = distinct_grams(words)
+                    yield pa.record_batch([pa.array(np.full(len(found[0]), row)), *map(pa.array, found)], names=["row", *KEYS, "n"])
+
+    own = materialise(docs.select(rid, "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["row", *KEYS, "n"])), "text-grams")
+    kinds = {ORDER: materialise(own.select(KEYS).groupBy("g4").agg(*[F.min(c).alias(c) for c in KEYS[1:]]), "gram-kinds")}
+    for k in range(ORDER - 1, 0, -1):
+        kinds[k] = kinds[k + 1].groupBy(f"g{k}").agg(*[F.min(c).alias(c) for c in KEYS if int(c[1]) < k])
+    langs, below = F.array(*map(F.lit, tables.langs)), None
+    for k in range(1, ORDER + 1):  # what an order's own entries don't give comes from the order below, by the context's weight
+        t = kinds[k].select(F.explode(langs).alias("lang"), F.col(f"g{k}").alias("g"), F.col(f"x{k - 1}").alias("x"), *([F.col(f"g{k - 1}").alias("lesser")] if k > 1 else []))
+        t = t.join(tables.contexts[k - 1].select("lang", F.col("slot").alias("x"), F.col("p").alias("weight")), ["lang", "x"], "left")
+        t = t.join(tables.grams[k - 1].select("lang", F.col("slot").alias("g"), "p"), ["lang", "g"], "left")
+        t = t.withColumn("q", F.lit(1.0 / POINTS)) if below is None else t.join(below.select("lang", F.col("g").alias("lesser"), F.col("p").alias("q")), ["lang", "lesser"])
+        below = materialise(t.select("lang", "g", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("q")).alias("p")), "gram-scores")
+    each = own.select("row", F.col("g4").alias("g"), "n").join(below, "g").groupBy("row", "lang").agg((F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("rate"), F.sum("n").alias("n"))
+    # A row per language; negative rates, so that the least is the best and the first in order wins a tie.
+    rates = each.groupBy("row").agg(F.collect_list(F.struct((-F.col("rate")).alias("loss"), "lang")).alias("rates"), F.max("n").alias("n_scored"))
+    best, trust = F.array_min("rates"), F.least("n_scored", F.lit(TRUST))
+    near = F.aggregate("rates", F.lit(0.0), lambda s, x: s + F.exp((best["loss"] - x["loss"]) * trust))
+    found = rates.select(F.col("row").alias(rid), best["lang"].alias("lang_pred"), (1 / near).alias("score"), best["loss"].alias("entropy"), "n_scored")
+    instead = {"lang_pred": F.lit("und"), "score": F.lit(0.0), "n_scored": F.lit(0)}
+    return docs.join(found, rid, "left").withColumns({c: F.coalesce(c, v) for c, v in instead.items()}).drop(rid)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, entropy and rejected. Learns from the folds of doc_id that are not held out."""
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
     apart = ~held_out & (F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(FOLD)) == 0)
     docs = docs.select("doc_id", "text", "lang", held_out.alias("held_out"), apart.alias("apart"))
-    model = train(docs.filter("NOT held_out AND NOT apart"))
+    tables = train(docs.filter("NOT held_out AND NOT apart"))
     seen = docs.select("doc_id", "text", "held_out", F.when(F.col("apart"), F.col("lang")).alias("tested"))
-    found = materialise(classify(seen, model).drop("text").withColumn("trust", F.sqrt(F.least("n_scored", F.lit(TRUST)).cast("double"))), "languages")
+    found = materialise(classify(seen, tables).drop("text").withColumn("trust", F.sqrt(F.least("n_scored", F.lit(TRUST)).cast("double"))), "languages")
     known = found.filter(F.col("tested") == F.col("lang_pred"))
     # A row per language.
     means = materialise(known.groupBy("lang_pred").agg((F.sum(F.col("entropy") * F.col("n_scored")) / F.sum("n_scored")).alias("mean")), "means")

@@ -521,7 +521,7 @@ def kneser_ney(texts):
 
 def test_model_by_definition(spark):
     texts = {"en": ["the cat sat on the mat and the hat", "that chat"], "de": ["der hund und die katze und das haus", "dort"]}
-    m = language.train(docs(spark, sum(texts.values(), []), lang=["en", "en", "de", "de"]))
+    m = language.Model.of(language.train(docs(spark, sum(texts.values(), []), lang=["en", "en", "de", "de"])))
     assert m.langs == ["de", "en"]
     words = ["the", "hund", "zzz", "thé", "x", "und", "mathaus"]
     sums, n = m.score(words)
@@ -545,6 +545,26 @@ def test_noise_is_rejected_and_unseen_texts_are_not(spark):
     assert got[got.doc_id >= 10**6].rejected.mean() > 0.9 and real.rejected.mean() < 0.02
 
 
+def test_joins_score_as_arrays_do(spark, monkeypatch):
+    d = table(spark, DIR, "documents").select("doc_id", "text", "lang")
+    odd = docs(spark, ODD, doc_id=[10**6 + i // 2 for i in range(len(ODD))], lang=[None, "en"] * 8).select("doc_id", "text", "lang")
+    both = d.union(odd).withColumn("_rid", F.lit("clash")).withColumn("score", F.lit("clash"))
+    tables = language.train(d)
+    gap, want = "   ", set()
+    for r in d.filter("lang IS NOT NULL").collect():
+        for w in (r["text"] or "").split():
+            x = gap + "".join(c.lower() if c.isalpha() else " " for c in w) + gap
+            want |= {(r["lang"], x[i - 3 : i + 1]) for i in range(3, len(x)) if x[i - 1 : i + 1] != "  "}
+    assert tables.grams[3].count() == len(want)
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "text", "_rid", "lang_pred", "n_scored", "score", "entropy").collect()), key=str)
+    arrays = key(language.classify(both, tables))
+    monkeypatch.setattr(language, "HELD", 0)
+    joins = key(language.classify(both, tables))
+    assert len(arrays) == len(joins) == both.count() and {"und", "en"} < {r[3] for r in joins}
+    for a, b in zip(arrays, joins):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-4) and (a[6] is None) == (b[6] is None) and (a[6] is None or a[6] == pytest.approx(b[6], rel=1e-4))
+
+
 def test_nothing_to_learn_from(spark):
     got = language.query(docs(spark, ["abc", None], lang=[None, None])).collect()
     assert {r["lang_pred"] for r in got} == {"und"} and all(r["rejected"] for r in got)
