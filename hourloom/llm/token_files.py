@@ -31,7 +31,7 @@ from hourloom.llm.common import Recent, materialise, new_path, slices, texts, vo
 #: Characters from BEYOND on have a class of their own, as versions of Unicode may differ about them.
 BEYOND = 0x530
 #: Bytes of kept pieces per worker, in each of two generations.
-KEPT = 24 << 20
+KEPT = 48 << 20
 SEQUENCE, ROWS, SHARD_BYTES = 2048, 128, 64 << 20
 #: Most tasks that read shards.
 READERS = 20_000
