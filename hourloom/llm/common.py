@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,3 +137,36 @@ class Recent:
 
 def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a column of texts, one text after another, and the places where they start, with the end. A null is an empty text."""
+    column = column.cast(pa.string()).fill_null("")
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, "<i4")[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, ends - ends[0]
+
+
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each character of UTF-8 bytes starts, its first byte, which characters take several bytes, and the code points of these."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[starts]
+    wide = np.flatnonzero(lead >= 0x80)
+    at, first = starts[wide], lead[wide].astype(np.int32)
+    code = (first & 0x1F) << 6 | data[at + 1] & 0x3F
+    for size, least, bits in ((3, 0xE0, 0x3FF), (4, 0xF0, 0x7FFF)):
+        long = first >= least
+        code[long] = (code[long] & bits) << 6 | data[at[long] + size - 1] & 0x3F
+    return starts, lead, wide, code
+
+
+def distinct(data: np.ndarray, at: np.ndarray) -> tuple[list[str], pa.Array]:
+    """The distinct strings between neighbouring places of UTF-8 bytes, and for each of all strings which of them it is."""
+    found = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices
+
+
+def closed(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places at which strings start, with an empty string at the end of each text, and the end of all."""
+    return np.r_[np.insert(places, np.searchsorted(places, ends[1:]), ends[1:]), ends[-1]]

@@ -17,7 +17,6 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import Recent, materialise, new_path, slices, texts, vocabulary
+from hourloom.llm.common import Recent, characters, closed, distinct, materialise, new_path, slices, utf8, vocabulary
 
 #: Characters from BEYOND on have a class of their own, as versions of Unicode may differ about them.
 BEYOND = 0x530
@@ -37,7 +36,7 @@ SEQUENCE, ROWS, SHARD_BYTES = 2048, 128, 64 << 20
 READERS = 20_000
 #: What pyarrow calls the stores that Hadoop knows by other schemes.
 SCHEMES = {"s3a": "s3", "s3n": "s3"}
-LETTER, NUMBER, OTHER, QUOTE, SPACE, FEED, FAR = range(7)
+LETTER, NUMBER, OTHER, QUOTE, SPACE, FEED, FAR, HIDDEN = range(8)
 
 
 def byte_signs() -> dict[int, int]:
@@ -50,31 +49,23 @@ def byte_signs() -> dict[int, int]:
 def kinds() -> np.ndarray:
     """The class of each character up to BEYOND, which stands for all that follow."""
     by = {"L": LETTER, "N": NUMBER}
-    out = np.array([by.get(unicodedata.category(chr(c))[0], OTHER) for c in range(BEYOND)] + [FAR], np.int8)
+    out = np.array([by.get(unicodedata.category(chr(c))[0], OTHER) if chr(c).isprintable() else HIDDEN for c in range(BEYOND)] + [FAR], np.uint8)
     out[ord("'")], out[ord(" ")], out[ord("\n")] = QUOTE, SPACE, FEED
     return out
 
 
-def borders() -> np.ndarray:
-    """Pairs of classes between which the byte-level pattern always ends a piece, in a text that is plain().
+def borders() -> bytes:
+    """By pair of classes, 8 * left + right: 1 where the byte-level pattern always ends a piece in a plain text, 2 where the text isn't plain.
 
-    Letters, numbers and other signs are pieces of their own; a quote may belong to what follows (as in 't) and a space always does."""
-    out = np.zeros((7, 7), bool)
+    Letters, numbers and other signs are pieces of their own; a quote may belong to what follows (as in 't) and a space always does.
+    A text is plain if each space and line feed stands alone between two visible characters, so that a piece always ends before it."""
+    out = np.zeros((8, 8), np.uint8)
     for a in (LETTER, NUMBER, OTHER):
-        out[a, [b for b in (LETTER, NUMBER, OTHER) if b != a]] = True
-    out[:, [SPACE, FEED]] = True
-    out[FEED] = True
-    return out
-
-
-def plain(text: str) -> bool:
-    """Whether each space and line feed stands alone between two visible characters: then a piece of the library's pattern always ends before it."""
-    return (
-        text.replace("\n", "").isprintable()
-        and not any(x in text for x in ("  ", " \n", "\n ", "\n\n", "<|"))
-        and text[:1] not in (" ", "\n")
-        and text[-1:] not in (" ", "\n")
-    )
+        out[a, [b for b in (LETTER, NUMBER, OTHER) if b != a]] = 1
+    out[:, [SPACE, FEED]] = 1
+    out[FEED] = 1
+    out[np.ix_([SPACE, FEED], [SPACE, FEED])] = 2
+    return out.tobytes() + bytes(192)
 
 
 def byte_level(tokenizer) -> bool:
@@ -95,7 +86,7 @@ def byte_level(tokenizer) -> bool:
 
 
 class Encoder:
-    """Ids of texts as little-endian bytes. A byte-level BPE's texts are cut into pieces, which are encoded once while they stay among the recent ones."""
+    """Ids of texts, little-endian. A byte-level BPE's texts are cut into pieces, which are encoded once while they stay among the recent ones."""
 
     def __init__(self, path: str):
         import os
@@ -112,6 +103,7 @@ class Encoder:
         self.space = chr(self.signs[32])
         self.feed = self.whole("\n")
         self.kinds, self.borders = kinds(), borders()
+        self.near = self.kinds[:128].tobytes() + bytes([FAR]) * 128
         self.recent = Recent(KEPT)
 
     def piece(self, x: str) -> bytes:
@@ -130,33 +122,52 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def encode(self, many: list[str]) -> list[bytes]:
-        easy = [self.cuts and bool(x) and plain(x) for x in many]
-        own = [x for x, ok in zip(many, easy) if ok]
-        pieces, sizes = self.cut(own)
-        if new := self.recent.look(set(pieces)):
+    def encode(self, column: pa.Array, tail: bytes = b"") -> tuple[memoryview, np.ndarray]:
+        """The ids of all texts, one text after another and each with the tail, and how many each has."""
+        data, ends = utf8(column)
+        at, plain = self.cut(data, ends)
+        tails = np.flatnonzero(np.diff(at) == 0)  # no other piece is empty
+        heads = np.r_[0, tails + 1]
+        words, which = distinct(data, at)
+        known = {words[i]: self.whole(words[i]) for i in np.unique(which.to_numpy()[heads[:-1][~plain]]).tolist()} | {"": tail}
+        if new := self.recent.look({x for x in words if x not in known}):
             found = {x: self.piece(x) for x in new}
             self.recent.add(found, sum(map(len, found.values())))
-        each = map(self.recent.young.__getitem__, pieces)
-        done = iter([b"".join(islice(each, n)) for n in sizes])
-        out = [next(done) if ok else self.whole(x) for x, ok in zip(many, easy)]
-        if True in easy and out[first := easy.index(True)] != self.whole(many[first]):
-            raise ValueError("the tokenizer ends pieces in other places than byte-level BPE does")
+        young = self.recent.young
+        ids = pa.array([known[x] if x in known else young[x] for x in words], pa.binary()).take(which)
         self.recent.settle()
-        return out
-
-    def cut(self, many: list[str]) -> tuple[list[str], list[int]]:
-        """Pieces of all texts, none of them empty, and how many of them each text has."""
-        if not many:
-            return [], []
-        whole = "".join(many)
-        kind = self.kinds[np.minimum(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4"), BEYOND)]
-        cuts = np.r_[True, self.borders[kind[:-1], kind[1:]], True]
-        starts = np.cumsum([0, *map(len, many)])
-        cuts[starts] = True
-        places = np.flatnonzero(cuts)
-        ends = places.tolist()
-        return [whole[a:b] for a, b in zip(ends, ends[1:])], np.diff(np.searchsorted(places, starts)).tolist()
+        _, places, raw = ids.buffers()
+        places = np.frombuffer(places, "<i4")[heads].astype(np.int64)
+        raw = memoryview(raw or b"").cast("B")[: places[-1]]
+        if len(easy := np.flatnonzero(plain)[:1]):
+            i = easy[0]
+            if raw[places[i] : places[i + 1]] != self.whole(data[ends[i] : ends[i + 1]].tobytes().decode()) + tail:
+                raise ValueError("the tokenizer ends pieces in other places than byte-level BPE does")
+        return raw, np.diff(places) // self.dtype.itemsize
+
+    def cut(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all pieces, an empty one at the end of each text, and which texts are plain; the others are one piece."""
+        plain = np.diff(ends) > 0
+        starts, lead, wide, code = characters(data)
+        full = np.flatnonzero(plain)
+        heads, lasts = np.searchsorted(starts, ends[:-1][full]), np.searchsorted(starts, ends[1:][full]) - 1
+        kind = np.frombuffer(bytearray(lead.tobytes().translate(self.near)), np.uint8)
+        kind[wide] = self.kinds[np.minimum(code, BEYOND)]
+        pair = np.frombuffer(bytearray(b"\1" + (kind[:-1] * 8 + kind[1:]).tobytes().translate(self.borders)), np.uint8)[: len(kind)]
+        pair[1:][(lead[:-1] == ord("<")) & (lead[1:] == ord("|"))] = 2
+        pair[heads] = 1
+        blank = lambda i: (kind[i] == SPACE) | (kind[i] == FEED)
+        odd = np.concatenate([np.flatnonzero(pair == 2), np.flatnonzero(kind == HIDDEN), heads[blank(heads)], lasts[blank(lasts)]])
+        text = lambda i: np.searchsorted(ends, starts[i], "right") - 1
+        plain[text(odd)] = False
+        for i in np.unique(text(np.flatnonzero(kind == FAR))).tolist():
+            plain[i] &= data[ends[i] : ends[i + 1]].tobytes().decode().replace("\n", "").isprintable()
+        if not self.cuts:
+            plain[:] = False
+        cuts = pair == 1
+        for i in np.flatnonzero(~plain[full]).tolist():
+            cuts[heads[i] + 1 : lasts[i] + 1] = False
+        return closed(starts[cuts], ends), plain
 
 
 _encoders: dict[str, Encoder] = {}
@@ -245,12 +256,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = 0, lengt
             at, rest = 0, bytearray()
             block = ROWS * length * width
             with pa.ipc.new_file(sink, schema) as out:
-                for b in slices(batches, 2 << 20):
-                    each = [x + tail for x in enc.encode(texts(b.column(1)))]
-                    sizes = np.array([len(x) // width for x in each], np.int64)
+                for b in slices(batches, 4 << 20):
+                    raw, sizes = enc.encode(b.column(1), tail)
                     found.append((at + np.cumsum(sizes) - sizes, sizes, b.column(0)))
                     at += int(sizes.sum())
-                    rest += b"".join(each)
+                    rest += raw
                     cut = len(rest) // block * block
                     for i in range(0, cut, block):
                         out.write_batch(rows(bytes(rest[i : i + block])))
