@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourloom.llm.common import Recent, slices, texts, vocabulary
+from hourloom.llm.common import Recent, characters, closed, distinct, slices, utf8, vocabulary
 
 MARK = "▁"
 #: Bytes of kept segments per worker, in each of two generations; symbols up to which an agenda is a plain list.
@@ -122,40 +121,52 @@ class Pieces:
         """Segments go to the library after a line feed, whose ids come first in what it returns."""
         found, skip = {}, len(self.before)
         for x, theirs in zip(segments, self.library.encode(["\n" + x.replace(MARK, " ") for x in segments], num_threads=1)):
-            own = self.encode_segment(x)
+            own = self.encode_segment(x.replace(" ", MARK))
             differ = 0
             if theirs[skip:] != own:
                 own, differ = theirs[skip:], 1
             found[x] = (array("i", own).tobytes(), self.decode_segment(own), differ)
         self.recent.add(found, sum(len(v[0]) + len(v[1]) for v in found.values()))
 
-    def cut(self, many: list[str]) -> tuple[list[str], list[int]]:
-        """Segments of all texts, and how many of them each text has."""
-        marked = [MARK + x.replace(" ", MARK) if x else "" for x in many]
-        whole = "".join(marked)
-        if not whole:
-            return [], [0] * len(many)
-        at = self.places(whole)
-        cuts = np.r_[True, ~self.pairs[at[:-1], at[1:]], True]
-        starts = np.cumsum([0, *map(len, marked)])
-        cuts[starts] = True
-        places = np.flatnonzero(cuts)
-        ends = places.tolist()
-        return [whole[a:b] for a, b in zip(ends, ends[1:])], np.diff(np.searchsorted(places, starts)).tolist()
-
-    def encode(self, many: list[str]) -> list[tuple[bytes, str, int]]:
-        """Ids as bytes, decoded text, and segments for which the library had other ids."""
-        segments, sizes = self.cut(many)
-        if new := self.recent.look(set(segments)):
+    def cut(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The places of all segments in UTF-8 bytes, with an empty one at the end of each text; a space is a mark."""
+        starts, lead, wide, code = characters(data)
+        at = lead.astype(np.intp)
+        at[wide] = np.minimum(code, TOP)
+        at[wide[code == ord(MARK)]] = TOP + 1
+        at[lead == ord(" ")] = TOP + 1
+        cuts = np.r_[True, ~self.pairs.ravel()[at[:-1] * (TOP + 2) + at[1:]]][: len(at)]
+        cuts[np.searchsorted(starts, ends[:-1][np.diff(ends) > 0])] = True
+        return closed(starts[cuts], ends)
+
+    def encode(self, column: pa.Array) -> tuple[pa.ListArray, pa.StringArray, np.ndarray]:
+        """Ids, decoded text, and segments for which the library had other ids."""
+        data, ends = utf8(column)
+        full = np.diff(ends) > 0
+        shift = np.r_[0, np.cumsum(full)]
+        data, ends = np.insert(data, ends[:-1][full], ord(" ")), ends + shift  # the dummy prefix
+        at = self.cut(data, ends)
+        heads = np.r_[0, np.flatnonzero(np.diff(at) == 0) + 1]  # the first segment of each text
+        words, which = distinct(data, at)
+        if new := self.recent.look({x for x in words if x}):
             self.learn(new)
-        out, each = [], map(self.recent.young.__getitem__, segments)
-        for n in sizes:
-            ids, decoded, differ = zip(*islice(each, n)) if n else ((), (), ())
-            out.append((b"".join(ids), "".join(decoded)[1:], sum(differ)))
-        if many and (ids := self.library.encode(many[0])) != np.frombuffer(out[0][0], "<i4").tolist():
-            out[0] = (np.array(ids, "<i4").tobytes(), self.library.decode(ids), out[0][2] + 1)
+        young = self.recent.young
+        found = [young[x] if x else (b"", "", 0) for x in words]
         self.recent.settle()
-        return out
+        _, places, raw = pa.array([x[0] for x in found], pa.binary()).take(which).buffers()
+        places = np.frombuffer(places, "<i4")[heads] // 4
+        ids = pa.ListArray.from_arrays(pa.array(places), pa.array(np.frombuffer(raw or b"", "<i4", places[-1])))
+        _, places, raw = pa.array([x[1] for x in found], pa.string()).take(which).buffers()
+        places = np.frombuffer(places, "<i4")[heads]
+        raw = np.delete(np.frombuffer(raw or b"", np.uint8, places[-1]), places[:-1][full])  # without what the prefix decodes to
+        decoded = pa.StringArray.from_buffers(len(full), pa.py_buffer((places - shift).astype(np.int32)), pa.py_buffer(raw))
+        differ = np.r_[0, np.cumsum(np.array([x[2] for x in found], np.int64)[which.to_numpy()])]
+        differ = np.diff(differ[heads])
+        if len(full) and (theirs := self.library.encode(data[1 : ends[1]].tobytes().decode())) != ids[0].as_py():
+            ids = pa.concat_arrays([pa.array([theirs], ids.type), ids[1:]])
+            decoded = pa.concat_arrays([pa.array([self.library.decode(theirs)], pa.string()), decoded[1:]])
+            differ[0] += 1
+        return ids, decoded, differ
 
 
 _models: dict[str, Pieces] = {}
@@ -177,11 +188,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for b in slices(batches, 4 << 20):
-            out = m.encode(texts(b.column(at)))
-            ends = np.cumsum([0] + [len(x[0]) // 4 for x in out])
-            values = pa.array(np.frombuffer(b"".join([x[0] for x in out]), "<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.record_batch([*b.columns, ids, pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], names=[*b.schema.names, "ids", "decoded", "n_differ"])
+            ids, decoded, differ = m.encode(b.column(at))
+            yield pa.record_batch([*b.columns, ids, decoded, pa.array(differ)], names=[*b.schema.names, "ids", "decoded", "n_differ"])
 
     return docs.mapInArrow(run, schema)
 
