@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from hourloom.llm.common import materialise, slices, texts
 
-SAMPLE, SHARDS, PER_SHARD, EPOCHS, DIMENSIONS, KEPT_WORDS = 20_000, 16, 1000, 4, 1 << 16, 200_000
+SAMPLE, SHARDS, PER_SHARD, EPOCHS, DIMENSIONS, KEPT_WORDS, KEPT_NAMES = 20_000, 16, 1000, 4, 1 << 16, 200_000, 20_000
 SYMBOLS = "#*$%&|<>@^~"
 MEASURES = ("words", "symbols", "upper", "exclaims", "digits", "dup_lines", "tails", "stutter", "narrow")
 #: labeller: measure, below which it votes good, above which it votes junk.
@@ -43,6 +43,8 @@ LABELLERS = {
     "narrow": (0.50, 0.70),
 }
 ENDS = frozenset(SYMBOLS + "!")
+#: Signs that end a word in ordinary prose.
+SIGNS = frozenset(",.;:!?")
 
 
 def measure(text: str) -> tuple[float, ...]:
@@ -99,14 +101,29 @@ class Features:
 
     def __init__(self) -> None:
         self.kept: dict[str, tuple[int, int, int]] = {}
+        self.slots: dict[str, int] = {}
 
     @staticmethod
     def slot(name: str) -> int:
         return zlib.crc32(name.encode("utf-8", "surrogatepass")) % DIMENSIONS
 
     def word(self, w: str) -> tuple[int, int, int]:
-        form = re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
-        return self.slot(f"f:{form}"), self.slot(f"t:{w[-2:]}" if not w[-1].isalnum() else "t:"), self.slot(f"w:{w.lower()}")
+        signed = w[-1] in SIGNS
+        body = w[:-1] if signed else w
+        # Most words are letters, small but for the first one, with or without a sign after them.
+        if body.isalpha() and body[1:].islower() and (body[0].isupper() or body[0].islower()):
+            form = ("Xx" if body[0].isupper() else "x") + (w[-1] if signed else "")
+        else:
+            form = re.sub(r"(.)\1+", r"\1", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
+        return self.known(f"f:{form}"), self.known("t:" if w[-1].isalnum() else f"t:{w[-2:]}"), self.slot(f"w:{w.lower()}")
+
+    def known(self, name: str) -> int:
+        """The slot of a name that comes again and again."""
+        if name not in self.slots:
+            if len(self.slots) > KEPT_NAMES:
+                self.slots = {}
+            self.slots[name] = self.slot(name)
+        return self.slots[name]
 
     def words(self, many: set[str]) -> dict[str, tuple[int, int, int]]:
         if len(self.kept) > KEPT_WORDS:
@@ -203,7 +220,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, w = Features(), held.value
+        f, w = Features(), held.value.tolist()  # Python's numbers add up faster one by one
         of: dict[str, float] = {}
         for b in slices(batches):
             out = []
