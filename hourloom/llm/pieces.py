@@ -30,7 +30,9 @@ from hourloom.llm.common import Recent, characters, closed, distinct, slices, ut
 
 MARK = "▁"
 #: Bytes of kept segments per worker, in each of two generations; symbols up to which an agenda is a plain list.
-KEPT, SHORT = 24 << 20, 32
+KEPT, SHORT = 16 << 20, 32
+#: Bytes of text that are cut at once: places and classes of their characters take some fifty times as much for a moment.
+SLICE = 1 << 20
 #: Characters from this one on count as one in the table of pairs; the mark has a place of its own after it.
 TOP = 1 << 11
 NEVER = float("inf")
@@ -187,7 +189,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in slices(batches, 4 << 20):
+        for b in slices(batches, SLICE):
             ids, decoded, differ = m.encode(b.column(at))
             yield pa.record_batch([*b.columns, ids, decoded, pa.array(differ)], names=[*b.schema.names, "ids", "decoded", "n_differ"])
 
