@@ -12,7 +12,8 @@ covers it.
 
 Cases: null or empty texts have no spans; offsets are code points, ends exclusive; every row is searched for itself, so repeated
 rows and null ids change nothing; spans with one start are in the order of their kinds; a very long text is read once, in steps that grow
-with its length; an empty table gives an empty one; other columns are left out of the result.
+with its length (no pattern may go back into what it has read, and comments in brackets are read once); an assignment within a bracket whose
+parts have been read is part of it; an empty table gives an empty one; other columns are left out of the result.
 """
 
 from __future__ import annotations
@@ -40,16 +41,18 @@ VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|(\$\
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.|\\\n)?[ \t]*")
 #: After a name with $, a single point joins too, as in PHP.
 JOIN_NAMES = re.compile(r"[ \t]*(?:\+|\.\.?|\\\n)?[ \t]*")
-#: In brackets, lines may end and comments may stand between the parts.
-JOIN_LINES = re.compile(r"(?:[\s+]|\.\.|#[^\n]*|//[^\n]*)*")
-OPEN = re.compile(r"[ \t]*\((?=\s*(?:#[^\n]*\s*)*[\"'A-Za-z_])")
+#: In brackets, lines may end and comments may stand between the parts: what lies before a comment, and what lies from it on.
+GAP = re.compile(r"(?:[\s+]++|\.\.)*+")
+COMMENTS = re.compile(r"(?:(?:#|//)[^\n]*+(?:[\s+]++|\.\.)*+)*+")
+BRACKET = re.compile(r"[ \t]*+\(")
+PART = frozenset("\"'_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 FENCE = re.compile(r"""[ \t]*("{3}|'{3})""")
 #: A shell or configuration document: the rest of the line, then lines up to one that holds the tag alone.
-HEREDOC = re.compile(r"""[ \t]*(?:\$\(\s*cat\s*)?<<[-~]?[ \t]*["']?([A-Za-z_]\w*)["']?[^\n]*\n""", re.ASCII)
+HEREDOC = re.compile(r"""[ \t]*+(?:\$\([ \t]*+cat[ \t]*+)?<<[-~]?[ \t]*+["']?([A-Za-z_]\w*+)""", re.ASCII)
 #: Fences, and lines that hold nothing but a name, brackets and semicolons.
-CLOSE = re.compile(r"""("{3}|'{3})|^[ \t]*([A-Za-z_]\w*)[ \t]*[);]*[ \t]*$""", re.ASCII | re.M)
+CLOSE = re.compile(r"""("{3}|'{3})|^[ \t]*+([A-Za-z_]\w*+)[ \t]*+[);]*+[ \t]*+$""", re.ASCII | re.M)
 #: A block of deeper lines after a key.
-BLOCK = re.compile(r"[ \t]*[|>][-+0-9]{0,2}[ \t]*(?:#[^\n]*)?\n")
+BLOCK = re.compile(r"[ \t]*+[|>][-+0-9]{0,2}[ \t]*+(?=[#\n])")
 LINE = re.compile(r"[^\n]+")
 OPERAND = re.compile(r"\$?(?:(?!\.\$)[^+$])+")
 NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
@@ -58,7 +61,7 @@ STRONG = frozenset(("password", "passwd", "passphrase", "pwd", "secret", "token"
 WEAK = frozenset(("key", "pass", "pin", "salt", "cert", "private", "access", "signature", "session"))
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|undefined|your.*|.*example.*|changeme|todo|placeholder|test|dummy)$|\$\{|\{\{|^<|^%")
 LEAST = 4.0
-#: Distinct characters up to which a digest counts each by itself; beyond, characters share so many counts.
+#: Distinct characters that a digest counts; a literal that holds more is varied whatever their shares.
 COUNTS = 512
 #: What a digest keeps of both ends, and what is sought in any place or at the start of a literal that is longer than that.
 HEAD, EDGE = 16, 6
@@ -71,41 +74,41 @@ Span = tuple[int, int, int, float]  # kind, start, end, score
 class Value:
     """A literal that may consist of parts: its own spans, the constants it uses, and a digest of the whole."""
 
-    __slots__ = ("spans", "uses", "length", "counts", "head", "tail", "odd", "forms", "given")
+    __slots__ = ("spans", "uses", "length", "counts", "many", "head", "tail", "odd", "forms", "given")
 
     def __init__(self):
         self.spans: list[tuple[int, int]] = []
         self.uses: list[Value] = []
-        self.length, self.counts, self.head, self.tail, self.odd, self.forms, self.given = 0, Counter(), "", "", False, 0, 0.0
+        self.length, self.counts, self.many, self.head, self.tail, self.odd, self.forms, self.given = 0, Counter(), False, "", "", False, 0, 0.0
 
-    def digest(self, length: int, counts: Counter, head: str, tail: str, odd: bool, forms: int) -> None:
+    def digest(self, length: int, counts: Counter, many: bool, head: str, tail: str, odd: bool, forms: int) -> None:
         self.forms |= forms
         self.odd = self.odd or odd or bool(ANYWHERE.search(self.tail + head))
         if len(self.head) < HEAD:
             self.head = (self.head + head)[:HEAD]
         self.tail = (self.tail + tail)[-EDGE:]
         self.length += length
-        self.counts.update(counts)
-        if len(self.counts) > COUNTS:
-            folded = Counter()
-            for c, n in self.counts.items():
-                folded[chr(ord(c) % COUNTS)] += n
-            self.counts = folded
+        self.many = self.many or many
+        if not self.many:
+            self.counts.update(counts)
+            self.many = len(self.counts) > COUNTS
+        if self.many:
+            self.counts = Counter()
 
     def write(self, start: int, end: int, text: str) -> None:
         self.spans.append((start, end))
         counts = Counter(text)
         forms = sum(any(map(f, counts)) << i for i, f in enumerate(FORMS))
-        self.digest(len(text), counts, text[:HEAD], text[-EDGE:], bool(ANYWHERE.search(text)), forms)
+        self.digest(len(text), counts, False, text[:HEAD], text[-EDGE:], bool(ANYWHERE.search(text)), forms)
 
     def use(self, other: Value) -> None:
         self.uses.append(other)
-        self.digest(other.length, other.counts, other.head, other.tail, other.odd, other.forms)
+        self.digest(other.length, other.counts, other.many, other.head, other.tail, other.odd, other.forms)
 
     def placeholder(self) -> bool:
         if self.odd or self.length <= HEAD:
             return self.odd or bool(PLACEHOLDER.search(self.head))
-        return bool(START.match(self.head)) or any(self.counts.keys() <= same for same in ({"x", "X"}, {"*"}, {"."}))
+        return bool(START.match(self.head)) or not self.many and any(self.counts.keys() <= same for same in ({"x", "X"}, {"*"}, {"."}))
 
     def give(self, score: float, found: dict[tuple[int, int], float]) -> None:
         """All spans of the value and of what it uses get the score; what has it or a higher one is passed over."""
@@ -134,7 +137,7 @@ def score(name: str, literal: Value) -> float:
     if not weight or literal.length < 6 or literal.placeholder():
         return 0.0
     kinds, space = (literal.forms & 15).bit_count(), literal.forms >> 4
-    return weight + (literal.length >= 8) + (literal.length >= 20) + (kinds >= 2) + (entropy(literal.counts, literal.length) >= 3.0) - 3.0 * space
+    return weight + (literal.length >= 8) + (literal.length >= 20) + (kinds >= 2) + (literal.many or entropy(literal.counts, literal.length) >= 3.0) - 3.0 * space
 
 
 def base(text: str) -> list[Span]:
@@ -173,6 +176,14 @@ class Blocks:
     def __init__(self, text: str):
         self.text = text
         self.ends: dict[str, list[tuple[int, int]]] | None = None
+        self.line = (0, -1)  # a line that a place was found in: its start and where the next one starts
+
+    def next_line(self, at: int) -> int:
+        """Where the line of a place ends, its \\n included, or 0 if nothing ends it. Places only grow, so each line is sought once."""
+        if not self.line[0] <= at < self.line[1]:
+            end = self.text.find("\n", at) + 1
+            self.line = (at, end or len(self.text) + 1)
+        return self.line[1] if self.line[1] <= len(self.text) else 0
 
     def close(self, what: str, at: int) -> tuple[int, int] | None:
         """The first fence, or line that holds the tag alone, from at on."""
@@ -190,29 +201,45 @@ class Blocks:
         if m := FENCE.match(text, place):
             end = self.close(m[1], m.end())
             return (m.end(), *end) if end else None
-        if m := HEREDOC.match(text, place):
-            end = self.close(m[1], m.end())
-            return (m.end(), *end) if end else None
-        if colon and (m := BLOCK.match(text, place)):
+        if (m := HEREDOC.match(text, place)) and (first := self.next_line(m.end())):
+            end = self.close(m[1], first)
+            return (first, *end) if end else None
+        if colon and (m := BLOCK.match(text, place)) and (first := self.next_line(m.end())):
             line = text.rfind("\n", 0, place) + 1
             depth = len(text[line:place]) - len(text[line:place].lstrip(" -"))
-            end = m.end()
+            end = first
             while end < len(text):
                 stop = text.find("\n", end) + 1 or len(text)
                 own = text[end:stop]
                 if own.strip() and len(own) - len(own.lstrip(" ")) <= depth:
                     break
                 end = stop
-            return m.end(), end, end
+            return first, end, end
         return None
 
 
+class Gaps:
+    """What lies between the parts in a bracket. A run of comments is read once, wherever in it one asks again."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end = text, 0, 0
+
+    def after(self, at: int) -> int:
+        """The place after blanks, line ends, joining signs and comments."""
+        at = GAP.match(self.text, at).end()
+        if self.start <= at < self.end:
+            return self.end if self.text.startswith(("#", "//"), at) else at
+        if (end := COMMENTS.match(self.text, at).end()) > at:
+            self.start, self.end = at, end
+        return end
+
+
 def lexed(text: str) -> list[Span]:
     """Literals that reach a sensitive name, through constants if need be."""
     constants: dict[str, Value] = {}
     found: dict[tuple[int, int], float] = {}
     done = 0
-    blocks = Blocks(text)
+    blocks, gaps = Blocks(text), Gaps(text)
     for m in OPERATOR.finditer(text):
         if m.start() < done or not (name := target(text, m.start())):
             continue
@@ -225,9 +252,10 @@ def lexed(text: str) -> list[Span]:
                     value.write(first, first + len(own), own)
                     n += 1
             at = end = block[2]
-        bracket = None if block else OPEN.match(text, at)
+        bracket = None if block else BRACKET.match(text, at)
         if bracket:
-            at = JOIN_LINES.match(text, bracket.end()).end()
+            first = gaps.after(bracket.end())
+            at, bracket = (first, bracket) if text[first : first + 1] in PART else (at, None)
         while not block and (v := VALUE.match(text, at)):
             group, first, at = v.lastindex, v.start(v.lastindex), v.end()
             parts = operands(v[3], constants) if group == 3 else [(0, len(v[group]), None)]
@@ -236,7 +264,7 @@ def lexed(text: str) -> list[Span]:
                 part = v[group][a:b]
                 if known:
                     value.use(known)
-                    end = m.end()
+                    end = v.end() if bracket else m.end()
                 elif group != 3 or not bracket and not part.startswith(("${", "$(")) and (n == 0 or re.search(r"[0-9]", part)):
                     value.write(first + a, first + b, part)
                     end = first + b
@@ -248,8 +276,11 @@ def lexed(text: str) -> list[Span]:
                 break
             names = group == 3 and parts[-1][2] is not None
             marked = names and "$" in v[3]
-            j = (JOIN_LINES if bracket else JOIN_NAMES if marked else JOIN).match(text, at)
-            if group == 3 and not (bracket or j[0].strip() or (names and v[3].endswith("+")) or (marked and not j[0])):
+            if bracket:
+                at = gaps.after(at)
+                continue
+            j = (JOIN_NAMES if marked else JOIN).match(text, at)
+            if group == 3 and not (j[0].strip() or (names and v[3].endswith("+")) or (marked and not j[0])):
                 break  # bare words are joined by an operator, or names with $ by standing together
             at = j.end()
         if not n:

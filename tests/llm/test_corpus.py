@@ -299,6 +299,26 @@ def test_lexer_takes_time_in_proportion():
     assert took[1] < 8 * took[0]
 
 
+def test_lexer_never_goes_back():
+    """No run of characters or tokens after any opener takes more than its share of time."""
+    import time
+
+    def took(text):
+        began = time.process_time()
+        secrets.spans(text)
+        return time.process_time() - began
+
+    for banner in ("#" * 10_000, "#\n" * 10_000, "# " * 10_000, "#" * 60 + "\n", "/" * 10_000, "x=(#" * 10_000, "a=<<B " * 10_000, "a: |#" * 10_000):
+        assert min(took(f"fields = ({banner})") for _ in range(3)) < 0.3, banner[:8]
+    openers = ("x = (", "x = '", 'x = """', "x = <<E", "x = $(cat <<E", "x: |", "x=$", "k=1\nx=(k+", "password = ")
+    for o in openers:
+        for run in (*"# \n\t()'\"\\+.${a=:<|-/é", "# ", "#\n", "\\\n", "a=(", "k+#x=(\n", "a \n", "x=(k # y=(k\n", "token"):
+            assert min(took(o + run * 8000) for _ in range(2)) < 1.0, (o, run)
+    assert [t[a:b] for t in ['pwd = ( # db_pwd "no"\n // two\n  "Zx81k" # x = (\n + "QpLmN")'] for k, a, b, _ in secrets.spans(t) if k == 3] == ["Zx81k", "QpLmN"]
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 700)))
+    assert [(a, b) for _, a, b, _ in secrets.spans(f'db_pwd = "{many}7"')] == [(10, 711)]
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------------
 
 
