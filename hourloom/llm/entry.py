@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hourloom.llm import language, line_dedup, manifest, mixing, near_dup, pieces, quality, quality_rules, secrets, token_files, vectors
+from hourloom.llm import divergence, language, line_dedup, manifest, mixing, near_dup, pieces, quality, quality_rules, secrets, token_files, vectors
 from hourloom.llm.common import table
 
 
@@ -19,9 +19,10 @@ def queries() -> dict:
         "op8_mixing": docs(mixing.query),
         "op9_token_files": docs(token_files.query),
         "op10_language": docs(language.query),
+        "op11_divergence": docs(divergence.query),
         "op12_merkle_manifest": docs(manifest.query),
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_line_dedup": line_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL, "op12_merkle_manifest": manifest.SQL}
+    return {"op4_line_dedup": line_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op8_mixing": mixing.SQL, "op11_divergence": divergence.SQL, "op12_merkle_manifest": manifest.SQL}
