@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,54 +31,79 @@ from hourloom.llm.common import materialise, slices
 
 LEAST_DOCS, TOP, UNITS = 3, 200, 1_000_000_000
 #: Leaves of the tries of a task at once, pairs of sources that a walk holds, terms of a block, pairs of one numpy step, and bytes of a piece of text.
-LEAVES, PAIRS, BLOCK, STEP, PIECE = 200_000, 1_000_000, 1 << 14, 1 << 20, 8 << 20
+LEAVES, PAIRS, BLOCK, STEP, PIECE = 400_000, 1_000_000, 1 << 14, 1 << 20, 8 << 20
 #: Letters in lower case and all bytes of other characters stay; everything else is a border.
 TERM_BYTES = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-#: Documents are counted above the bits of occurrences, so one number holds both.
-DOCS = 44
 
 
 class Trie:
-    """A radix trie: a node has the bytes of its edge, its children by their first byte, and counts by source where a term ends."""
+    """A radix trie: a node has the bytes of its edge, its children by their first byte, and the number of its leaf where a term ends.
+
+    known finds the leaf of a term that has been met before without the way down."""
 
     def __init__(self):
-        self.root: list = [b"", {}, None]
-        self.leaves = 0
-
-    def counts(self, term: bytes) -> dict[int, int]:
-        """The counters of a term, new ones if need be."""
-        node, at, size = self.root, 0, len(term)
-        while at < size:
-            child = node[1].get(term[at])
-            if child is None:
-                child = [term[at:], {}, None]
-                node[1][term[at]] = child
-                at = size
-            elif term.startswith(child[0], at):
-                at += len(child[0])
-            else:
-                edge, k = child[0], 1
-                while at + k < size and term[at + k] == edge[k]:
-                    k += 1
-                split = [edge[:k], {edge[k]: child}, None]
-                child[0] = edge[k:]
-                node[1][term[at]] = split
-                child, at = split, at + k
-            node = child
-        if node[2] is None:
-            node[2] = {}
-            self.leaves += 1
-        return node[2]
-
-    def walk(self) -> Iterator[tuple[bytes, dict[int, int]]]:
-        """Terms and counters in the order of bytes, which is that of UTF-8."""
+        self.root: list = [b"", None, None]
+        self.known: dict[bytes, int] = {}
+        #: Counters of leaves: leaf, source, occurrences and documents, in parts that settle() adds up.
+        self.parts: list[np.ndarray] = []
+
+    def grow(self, terms) -> None:
+        """Leaves for terms that have none yet."""
+        known = self.known
+        for term in terms:
+            if term not in known:
+                node, at, size = self.root, 0, len(term)
+                while at < size:
+                    if node[1] is None:
+                        node[1] = {}
+                    child = node[1].get(term[at])
+                    if child is None:
+                        node[1][term[at]] = child = [term[at:], None, None]
+                        at = size
+                    elif term.startswith(child[0], at):
+                        at += len(child[0])
+                    else:
+                        edge, k = child[0], 1
+                        while at + k < size and term[at + k] == edge[k]:
+                            k += 1
+                        split = [edge[:k], {edge[k]: child}, None]
+                        child[0] = edge[k:]
+                        node[1][term[at]] = split
+                        child, at = split, at + k
+                    node = child
+                node[2] = known[term] = len(known)
+
+    def add(self, source: int, counts: Counter, docs: Counter) -> None:
+        """Occurrences of terms in a source, and of documents."""
+        self.grow(counts)
+        n = len(counts)
+        part = np.empty((4, n), np.int64)
+        part[0] = np.fromiter(map(self.known.__getitem__, counts), np.int64, n)
+        part[1] = source
+        part[2] = np.fromiter(counts.values(), np.int64, n)
+        part[3] = np.fromiter(map(docs.__getitem__, counts), np.int64, n)
+        self.parts.append(part)
+        if sum(p.shape[1] for p in self.parts) > 4 * LEAVES:
+            self.settle()
+
+    def settle(self) -> np.ndarray:
+        """One counter for each leaf and source."""
+        every = np.concatenate(self.parts, 1)
+        every = every[:, np.lexsort((every[1], every[0]))]
+        first = np.flatnonzero(np.r_[True, (np.diff(every[0]) != 0) | (np.diff(every[1]) != 0)])
+        self.parts = [np.concatenate([every[:2, first], np.add.reduceat(every[2:], first, 1)])] if every.shape[1] else [every]
+        return self.parts[0]
+
+    def walk(self) -> Iterator[tuple[bytes, int]]:
+        """Terms and their leaves in the order of bytes, which is that of UTF-8."""
         todo = [(b"", self.root)]
         while todo:
             path, node = todo.pop()
             path += node[0]
             if node[2] is not None:
                 yield path, node[2]
-            todo += [(path, node[1][b]) for b in sorted(node[1], reverse=True)]
+            if node[1]:
+                todo += [(path, node[1][b]) for b in sorted(node[1], reverse=True)]
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -97,23 +121,18 @@ def leaves(docs: DataFrame) -> DataFrame:
 
     def rows(tries: dict[str, Trie], names: list[str]) -> Iterator[pa.RecordBatch]:
         for lang, trie in tries.items():
-            terms, sources, counts = [], [], []
-
-            def batch(lang=lang):
-                n = np.array(counts, np.uint64)
-                mask = np.uint64((1 << DOCS) - 1)
-                columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(terms), np.int32))), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(names, pa.string()).take(pa.array(sources, pa.int32()))]
-                return pa.record_batch([*columns, pa.array((n & mask).astype(np.int64)), pa.array((n >> np.uint64(DOCS)).astype(np.int64))], names=["lang", "term", "source", "n", "docs"])
-
-            for term, counters in trie.walk():
-                terms += [term] * len(counters)
-                sources += counters
-                counts += counters.values()
-                if len(terms) > 50_000:
-                    yield batch()
-                    terms, sources, counts = [], [], []
-            if terms:
-                yield batch()
+            terms, order = [], np.empty(len(trie.known), np.int64)
+            for term, leaf in trie.walk():
+                order[leaf] = len(terms)
+                terms.append(term)
+            leaf, source, n, docs = trie.settle()
+            leaf = order[leaf]
+            by = np.argsort(leaf, kind="stable")
+            terms, every = pa.array(terms, pa.binary()).cast(pa.string()), pa.array(names, pa.string())
+            for i in range(0, len(by), 50_000):
+                own = by[i : i + 50_000]
+                columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(own), np.int32))), terms.take(pa.array(leaf[own])), every.take(pa.array(source[own])), pa.array(n[own]), pa.array(docs[own])]
+                yield pa.record_batch(columns, names=["lang", "term", "source", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
@@ -123,18 +142,15 @@ def leaves(docs: DataFrame) -> DataFrame:
             within: dict[tuple[str, int], Counter] = defaultdict(Counter)
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                 group = lang, number.setdefault(source, len(number))
-                tries[lang].counts(b"").setdefault(group[1], 0)
-                seen = set()
+                own, seen = found[group], set()
+                own[b""] += 0  # the group is there, whatever its texts hold
                 for words in pieces(text):
-                    found[group].update(words)
+                    own.update(words)
                     seen.update(words)
                 within[group].update(seen)
-            for (lang, source), counter in found.items():
-                counts, in_docs = tries[lang].counts, within[lang, source]
-                for term, n in counter.items():
-                    own = counts(term)
-                    own[source] = own.get(source, 0) + n + (in_docs[term] << DOCS)
-            if sum(t.leaves for t in tries.values()) > LEAVES:
+            for (lang, source), counts in found.items():
+                tries[lang].add(source, counts, within[lang, source])
+            if sum(len(t.known) for t in tries.values()) > LEAVES:
                 yield from rows(tries, list(number))
                 tries, number = defaultdict(Trie), {}
         yield from rows(tries, list(number))
@@ -158,9 +174,6 @@ def far(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-ENTRY = ["lang", "term", "q", "source", "p", "zero"]
-
-
 class Walk:
     """Adds up pairs and candidates of entries that come in the order of (lang, term)."""
 
@@ -169,28 +182,28 @@ class Walk:
         self.pairs: dict[tuple[int, int], int] = defaultdict(int)
         self.best: list[pa.Table] = []
 
-    def add(self, t: pa.Table) -> None:
-        """Whole terms."""
-        langs, sources = t.column("lang").to_pylist(), t.column("source").to_pylist()
-        own = np.fromiter((self.number.setdefault(x, len(self.number)) for x in zip(langs, sources)), np.int64, len(langs))
-        terms = t.column("term").combine_chunks().dictionary_encode()
-        terms = (terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms).indices.to_numpy(zero_copy_only=False)
-        lang = t.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        p, zero, q = (t.column(c).to_numpy() for c in ("p", "zero", "q"))
-        starts = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (lang[1:] != lang[:-1])]) if len(own) else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[starts, len(own)])
-        many = sizes > 1
+    def add(self, t: pa.RecordBatch) -> None:
+        """Terms of lang, term, q and entries (source, p and zero)."""
+        entries = t.column("entries")
+        each = entries.flatten()
+        sizes = np.diff(entries.offsets.to_numpy())
+        if not len(each):
+            return
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        langs = t.column("lang").take(pa.array(row)).to_pylist()
+        own = np.fromiter((self.number.setdefault(x, len(self.number)) for x in zip(langs, each.field("source").to_pylist())), np.int64, len(row))
+        p, zero, q = each.field("p").to_numpy(), each.field("zero").to_numpy(), t.column("q").to_numpy()[row]
+        starts, many = np.cumsum(sizes) - sizes, sizes > 1
         starts, sizes = starts[many], sizes[many]
         done = 0
-        ends = np.cumsum(sizes * sizes)
+        ends = np.cumsum(sizes.astype(np.int64) ** 2)
         while done < len(starts):  # terms whose pairs fill a step; one term at least
             stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + STEP, "right")))
             self.both(own, p, zero, starts[done:stop], sizes[done:stop])
             done = stop
-        value = far(p, q)
         high = np.flatnonzero(p > q)
         if len(high):
-            self.keep(pa.table({"group": own[high], "value": value[high], "term": t.column("term").take(pa.array(high))}))
+            self.keep(pa.table({"group": own[high], "value": far(p, q)[high], "term": t.column("term").take(pa.array(row[high]))}))
 
     def both(self, own: np.ndarray, p: np.ndarray, zero: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Of all pairs of entries of a term: what the sum for terms of one source each gets wrong. Blocks of one entry's row, so a term of very many sources fits too."""
@@ -239,23 +252,12 @@ class Walk:
 
 
 def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own, rest = Walk(), None
+    own = Walk()
     for b in batches:
-        t = pa.Table.from_batches([b])
-        t = t if rest is None else pa.concat_tables([rest, t])
-        if not t.num_rows:
-            continue
-        terms, langs = t.column("term"), t.column("lang")
-        last = t.num_rows - 1
-        same = pa.compute.and_(pa.compute.equal(terms, terms[last]), pa.compute.equal(langs, langs[last])).to_numpy()
-        cut = int(np.argmax(same))  # the last term may go on in the next batch
-        own.add(t.slice(0, cut))
-        rest = t.slice(cut)
+        own.add(b)
         if len(own.pairs) > PAIRS or len(own.number) > PAIRS // TOP:
             yield from own.rows()
             own = Walk()
-    if rest is not None:
-        own.add(rest)
     yield from own.rows()
 
 
@@ -275,13 +277,14 @@ def audit(docs: DataFrame) -> DataFrame:
     zero = F.when(F.col("v") > 0, share(F.lit(0).cast("bigint"), F.col("own"), F.col("v")))
     groups = materialise(groups.withColumn("zero", zero), "groups")
 
-    dealt = entries.join(groups, ["lang", "source"]).select("lang", "block", "term", share(F.col("total"), F.col("all"), F.col("v")).alias("q"), "source", share(F.col("n"), F.col("own"), F.col("v")).alias("p"), "zero")
-    dealt = materialise(dealt, "shares")
-    walked = dealt.repartition("lang", "block").sortWithinPartitions("lang", "term").select(ENTRY).mapInArrow(walk, "part string, lang string, source string, item string, value long")
-    walked = materialise(walked, "walked")
+    shared = entries.join(groups, ["lang", "source"]).select("lang", "block", "term", share(F.col("total"), F.col("all"), F.col("v")).alias("q"), "source", share(F.col("n"), F.col("own"), F.col("v")).alias("p"), "zero")
+    # Blocks are prefix ranges; a file holds some of them in order, so a walk over files is one in UTF-8 order.
+    terms = shared.repartition("lang", "block").groupBy("lang", "block", "term", "q").agg(F.collect_list(F.struct("source", "p", "zero")).alias("entries"))
+    terms = materialise(terms.sortWithinPartitions("lang", "term").select("lang", "term", "q", "entries"), "shares")
+    walked = materialise(terms.mapInArrow(walk, "part string, lang string, source string, item string, value long"), "walked")
 
     # Terms of one source of a pair: a row per source and share, so as many as a source has different counts.
-    alike = dealt.groupBy("lang", "source", "p", "zero").agg(F.count(F.lit(1)).alias("times"))
+    alike = terms.select("lang", F.explode("entries").alias("e")).select("lang", "e.*").groupBy("lang", "source", "p", "zero").agg(F.count(F.lit(1)).alias("times"))
     other = groups.select("lang", F.col("source").alias("item"), F.col("zero").alias("none"))
     met = alike.join(other, "lang").filter("source <> item")
     exact = lambda x: F.col("times").cast("decimal(18,0)") * x.cast("decimal(19,0)")
