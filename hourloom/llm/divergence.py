@@ -48,40 +48,43 @@ class Trie:
         self.parts: list[np.ndarray] = []
 
     def grow(self, terms) -> None:
-        """Leaves for terms that have none yet."""
+        """Leaves for terms that have none yet. They come in order, so each starts at the last node that lies on its way too."""
         known = self.known
-        for term in terms:
-            if term not in known:
-                node, at, size = self.root, 0, len(term)
-                while at < size:
-                    if node[1] is None:
-                        node[1] = {}
-                    child = node[1].get(term[at])
-                    if child is None:
-                        node[1][term[at]] = child = [term[at:], None, None]
-                        at = size
-                    elif term.startswith(child[0], at):
-                        at += len(child[0])
-                    else:
-                        edge, k = child[0], 1
-                        while at + k < size and term[at + k] == edge[k]:
-                            k += 1
-                        split = [edge[:k], {edge[k]: child}, None]
-                        child[0] = edge[k:]
-                        node[1][term[at]] = split
-                        child, at = split, at + k
-                    node = child
-                node[2] = known[term] = len(known)
+        path = [(b"", self.root)]
+        for term in sorted([t for t in terms if t not in known]):
+            while not term.startswith(path[-1][0]):
+                path.pop()
+            node, at, size = path[-1][1], len(path[-1][0]), len(term)
+            while at < size:
+                if node[1] is None:
+                    node[1] = {}
+                child = node[1].get(term[at])
+                if child is None:
+                    node[1][term[at]] = child = [term[at:], None, None]
+                    at = size
+                elif term.startswith(child[0], at):
+                    at += len(child[0])
+                else:
+                    edge, k = child[0], 1
+                    while at + k < size and term[at + k] == edge[k]:
+                        k += 1
+                    split = [edge[:k], {edge[k]: child}, None]
+                    child[0] = edge[k:]
+                    node[1][term[at]] = split
+                    child, at = split, at + k
+                node = child
+                path.append((term[:at], node))
+            node[2] = known[term] = len(known)
 
     def add(self, source: int, counts: Counter, docs: Counter) -> None:
-        """Occurrences of terms in a source, and of documents."""
+        """Occurrences of terms in a source, and of documents, with the terms in the same order."""
         self.grow(counts)
         n = len(counts)
         part = np.empty((4, n), np.int64)
         part[0] = np.fromiter(map(self.known.__getitem__, counts), np.int64, n)
         part[1] = source
         part[2] = np.fromiter(counts.values(), np.int64, n)
-        part[3] = np.fromiter(map(docs.__getitem__, counts), np.int64, n)
+        part[3] = np.fromiter(docs.values(), np.int64, n)
         self.parts.append(part)
         if sum(p.shape[1] for p in self.parts) > 4 * LEAVES:
             self.settle()
@@ -137,17 +140,18 @@ def leaves(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
         tries: dict[str, Trie] = defaultdict(Trie)
-        for b in slices(batches):
+        for b in slices(batches, 32 << 20):
             found: dict[tuple[str, int], Counter] = defaultdict(Counter)
             within: dict[tuple[str, int], Counter] = defaultdict(Counter)
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                 group = lang, number.setdefault(source, len(number))
-                own, seen = found[group], set()
+                own, docs, seen = found[group], within[group], {}
                 own[b""] += 0  # the group is there, whatever its texts hold
+                docs[b""] += 0
                 for words in pieces(text):
                     own.update(words)
-                    seen.update(words)
-                within[group].update(seen)
+                    seen.update(dict.fromkeys(words))
+                docs.update(seen.keys())  # in the order in which own has met them
             for (lang, source), counts in found.items():
                 tries[lang].add(source, counts, within[lang, source])
             if sum(len(t.known) for t in tries.values()) > LEAVES:
@@ -216,7 +220,12 @@ class Walk:
             b = np.repeat(start[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
             a, b = a[a != b], b[a != b]
             value = far(p[a], p[b]) - far(p[a], zero[b]) - far(zero[a], p[b]) + far(zero[a], zero[b])
-            key = own[a] * len(self.number) + own[b]
+            key, every = own[a] * len(self.number) + own[b], len(self.number) ** 2
+            if every <= STEP and len(value) * int(np.abs(value).max(initial=0)) < 1 << 53:  # sums are exact in doubles
+                sums = np.bincount(key, value, every)
+                for k in np.flatnonzero(sums).tolist():
+                    self.pairs[divmod(k, len(self.number))] += int(sums[k])
+                continue
             order = np.argsort(key, kind="stable")
             keys, at = np.unique(key[order], return_index=True)
             for k, v in zip(keys.tolist(), np.add.reduceat(value[order], at).tolist()):
