@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hourloom.llm import divergence, language, line_dedup, manifest, mixing, near_dup, pieces, quality, quality_rules, secrets, token_files, vectors
+from hourloom.llm import divergence, language, line_dedup, manifest, mixing, near_dup, pieces, quality, quality_rules, secrets, token_files, toxicity, vectors
 from hourloom.llm.common import table
 
 
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op10_language": docs(language.query),
         "op11_divergence": docs(divergence.query),
         "op12_merkle_manifest": docs(manifest.query),
+        "op13_toxicity": lambda spark, sf_dir: toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     }
 
 
