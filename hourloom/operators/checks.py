@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -13,6 +14,83 @@ from hourloom.functions import correlation, flag, near
 from hourloom.schema import FORBIDDEN, KEY
 
 
+@dataclass(frozen=True)
+class Rule:
+    """broken holds for a row that breaks the rule; an unknown condition counts as kept."""
+
+    name: str
+    broken: Column
+
+
+def calendar_fields(ts: str = "observation_timestamp") -> Column:
+    """Whether year, month, day and hour are the timestamp's."""
+    return reduce(and_, [F.col(n).eqNullSafe(f(ts)) for n, f in (("year", F.year), ("month", F.month), ("day", F.dayofmonth), ("hour", F.hour))])
+
+
+def row_rules(columns: list[str], target: str | None = None, mark: str = "_is_train") -> list[Rule]:
+    """Rules of a panel that each row meets or breaks by itself; those of columns that it doesn't have are left out.
+
+    target: training rows must have one."""
+    ts = "observation_timestamp"
+    rules = [Rule(f"{c} is known", F.col(c).isNull()) for c in ("id", ts, "station") if c in columns]
+    rules.append(Rule("timestamps are whole hours", (F.minute(ts) != 0) | (F.extract(F.lit("SECOND"), ts) != 0)))
+    if {"year", "month", "day", "hour"} <= set(columns):
+        rules.append(Rule("calendar fields are the timestamp's", ~calendar_fields(ts)))
+    if target in columns:
+        rules.append(Rule("training rows have a target", F.col(target).isNull() & (F.col(mark) == 1 if mark in columns else F.lit(True))))
+    return rules
+
+
+def broken(rules: list[Rule]) -> list[Column]:
+    """Aggregates: how many rows break each rule."""
+    return [F.count_if(r.broken).alias(r.name) for r in rules]
+
+
+def row_violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """rule and n_broken of every rule, in one pass."""
+    return df.agg(*broken(rules)).unpivot([], [r.name for r in rules], "rule", "n_broken")
+
+
+def watched(df: DataFrame, metrics: list[Column], name: str) -> tuple[DataFrame, Observation]:
+    """df with metrics that ride on whatever job runs it first: no pass of their own. The observation's get waits for that job."""
+    seen = Observation(name)
+    return df.observe(seen, *metrics), seen
+
+
+def refusing(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The same rows; a job that meets a row that breaks a rule fails with the first such rule's name. For runs where nothing may be written before all is known to be right."""
+    messages = [F.when(r.broken, F.lit(r.name)) for r in rules]
+    return df.filter(F.assert_true(F.coalesce(*messages).isNull(), F.concat(F.lit("broken: "), F.coalesce(*messages))).isNull())
+
+
+def key_violations(full: DataFrame, mark: str = "_is_train") -> DataFrame:
+    """rule and n_broken of the rules that rows meet together: rows that repeat a station and hour, rows that repeat an id within a split, and ids of both splits.
+
+    Two exchanges, of the keys alone; a row with a null key is row_rules' business and counts here like any other value."""
+    repeats = full.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_broken"))
+    out = repeats.select(F.lit("station and hour are unique").alias("rule"), F.col("n_broken").cast("bigint").alias("n_broken"))
+    ids = full.groupBy("id").agg(F.count_if(F.col(mark) == 1).alias("a"), F.count_if(F.col(mark) == 0).alias("b"))
+    per = ids.agg(F.sum(F.greatest(F.col("a") - 1, F.lit(0)) + F.greatest(F.col("b") - 1, F.lit(0))).alias("ids are unique"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("no id is in both splits"))
+    names = ["ids are unique", "no id is in both splits"]
+    return out.union(per.select(*[F.coalesce(F.col(f"`{n}`"), F.lit(0)).cast("bigint").alias(n) for n in names]).unpivot([], names, "rule", "n_broken"))
+
+
+def violations(full: DataFrame, target: str | None = None, mark: str = "_is_train") -> DataFrame:
+    """rule and n_broken of all rules of a panel with both splits."""
+    return row_violations(full, row_rules(full.columns, target, mark)).union(key_violations(full, mark))
+
+
+def require_rules(found: dict[str, int]) -> None:
+    """Raises with every broken rule and its count; found: n_broken by rule."""
+    if bad := {r: n for r, n in found.items() if n}:
+        raise ValueError("broken rules: " + ", ".join(f"{r} ({n} rows)" for r, n in bad.items()))
+
+
+def as_dict(found: DataFrame) -> dict[str, int]:
+    """A row per rule, so a few."""
+    return {r["rule"]: r["n_broken"] for r in found.collect()}
+
+
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """n_duplicates: rows beyond the first of each key."""
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -47,10 +125,14 @@ def require_same_count(a: DataFrame, b: DataFrame) -> None:
 
 
 def require_same_columns(a: DataFrame, b: DataFrame, ordered: bool = True) -> None:
+    """Names, their order if ordered, and types."""
     if extra := set(a.columns) ^ set(b.columns):
         raise ValueError(f"only one side has {', '.join(sorted(extra))}")
     if ordered and a.columns != b.columns:
         raise ValueError("the columns' order differs")
+    other = dict(b.dtypes)
+    if differ := [f"{c} is {t} and {other[c]}" for c, t in a.dtypes if t != other[c]]:
+        raise ValueError(f"types differ: {', '.join(differ)}")
 
 
 def reject_names(names: list[str], banned: tuple[str, ...] = (FORBIDDEN, "PM2_5_lag", "PM2_5_roll")) -> None:
@@ -61,8 +143,7 @@ def reject_names(names: list[str], banned: tuple[str, ...] = (FORBIDDEN, "PM2_5_
 
 def calendar_disagreements(df: DataFrame, ts: str = "observation_timestamp") -> DataFrame:
     """n_wrong: rows whose year, month, day or hour isn't the timestamp's."""
-    right = reduce(and_, [F.col(n).eqNullSafe(f(ts)) for n, f in (("year", F.year), ("month", F.month), ("day", F.dayofmonth), ("hour", F.hour))])
-    return df.agg(F.coalesce(F.sum((~right).cast("bigint")), F.lit(0)).cast("bigint").alias("n_wrong"))
+    return df.agg(F.coalesce(F.sum((~calendar_fields(ts)).cast("bigint")), F.lit(0)).cast("bigint").alias("n_wrong"))
 
 
 def require_calendar(df: DataFrame, ts: str = "observation_timestamp") -> None:
@@ -129,5 +210,20 @@ def require_same_release(a: DataFrame, b: DataFrame, position: str | None = None
         raise ValueError("rows of one side only: " + ", ".join(f"{r['count']} {r['side']}" for r in found))
 
 
+def order_differences(a: DataFrame, b: DataFrame, place: str = "place") -> DataFrame:
+    """place and what differs there: value where both have a row, left or right where only one has. Both need a column of places (sources.with_place)."""
+    columns = [c for c in a.columns if c != place]
+    both = a.select(place, F.struct(*[f"`{c}`" for c in columns]).alias("l")).join(b.select(place, F.struct(*[f"`{c}`" for c in columns]).alias("r")), place, "full")
+    differs = F.when(F.col("r").isNull(), "left").when(F.col("l").isNull(), "right").when(~F.col("l").eqNullSafe(F.col("r")), "value")
+    return both.select(place, differs.alias("differs")).filter("differs IS NOT NULL")
+
+
+def require_same_order(a: DataFrame, b: DataFrame, place: str = "place") -> None:
+    """Columns, types, and the same rows at the same places."""
+    require_same_columns(a, b)
+    if found := order_differences(a, b, place).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 0").first():
+        raise ValueError(f"{found['n']} places differ, the first is {found['first']}")
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]

@@ -14,9 +14,9 @@ STATISTICS = ("mean", "std", "min", "max", "median")
 MEAN_LAGS, HALO = (1, 3, 6, 24), 24
 
 
-def hour_table(panel: DataFrame, ts: str = "observation_timestamp") -> DataFrame:
-    """One row per hour: statistics of the network columns over its stations, and the primary ones' range."""
-    aggs: list[Column] = []
+def hour_table(panel: DataFrame, ts: str = "observation_timestamp", more: Columns | None = None) -> DataFrame:
+    """One row per hour: statistics of the network columns over its stations, the primary ones' range, and more aggregates."""
+    aggs: list[Column] = [c.alias(n) for n, c in (more or {}).items()]
     for c in NETWORK:
         made = (F.avg(c), F.stddev_samp(c), F.min(c), F.max(c), F.median(c))
         aggs += [a.alias(f"network_{c}_{s}") for a, s in zip(made, STATISTICS)]
@@ -43,9 +43,9 @@ def network_rates() -> Columns:
     return out
 
 
-def hours(panel: DataFrame) -> DataFrame:
+def hours(panel: DataFrame, more: Columns | None = None) -> DataFrame:
     """The hour table with its history and rates."""
-    table = with_history(hour_table(panel), [], history_columns, HALO)
+    table = with_history(hour_table(panel, more=more), [], history_columns, HALO)
     return table.select("*", *[c.alias(n) for n, c in network_rates().items()])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.functions import clip_low, rmse
@@ -12,6 +12,16 @@ from hourloom.schema import TARGET
 HOLDOUTS = {"A": ("2015-09-01", "2016-03-01"), "B": ("2016-07-01", "2016-09-01")}
 
 
+def known_before(start: str, ts: str = "observation_timestamp") -> Column:
+    """Rows whose target hour, the next one, lies before start."""
+    return F.col(ts) + F.expr("INTERVAL 1 HOUR") < F.lit(start).cast("timestamp_ntz")
+
+
+def inside(start: str, end: str, ts: str = "observation_timestamp") -> Column:
+    """Rows from start to before end."""
+    return (F.col(ts) >= F.lit(start).cast("timestamp_ntz")) & (F.col(ts) < F.lit(end).cast("timestamp_ntz"))
+
+
 def holdout(df: DataFrame, start: str, end: str, embargo: bool = True, ts: str = "observation_timestamp") -> tuple[DataFrame, DataFrame]:
     """Training and validation rows. With the embargo a training row's target hour lies before the validation range too."""
     first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.functions import ratio
@@ -32,26 +32,41 @@ def edges(spark: SparkSession, stations: dict[str, tuple[float, float]] = STATIO
     return met.filter(F.col("align") > F.cos(F.radians(F.lit(45.0))))
 
 
-def state() -> Columns:
-    """Aggregates over a row's edges: means of the readings there are, weighted by align too, and the number of stations, readings or not."""
+def readings() -> Column:
+    """An aggregate over the rows of an hour: station to its primary readings, of the stations that have a place. Their number is fixed, however many stations report."""
+    known = F.when(F.col("station").isin(list(STATIONS)), F.struct(F.col("station").alias("key"), F.struct(*PRIMARY).alias("value")))
+    return F.map_from_entries(F.collect_list(known))
+
+
+def links(spark: SparkSession) -> DataFrame:
+    """station, wd and links: all of edges() for that station and wind, as one array. A fixed table."""
+    return edges(spark).coalesce(1).groupBy("station", "wd").agg(F.sort_array(F.collect_list(F.struct("up_station", "align"))).alias("links"))
+
+
+def state(readings: str = "readings", links: str = "links") -> Columns:
+    """Over the stations of a row's links: means of the readings there are, weighted by align too, and the number of stations, readings or not."""
+    met = F.transform(links, lambda e: F.struct(e["align"].alias("align"), F.try_element_at(readings, e["up_station"]).alias("read")))
+    total = lambda rows, value: F.aggregate(rows, F.lit(0.0), lambda s, x: s + value(x))
     out: Columns = {}
     for c in PRIMARY:
-        out[f"upwind_{c}_mean"] = F.avg(f"up_{c}")
-        out[f"upwind_{c}_weighted"] = F.sum(F.col(f"up_{c}") * F.col("align")) / F.nullif(F.sum(F.when(F.col(f"up_{c}").isNotNull(), F.col("align"))), F.lit(0.0))
-    return out | {"upwind_count": F.count("up_station"), "upwind_missing": (F.count("up_station") <= 0).cast("int")}
+        some = F.filter(met, lambda x: x["read"][c].isNotNull())
+        weight = F.nullif(total(some, lambda x: x["align"]), F.lit(0.0))
+        out[f"upwind_{c}_mean"] = total(some, lambda x: x["read"][c]) / F.nullif(F.size(some), F.lit(0))
+        out[f"upwind_{c}_weighted"] = total(some, lambda x: x["read"][c] * x["align"]) / weight
+    count = F.coalesce(F.size(links), F.lit(0))
+    return out | {"upwind_count": count, "upwind_missing": (count <= 0).cast("int")}
 
 
 def with_upwind(panel: DataFrame, ts: str = "observation_timestamp") -> DataFrame:
     """Adds state() to a panel that is unique by station and hour.
 
-    The fixed table of edges is broadcast and gives each row the stations to read, a few at most; these meet the readings
-    of the hour in an equi-join, and their aggregates meet the rows by (station, hour)."""
-    wanted = panel.select("station", ts, "wd").join(F.broadcast(edges(panel.sparkSession)), ["station", "wd"])
-    readings = panel.select(ts, F.col("station").alias("up_station"), *[F.col(c).alias(f"up_{c}") for c in PRIMARY])
+    The hour's readings are one row of a table by hour, which the rows join, unless they have met it already and have the column; the fixed table of links is
+    broadcast. So rows are exchanged by hour once, whatever the number of their edges."""
+    if "readings" not in panel.columns:
+        panel = panel.join(panel.groupBy(ts).agg(readings().alias("readings")), ts, "left")
+    out = panel.join(F.broadcast(links(panel.sparkSession)), ["station", "wd"], "left")
     made = state()
-    known = wanted.join(readings, [ts, "up_station"], "left").groupBy("station", ts).agg(*[c.alias(n) for n, c in made.items()])
-    empty = {"upwind_count": F.coalesce("upwind_count", F.lit(0)).cast("int"), "upwind_missing": F.coalesce("upwind_missing", F.lit(1))}
-    return panel.join(known, ["station", ts], "left").withColumns(empty)
+    return out.select(*[F.col(f"`{c}`") for c in panel.columns if c != "readings"], *[c.alias(n) for n, c in made.items()])
 
 
 def history_columns(h: History) -> Columns:

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.functions import clip_low, rmse
-from hourloom.operators import checks, network, rowwise, splits, temporal, upwind
+from hourloom.operators import causality, checks, fitted, invariance, network, ridge, rowwise, splits, temporal, upwind
 from hourloom.plans import features
-from hourloom.plans.panel import NAMES, SQL, panel
-from hourloom.schema import COMPASS, MEASURED, NETWORK, POLLUTANTS, PRIMARY, SECONDARY, STATIONS, TARGET, WEATHER
-from hourloom.sources import fingerprints
+from hourloom.plans.panel import NAMES, SPLIT, SQL, panel
+from hourloom.schema import COMPASS, MEASURED, NETWORK, POLLUTANTS, PRIMARY, SECONDARY, STATIONS, TARGET, WEATHER, input_schema
+from hourloom.sources import column_types as types_of
+from hourloom.sources import content_digest, fault_counts, fingerprints, parse_lines, staged, with_place
 
 TS = "observation_timestamp"
 SHIFT = 3.7e-8
@@ -167,6 +168,78 @@ def calendar_agreement(spark, sf_dir):
     return checks.calendar_disagreements(p.withColumns(parts | {"hour": F.least(F.hour(TS), F.lit(19))}))
 
 
+#: Faults that csv_records plants in the panel's records: every so manieth id has this cell, or a cell more or less.
+BAD_CELLS = {"PM10": (11, "abc"), "observation_timestamp": (13, "not a time"), "hour": (29, "3.5"), "CO": (31, "1e999")}
+LONG, SHORT, KEYLESS = 17, 19, 23
+
+
+def csv_records(df: DataFrame) -> DataFrame:
+    """The panel as lines of CSV, with faults."""
+    parts = {n: c for n, c in rowwise.calendar().items() if n in ("year", "month", "day", "hour")}
+    cells = df.withColumns(parts).withColumn(TS, F.date_format(TS, "yyyy-MM-dd HH:mm:ss"))
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in input_schema(True).names}
+    text |= {c: F.when(F.col("id") % n == 0, F.lit(bad)).otherwise(text[c]) for c, (n, bad) in BAD_CELLS.items()}
+    text["id"] = F.when(F.col("id") % KEYLESS == 0, F.lit("")).otherwise(text["id"])
+    line, short = (F.concat_ws(",", *x) for x in (list(text.values()), list(text.values())[:-1]))
+    return cells.select(F.when(F.col("id") % LONG == 0, F.concat(line, F.lit(",9"))).when(F.col("id") % SHORT == 0, short).otherwise(line).alias("line"))
+
+
+@query(
+    f"WITH w AS (SELECT id FROM p WHERE id % {LONG} <> 0 AND id % {SHORT} <> 0) SELECT \"column\", reason, count(*) AS n FROM (SELECT NULL::VARCHAR AS \"column\", 'wrong length' AS reason FROM p WHERE id % {LONG} = 0 OR id % {SHORT} = 0"
+    + f" UNION ALL SELECT 'id', 'missing key' FROM w WHERE id % {KEYLESS} = 0"
+    + "".join(f" UNION ALL SELECT '{c}', 'malformed' FROM w WHERE id % {n} = 0" for c, (n, _) in BAD_CELLS.items())
+    + ") GROUP BY \"column\", reason"
+)
+def csv_rejects(spark, sf_dir):
+    """Bad numbers, times, lengths and keys in records of CSV, by column and reason."""
+    return fault_counts(parse_lines(csv_records(panel(spark, sf_dir)), input_schema(True)))
+
+
+GOOD = {c: f"CASE WHEN id % {n} <> 0 THEN {{}} END" for c, (n, _) in BAD_CELLS.items()}
+
+
+@query(
+    f"SELECT CASE WHEN id % {KEYLESS} <> 0 THEN id ELSE -1 END AS id, {GOOD[TS].format('ts')} AS observation_timestamp, station, coalesce({GOOD['hour'].format('hour(ts)')}, -1)::BIGINT AS hour, {r(GOOD['PM10'].format('PM10'), 'PM10')}, {r(GOOD['CO'].format('CO'), 'CO')}, wd FROM p WHERE id % {LONG} <> 0 AND id % {SHORT} <> 0"
+)
+def csv_parsed(spark, sf_dir):
+    """The same records' cells in their types; what is malformed is null and listed as a fault, records of a wrong length left out here."""
+    read = staged(parse_lines(csv_records(panel(spark, sf_dir)), input_schema(True))).filter("NOT exists(faults, f -> f.reason = 'wrong length')")
+    unknown = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    return read.select(unknown("id"), TS, "station", unknown("hour"), "PM10", "CO", "wd")
+
+
+WHOLE_SQL = "CASE WHEN min({0}) >= -128 AND max({0}) <= 127 THEN 'tinyint' WHEN min({0}) >= -32768 AND max({0}) <= 32767 THEN 'smallint' WHEN min({0}) >= -2147483648 AND max({0}) <= 2147483647 THEN 'int' ELSE 'bigint' END"
+
+
+@query(
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {WHOLE_SQL.format(c)} AS type, min({c})::VARCHAR AS least, max({c})::VARCHAR AS most FROM lineitem" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    + "".join(f" UNION ALL SELECT '{c}', '{t}', '-', '-'" for c, t in (("l_quantity", "float"), ("l_extendedprice", "float"), ("l_discount", "float"), ("l_tax", "float"), ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz"))),
+    on_panel=False,
+)
+def column_types(spark, sf_dir):
+    """One type for each column of two parts of a table that are to be read together."""
+    lines = read(spark, sf_dir, "lineitem")
+    first = F.col("l_orderkey") < 100
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c)
+    return types_of(lines.filter(first).unionByName(lines.filter(~first))).select("column", "type", text("least"), text("most"))
+
+
+@query(
+    f"""WITH q AS (SELECT CASE WHEN id % 31 <> 0 THEN id END AS id, ts, station, is_train, hour(ts) > 19 AS late, CASE WHEN id % 7 <> 0 THEN target END AS target FROM (SELECT * FROM p UNION ALL SELECT * FROM p WHERE PM10 > 50 UNION ALL SELECT * REPLACE (0 AS is_train) FROM p WHERE is_train = 1 AND id % 9 = 0)),
+k AS (SELECT count(*) - 1 AS n FROM q GROUP BY station, ts), i AS (SELECT count(*) FILTER (is_train = 1) AS a, count(*) FILTER (is_train = 0) AS b FROM q GROUP BY id)
+SELECT 'id is known' AS rule, count(*) AS n_broken FROM q WHERE id IS NULL UNION ALL SELECT 'observation_timestamp is known', 0 UNION ALL SELECT 'station is known', 0 UNION ALL SELECT 'timestamps are whole hours', 0
+UNION ALL SELECT 'calendar fields are the timestamp''s', count(*) FROM q WHERE late UNION ALL SELECT 'training rows have a target', count(*) FROM q WHERE target IS NULL AND is_train = 1
+UNION ALL SELECT 'station and hour are unique', sum(n)::BIGINT FROM k UNION ALL SELECT 'ids are unique', sum(greatest(a - 1, 0) + greatest(b - 1, 0))::BIGINT FROM i UNION ALL SELECT 'no id is in both splits', count(*) FROM i WHERE a > 0 AND b > 0"""
+)
+def rule_violations(spark, sf_dir):
+    """A panel with unknown ids, a clock that stops at 19, missing targets, rows read twice and training rows among the test rows."""
+    p = panel(spark, sf_dir)
+    full = p.union(p.filter("PM10 > 50")).union(p.filter("_is_train = 1 AND id % 9 = 0").withColumn("_is_train", F.lit(0)))
+    parts = {n: c for n, c in rowwise.calendar().items() if n in ("year", "month", "day")}
+    full = full.withColumns(parts | {"hour": F.least(F.hour(TS), F.lit(19)), TARGET: F.when(F.col("id") % 7 != 0, F.col(TARGET))})
+    return checks.violations(staged(full.withColumn("id", F.when(F.col("id") % 31 != 0, F.col("id")))), TARGET)
+
+
 # --- row-wise families --------------------------------------------------------------------------------------------------------
 
 
@@ -329,7 +402,7 @@ FLAGSHIP = [*LAG_NAMES, *ROLL_NAMES, *NET_NAMES, *HIST, *NET_RATES, *UP_NAMES]
 
 @query(f"WITH {LAG_SQL}, {ROLL_SQL}, {NET_SQL}, {HIST_SQL}, {UP_SQL.strip()}, k AS (SELECT h.*, {', '.join(f'{x} AS {n}' for n, x in NET_RATES.items())} FROM h) SELECT l.id, l.ts AS observation_timestamp, l.station, " + ", ".join(r(n, n) for n in FLAGSHIP) + " FROM l JOIN w ON w.id = l.id JOIN k ON k.ts = l.ts JOIN u ON u.id = l.id")
 def feature_matrix(spark, sf_dir):
-    return features.build_features(panel(spark, sf_dir)).select("id", TS, "station", *FLAGSHIP)
+    return features.build_features(staged(panel(spark, sf_dir))).select("id", TS, "station", *FLAGSHIP)
 
 
 def whole_sql() -> str:
@@ -346,8 +419,53 @@ def whole_sql() -> str:
 
 @query(whole_sql(), on_panel=False)
 def feature_matrix_full(spark, sf_dir):
-    """All 261 columns."""
-    return features.build_features(panel(spark, sf_dir))
+    """All 261 columns. The panel is written once, as a table that the plan reads twice: by hour and by row."""
+    return features.build_features(staged(panel(spark, sf_dir)))
+
+
+LOCAL = ["RAW", "LOCAL_LAGS_SHORT", "LOCAL_LAGS_MEDIUM", "LOCAL_LAGS_LONG"]
+PAST = ["RAW", "STATION", "CALENDAR", "WIND_ENCODING", "MISSINGNESS", "QUALITY_FLAGS", "PHYSICAL", "LOCAL_LAGS_SHORT", "LOCAL_LAGS_MEDIUM", "LOCAL_LAGS_LONG", "LOCAL_ROLLING", "LOCAL_RATES", "NETWORK_HISTORY"]
+SHARED = ["NETWORK_STATE", "SPATIAL_GRADIENTS", "NETWORK_RATES", "INTERACTIONS"]
+
+
+def names_of(families: list[str]) -> str:
+    """Columns of families, from the oracle's own names."""
+    own = {
+        "RAW": [*POLLUTANTS, *WEATHER], "STATION": ["station"], "CALENDAR": [*CAL_INT, *CAL_CYC], "WIND_ENCODING": ["wd_sin", "wd_cos", "wind_u", "wind_v", "is_calm"], "MISSINGNESS": [f"{c}_missing" for c in MEASURED],
+        "QUALITY_FLAGS": ["co_floor", "co_ceiling", "o3_extreme", "rain_active"], "PHYSICAL": ["TEMP_DEWP_diff", "NO2_CO_ratio", "SO2_CO_ratio", "SO2_NO2_ratio", "PM10_CO_ratio", "NO2_O3_ratio", "rh_proxy"],
+        "LOCAL_ROLLING": ROLL_NAMES, "LOCAL_RATES": list(RATES), "NETWORK_STATE": [*NET_NAMES, *[f"network_{c}_range" for c in PRIMARY]], "SPATIAL_GRADIENTS": [f"{c}_vs_network_{k}" for c in NETWORK for k in ("mean", "z")],
+        "NETWORK_HISTORY": list(HIST), "NETWORK_RATES": list(NET_RATES), "UPWIND": ["upwind_count", "upwind_missing", *UP_NAMES, *UP_HIST], "INTERACTIONS": list(INTER), "LOCAL_VS_NETWORK": [f"local_vs_network_{c}_change" for c in PRIMARY],
+    }
+    for f in ("LOCAL_LAGS_SHORT", "LOCAL_LAGS_MEDIUM", "LOCAL_LAGS_LONG"):
+        own[f] = [f"{c}_lag_{n}h" for g, columns, lags in temporal.LAGS if g == f for c in columns for n in lags]
+    return ", ".join(dict.fromkeys(c for f in families for c in own[f]))
+
+
+def part(only: list[str]) -> str:
+    return f"SELECT id, observation_timestamp, _is_train, {names_of(only)} FROM ({whole_sql()})"
+
+
+@query(part(LOCAL), on_panel=False)
+def features_local(spark, sf_dir):
+    """Readings and their lags: rows are exchanged once."""
+    return features.build_features(panel(spark, sf_dir), only=LOCAL)
+
+
+@query(part(PAST), on_panel=False)
+def features_without_same_hour(spark, sf_dir):
+    """What a forecast knows before the other stations' readings of its hour arrive."""
+    return features.build_features(staged(panel(spark, sf_dir)), only=features.without_same_hour(features.families()))
+
+
+@query(part(SHARED), on_panel=False)
+def features_shared(spark, sf_dir):
+    """Network families and products, without any window over a station's rows."""
+    return features.build_features(staged(panel(spark, sf_dir)), only=SHARED)
+
+
+@query(part(["UPWIND"]), on_panel=False)
+def features_upwind(spark, sf_dir):
+    return features.build_features(staged(panel(spark, sf_dir)), only=["UPWIND"])
 
 
 # --- splits, alignment and audits ---------------------------------------------------------------------------------------------
@@ -472,6 +590,123 @@ def ablation(spark, sf_dir):
     return splits.ablation(scored, "base", [n for n in VARIANTS if n != "base"], TARGET, PARTS)
 
 
+# --- models, causality, releases and fitted tables -----------------------------------------------------------------------------
+
+ALPHA = 2.5
+SUBSETS = {"base": ["TEMP"], "base + CO": ["TEMP", "CO"], "base + PM10": ["TEMP", "PM10"], "all": ["TEMP", "CO", "PM10"], "WSPM, PM10": ["WSPM", "PM10"]}
+
+
+def determinant(m: list[list[str]]) -> str:
+    if len(m) == 1:
+        return m[0][0]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {x} * {determinant([r[:j] + r[j + 1 :] for r in m[1:]])}" for j, x in enumerate(m[0])) + ")"
+
+
+def ridge_sql() -> str:
+    """Ridge by Cramer's rule: standard scores of the training rows, normal equations, errors row by row."""
+    columns = list(dict.fromkeys(c for own in SUBSETS.values() for c in own))
+    tables, rows = [], []
+    for h, (a, b) in PARTS.items():
+        train, valid = f"ts + INTERVAL 1 HOUR < TIMESTAMP '{a}'", f"ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}'"
+        tables.append(f"s{h} AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS d_{c}" for c in columns) + f", avg(target) AS m FROM p WHERE {train})")
+        tables.append(f"z{h} AS (SELECT ts, target, m, " + ", ".join(f"coalesce(({c} - m_{c}) / d_{c}, 0) AS {c}" for c in columns) + f" FROM p, s{h})")
+        for v, own in SUBSETS.items():
+            matrix = [[f"(sum({x} * {y}) - sum({x}) * sum({y}) / count(*) + {ALPHA if x == y else 0})" for y in own] for x in own]
+            right = [f"(sum({x} * target) - sum({x}) * avg(target))" for x in own]
+            solved = [f"{determinant([[right[i] if j == k else matrix[i][j] for j in range(len(own))] for i in range(len(own))])} / {determinant(matrix)} AS w_{x}" for k, x in enumerate(own)]
+            name = f"{h}{list(SUBSETS).index(v)}"
+            tables.append(f"w{name} AS (SELECT {', '.join(solved)}, avg(target) AS m0, " + ", ".join(f"avg({x}) AS c_{x}" for x in own) + f" FROM z{h} WHERE {train})")
+            tables.append(f"e{name} AS (SELECT sqrt(avg(pow(target - m0 - " + " - ".join(f"w_{x} * ({x} - c_{x})" for x in own) + f", 2))) AS e FROM z{h}, w{name} WHERE {valid})")
+    for i, (v, own) in enumerate(SUBSETS.items()):
+        won = " AND ".join(f"(SELECT e FROM e{h}{i}) < (SELECT e FROM e{h}0)" for h in PARTS) if i else "false"
+        rows.append(f"SELECT '{v}' AS variant, {len(own)}::BIGINT AS n_columns, " + ", ".join(r(f"(SELECT e FROM e{h}{i})", f"rmse_{h}") for h in PARTS) + f", {won} AS accepted")
+    return "WITH " + ", ".join(tables) + " " + " UNION ALL ".join(rows)
+
+
+@query(ridge_sql())
+def ridge_ablation(spark, sf_dir):
+    """Ridge of five subsets of columns in two holdouts, from one pass."""
+    return ridge.ablation(panel(spark, sf_dir), SUBSETS, "base", ALPHA, TARGET, PARTS)
+
+
+CUTS = ("2024-01-12 05:00:00", "2024-01-24 23:00:00")
+
+
+@query(" UNION ALL ".join(f"SELECT TIMESTAMP '{c}' AS cut, 'PM10_next' AS \"column\", min(p.ts) AS first_hour, count(DISTINCT p.ts) AS n_hours FROM p JOIN p q ON q.station = p.station AND q.ts = p.ts + INTERVAL 1 HOUR WHERE p.ts <= TIMESTAMP '{c}' AND q.ts > TIMESTAMP '{c}' HAVING count(*) > 0" for c in CUTS))
+def truncation_audit(spark, sf_dir):
+    """Features of the past and a planted one that reads the next hour: only that one changes when later rows go."""
+    later = temporal.Window.partitionBy("station").orderBy(temporal.epoch(TS)).rangeBetween(temporal.HOUR, temporal.HOUR)
+
+    def build(rows: DataFrame) -> DataFrame:
+        made = features.build_features(rows, ("id", TS, "station"), ["RAW", "LOCAL_LAGS_LONG", "LOCAL_ROLLING", "NETWORK_HISTORY"])
+        return made.withColumn("PM10_next", F.max("PM10").over(later)).drop("station")
+
+    return invariance.truncation_differences(build, staged(panel(spark, sf_dir)), list(CUTS))
+
+
+READ = [*(f for f in PAST if f not in ("STATION", "CALENDAR", "MISSINGNESS")), *SHARED, "LOCAL_VS_NETWORK", "UPWIND"]
+
+
+def reads_sql() -> str:
+    """How far back and how late a column reads, by its name, and how many of its values are missing."""
+    back = "CASE WHEN c LIKE 'network%second_diff_1h' THEN -3 WHEN c LIKE '%second_diff_1h' THEN -2 WHEN c LIKE 'local_vs_network%' OR c LIKE 'WSPM_x_network%_change' THEN -1 WHEN regexp_matches(c, '[0-9]h$') THEN -regexp_extract(c, '([0-9]+)h$', 1)::INT ELSE 0 END"
+    late = f"CASE WHEN regexp_matches(c, '_lag_[0-9]+h$') THEN {back} WHEN c LIKE '%\\_roll\\_%' ESCAPE '\\' AND c NOT LIKE '%\\_vs\\_%' ESCAPE '\\' THEN -1 / 3600 ELSE 0 END".replace("\\\\", "\\")
+    columns = [c.strip() for c in names_of(READ).split(",")]
+    counts = ", ".join(f"{{'c': '{c}', 'n_missing': count(*) - count({c})}}" for c in columns)
+    others = "(c LIKE '%network%' OR c LIKE '%upwind%') AND c NOT IN ('upwind_count', 'upwind_missing')"
+    return f"SELECT c AS \"column\", {r(f'({back})::DOUBLE', 'earliest_hours')}, {r(f'({late})::DOUBLE', 'latest_hours')}, {others} AS others, n_missing FROM (SELECT unnest([{counts}], recursive := true) FROM ({whole_sql()}))"
+
+
+@query(reads_sql(), on_panel=False)
+def feature_reads(spark, sf_dir):
+    """For each column of the families made of readings: how many hours before and after its row it reads them, by the plan, whether from other stations too, and how many values it lacks."""
+    p = staged(panel(spark, sf_dir))
+    made = features.build_features(p, only=READ)
+    found = {c: [x for x in own if x.column not in ("station", TS)] for c, own in causality.reads(made).items()}
+    columns = [c for c in made.columns if c not in ("id", TS, "_is_train")]
+    missing = made.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).unpivot([], columns, "column", "n_missing")
+    rows = [(c, min(x.first for x in found[c]) / 3600, max(x.last for x in found[c]) / 3600, any(x.others for x in found[c])) for c in columns]
+    known = spark.createDataFrame(rows, "column string, earliest_hours double, latest_hours double, others boolean")
+    return known.join(missing, "column")
+
+
+@query("WITH l AS (SELECT row_number() OVER () - 1 AS place, * FROM orders), s AS (SELECT CASE WHEN place % 1000 = 1 AND place + 1 < (SELECT count(*) FROM l) THEN place + 1 WHEN place % 1000 = 2 THEN place - 1 ELSE place END AS place, * EXCLUDE (place) FROM l) SELECT l.place, 'value' AS differs FROM l JOIN s USING (place) WHERE l.o_orderkey <> s.o_orderkey", on_panel=False)
+def release_order(spark, sf_dir):
+    """Two releases of which one has every thousandth pair of neighbours swapped: the same rows, in another order."""
+    old = with_place(read(spark, sf_dir, "orders"))
+    n = old.count()
+    place = F.when((F.col("place") % 1000 == 1) & (F.col("place") + 1 < n), F.col("place") + 1).when(F.col("place") % 1000 == 2, F.col("place") - 1).otherwise(F.col("place"))
+    new = staged(old.withColumn("place", place).orderBy("place").drop("place"), "release")
+    return checks.order_differences(old, with_place(new))
+
+
+@query(
+    "SELECT count(*) AS n_rows, sum(('0x' || substr(md5(coalesce(length(event_id::VARCHAR) || ':' || event_id, '-') || coalesce(length(v::VARCHAR) || ':' || v, '-') || coalesce(length(event_type) || ':' || event_type, '-') || coalesce(length(props) || ':' || props, '-')), 1, 12))::BIGINT)::VARCHAR AS digest FROM (SELECT *, CASE WHEN event_id % 5 <> 0 THEN round(value * 1000)::BIGINT END AS v FROM events)",
+    on_panel=False,
+)
+def release_digest(spark, sf_dir):
+    """A digest of the events' contents that doesn't depend on files or order."""
+    v = F.when(F.col("event_id") % 5 != 0, F.round(F.col("value") * 1000).cast("bigint"))
+    return content_digest(read(spark, sf_dir, "events").select("event_id", v.alias("v"), "event_type", "props").repartition(3))
+
+
+FITTED = ["CO", "O3"]
+
+
+@query(
+    "WITH t AS (SELECT * FROM p WHERE is_train = 1), fa AS (SELECT station, hour(ts) AS h, " + ", ".join(f"CASE WHEN count({c}) >= 3 THEN avg({c}) END AS {c}" for c in FITTED) + " FROM t GROUP BY ALL), fb AS (SELECT station, "
+    + ", ".join(f"CASE WHEN count({c}) >= 3 THEN avg({c}) END AS {c}" for c in FITTED) + " FROM t GROUP BY ALL), fc AS (SELECT " + ", ".join(f"CASE WHEN count({c}) >= 3 THEN avg({c}) END AS {c}" for c in FITTED) + " FROM t) SELECT p.id, "
+    + ", ".join(r(f"coalesce(p.{c}, fa.{c}, fb.{c}, fc.{c})", c) + f", CASE WHEN p.{c} IS NOT NULL THEN 'read' WHEN fa.{c} IS NOT NULL THEN 'station and hour' WHEN fb.{c} IS NOT NULL THEN 'station' WHEN fc.{c} IS NOT NULL THEN 'all' END AS {c}_from" for c in FITTED)
+    + " FROM p LEFT JOIN fa ON fa.station = p.station AND fa.h = hour(p.ts) LEFT JOIN fb ON fb.station = p.station, fc WHERE p.is_train = 0"
+)
+def fill_by_station_hour(spark, sf_dir):
+    """Missing readings of the test rows from a table fitted on the training rows."""
+    p = panel(spark, sf_dir)
+    table = staged(fitted.fit_means(p.filter("_is_train = 1"), FITTED), "fitted")
+    fitted.require_not_fitted_in(table, SPLIT, "2025-01-01")
+    return fitted.fill_means(p.filter("_is_train = 0"), table, FITTED, least=3).select("id", *[x for c in FITTED for x in (c, f"{c}_from")])
+
+
 @query()
 def sha256_files(spark, sf_dir):
     """All files of the tables; raw bytes can't be read from the oracle's views, so the tests hash them by themselves."""

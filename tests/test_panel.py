@@ -294,7 +294,7 @@ def test_csv_to_files(spark, tmp_path):
     train, test = (spark.read.parquet(str(tmp_path / "out" / f"features_{x}.parquet")) for x in ("train", "test"))
     assert train.columns == test.columns and len(train.columns) == 262 and train.count() == 120 and test.count() == 8
     kinds = dict(train.dtypes)
-    assert kinds["PM10"] == "float" and kinds["id"] == "tinyint" and kinds["year"] == "smallint" and kinds["CO_missing"] == "tinyint"
+    assert kinds == dict(test.dtypes) and kinds["PM10"] == "float" and kinds["id"] == "smallint" and kinds["year"] == "smallint" and kinds["CO_missing"] == "tinyint"
     assert not (tmp_path / "out" / "_features.parquet").exists()
     first = test.filter("station = 'Dongsi'").orderBy("id").first()
     assert first["PM10_lag_1h"] == 59 and first["PM10_lag_48h"] == 12
