@@ -82,7 +82,16 @@ def contrasts() -> Columns:
     return out
 
 
-def coverage(spark: SparkSession) -> DataFrame:
-    """Share of (station, wd) pairs with a station upwind, as a DataFrame of one row."""
-    found = edges(spark).select("station", "wd").distinct().count()
-    return spark.createDataFrame([(found / (len(STATIONS) * len(COMPASS)),)], "coverage double")
+def coverage(panel: DataFrame) -> DataFrame:
+    """coverage: the share of rows with a station upwind; n_rows. A row without a wind has none."""
+    known = edges(panel.sparkSession).coalesce(1).select("station", "wd").distinct().withColumn("found", F.lit(1.0))
+    met = panel.select("station", "wd").join(F.broadcast(known), ["station", "wd"], "left")
+    return met.agg(F.avg(F.coalesce("found", F.lit(0.0))).alias("coverage"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def edge_use(panel: DataFrame, ts: str = "observation_timestamp") -> DataFrame:
+    """station, wd, up_station, align, n_rows and n_read: for each edge that rows ask for how many do, and how many find a row of its station in their hour."""
+    wanted = panel.select("station", ts, "wd").join(F.broadcast(edges(panel.sparkSession)), ["station", "wd"])
+    there = panel.select(ts, F.col("station").alias("up_station"), F.lit(1).alias("there"))
+    met = wanted.join(there, [ts, "up_station"], "left")
+    return met.groupBy("station", "wd", "up_station", "align").agg(F.count(F.lit(1)).alias("n_rows"), F.count("there").alias("n_read"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -250,6 +252,12 @@ def run(spark: SparkSession, train_csv: str, test_csv: str, folder: str, only: l
         delete(spark, f"{folder}/_features.parquet")
 
 
-def family_counts(spark: SparkSession) -> DataFrame:
-    rows = [(f, i, c) for f, own in families().items() for i, c in enumerate(own)]
-    return spark.createDataFrame(rows, "family string, ordinal int, column string").groupBy("family").agg(F.count(F.lit(1)).alias("n_columns"))
+def family_counts(made: DataFrame, known: dict[str, list[str]] | None = None) -> DataFrame:
+    """family, n_columns, n_missing (values) and n_complete (rows with a value in every column) of the families that a table of features has, in one pass."""
+    own = {f: [c for c in columns if c in made.columns] for f, columns in (known or families()).items()}
+    own = {f: columns for f, columns in own.items() if columns}
+    null = lambda c: F.col(f"`{c}`").isNull().cast("bigint")
+    lacks = {f: reduce(add, map(null, columns)) for f, columns in own.items()}
+    one = made.agg(*[x for f, n in lacks.items() for x in (F.coalesce(F.sum(n), F.lit(0)).alias(f"{f}_missing"), F.count_if(n == 0).alias(f"{f}_complete"))])
+    rows = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(len(columns)).cast("bigint").alias("n_columns"), F.col(f"{f}_missing").alias("n_missing"), F.col(f"{f}_complete").alias("n_complete")) for f, columns in own.items()])
+    return one.select(F.explode(rows).alias("r")).select("r.*")

@@ -361,14 +361,16 @@ def dedup_first(spark, sf_dir):
 # --- upwind -------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {EDGE_SQL.strip()} SELECT station, wd, up_station, {r('align', 'align')} FROM g")
+@query(f"WITH {EDGE_SQL.strip()} SELECT g.station, g.wd, g.up_station, {r('g.align', 'align')}, count(*) AS n_rows, count(q.ts) AS n_read FROM p JOIN g USING (station, wd) LEFT JOIN p q ON q.ts = p.ts AND q.station = g.up_station GROUP BY g.station, g.wd, g.up_station, g.align")
 def upwind_map(spark, sf_dir):
-    return upwind.edges(spark)
+    """Each edge that the panel's winds ask for: by how many rows, and how many of them find its station's reading."""
+    return upwind.edge_use(staged(panel(spark, sf_dir)))
 
 
-@query(f"WITH {EDGE_SQL.strip()} SELECT {r('count(*) / 192.0::DOUBLE', 'coverage')} FROM (SELECT DISTINCT station, wd FROM g)")
+@query(f"WITH {EDGE_SQL.strip()} SELECT {r('avg((k.station IS NOT NULL)::INT)', 'coverage')}, count(*) AS n_rows FROM p LEFT JOIN (SELECT DISTINCT station, wd FROM g) k USING (station, wd)")
 def upwind_coverage(spark, sf_dir):
-    return upwind.coverage(spark)
+    """Share of the panel's rows with a station upwind."""
+    return upwind.coverage(panel(spark, sf_dir))
 
 
 UP_NAMES = [f"upwind_{c}_{s}" for c in PRIMARY for s in ("mean", "weighted")]
@@ -528,15 +530,27 @@ def fully_missing(spark, sf_dir):
     return checks.fully_missing(panel(spark, sf_dir).withColumn("nothing", F.lit(None).cast("double")), [*MEASURED, "nothing"])
 
 
-@query("SELECT family, n_columns FROM (VALUES " + ", ".join(f"('{f}', {n}::BIGINT)" for f, n in (("RAW", 10), ("STATION", 1), ("CALENDAR", 16), ("WIND_ENCODING", 5), ("MISSINGNESS", 11), ("QUALITY_FLAGS", 4), ("PHYSICAL", 7), ("LOCAL_LAGS_SHORT", 22), ("LOCAL_LAGS_MEDIUM", 20), ("LOCAL_LAGS_LONG", 4), ("LOCAL_ROLLING", 32), ("LOCAL_RATES", 16), ("NETWORK_STATE", 37), ("SPATIAL_GRADIENTS", 14), ("NETWORK_HISTORY", 14), ("NETWORK_RATES", 8), ("LOCAL_VS_NETWORK", 2), ("UPWIND", 14), ("INTERACTIONS", 24))) + ") v(family, n_columns)", on_panel=False)
+NUMERIC = [f for f in (*PAST, *SHARED, "LOCAL_VS_NETWORK", "UPWIND")]
+
+
+def family_sql() -> str:
+    rows = ", ".join(f"{{'family': '{f}', 'n_columns': {len(own)}::BIGINT, 'n_missing': ({' + '.join(f'count(*) - count({c})' for c in own)})::BIGINT, 'n_complete': (count(*) FILTER ({' AND '.join(f'{c} IS NOT NULL' for c in own)}))::BIGINT}}" for f in NUMERIC if (own := names_of([f]).split(", ")))
+    return f"SELECT unnest([{rows}], recursive := true) FROM ({whole_sql()})"
+
+
+@query(family_sql(), on_panel=False)
 def family_counts(spark, sf_dir):
-    return features.family_counts(spark)
+    """Columns of each family, their missing values in the panel, and the rows in which all of them are known."""
+    return features.family_counts(features.build_features(staged(panel(spark, sf_dir))))
 
 
-@query("SELECT 'extra' AS \"column\"", on_panel=False)
+@query("SELECT 'gap' AS \"column\", count(*) AS n_rows, count(PM10 - CO) AS n_known FROM p UNION ALL SELECT 'wd_deg', count(*), count(wd) FROM p")
 def unassigned(spark, sf_dir):
-    known = features.families()
-    return spark.createDataFrame([(c,) for c in features.unassigned([*known["UPWIND"], "extra"], known)], "column string")
+    """Columns of a table of features that no family has, with how much they hold."""
+    made = features.build_features(panel(spark, sf_dir).withColumn("wd_deg", rowwise.wind_degrees()), ("id", TS, "_is_train", "wd_deg"), ["RAW", "STATION", "CALENDAR"])
+    made = made.withColumn("gap", F.col("PM10") - F.col("CO"))
+    rest = [c for c in features.unassigned(made.columns, features.families()) if c not in ("id", TS, "_is_train")]
+    return made.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(c).alias(c) for c in rest]).unpivot(["n_rows"], rest, "column", "n_known").select("column", "n_rows", "n_known")
 
 
 @query("SELECT event_id, 'left' AS side FROM events WHERE event_id % 97 = 0 UNION ALL SELECT event_id, 'right' AS side FROM events WHERE event_id % 97 = 0", on_panel=False)
