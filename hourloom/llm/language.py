@@ -7,9 +7,9 @@ ones the number of different characters seen before; absolute discounts come fro
 order, from groups and joins of (language, n-gram).
 
 Where the tables hold HELD entries or fewer in all, the driver puts them together and every task has them: per order sorted arrays of
-hashes with the languages and probabilities that each has, and the same of contexts with their back-off weights; HELD entries take 150 MB.
+hashes with the languages and log probabilities that each has, and the same of contexts with their back-off weights; HELD entries take 180 MB.
 Larger tables stay in Spark: n-grams of the texts, each once, are joined with them order by order, and the sums go back to the texts by
-joins. Both ways score alike (up to rounding, as the arrays hold single precision).
+joins. Logarithms are whole numbers of 2 ** -32 from the tables on, so sums are exact in any order and both ways give the same rates, languages and ties.
 
 A text's language has the lowest cross-entropy per character. The score is the posterior of a flat prior, with at most
 TRUST characters counting. One learned document in FOLD takes no part in the counts; these documents, which the model hasn't seen, say how
@@ -23,6 +23,7 @@ count each; a very long text is scored whole, once per different word; other col
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +42,9 @@ KEPT, TRUST, REJECT, FOLD, BORDER = 200_000, 40, 5.0, 16, 32
 HELD = 8 << 20
 #: Probabilities of n-grams in languages that a task holds at once.
 CELLS = 4 << 20
+#: Parts of one nat, and the logarithm of the uniform distribution in them.
+UNIT = 1 << 32
+UNIFORM = round(math.log(1.0 / POINTS) * UNIT)
 
 _lower: list[np.ndarray] = []
 
@@ -120,7 +124,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Tables:
-    """For each order from 1: lang, slot (the hash) and p of every n-gram that a language has, and the same of every context and its weight."""
+    """For each order from 1: lang, slot (the hash), p and log (of p, in UNITs) of every n-gram that a language has, and the same of every context and its weight."""
 
     langs: list[str]
     grams: list[DataFrame]
@@ -146,8 +150,9 @@ def train(docs: DataFrame) -> Tables:
         both = t.join(context, ["lang", "x"])
         both = both.withColumn("q", F.lit(1.0 / POINTS)) if below is None else both.join(below.select("lang", F.col("slot").alias("lesser"), F.col("p").alias("q")), ["lang", "lesser"])
         below = materialise(both.select("lang", "slot", ((F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("q")).alias("p")), "probabilities")
-        found.append(below)
-        contexts.append(context.select("lang", F.col("x").alias("slot"), F.col("weight").alias("p")))
+        log = F.round(F.log("p") * UNIT).cast("bigint").alias("log")
+        found.append(below.select("*", log))
+        contexts.append(context.select("lang", F.col("x").alias("slot"), F.col("weight").alias("p")).select("*", log))
     return Tables(sorted(r["lang"] for r in found[0].select("lang").distinct().collect()), found, contexts)
 
 
@@ -162,10 +167,10 @@ class Entries:
 
     @staticmethod
     def of(table: DataFrame, langs: list[str]) -> Entries:
-        """From lang, slot and p, HELD rows at most."""
-        t = table.select("lang", "slot", F.col("p").cast("float")).toArrow()
+        """From lang, slot and log, HELD rows at most."""
+        t = table.select("lang", "slot", "log").toArrow()
         code = pa.array(range(len(langs)), pa.int32()).take(pa.compute.index_in(t.column("lang"), pa.array(langs, pa.string())).combine_chunks()).to_numpy().astype(np.uint16)
-        slot, value = t.column("slot").to_numpy(), t.column("p").to_numpy()
+        slot, value = t.column("slot").to_numpy(), t.column("log").to_numpy()
         order = np.lexsort((code, slot))
         slots, starts = np.unique(slot[order], return_index=True)
         return Entries(slots, np.r_[starts, len(slot)].astype(np.uint32), code[order], value[order])
@@ -190,27 +195,36 @@ class Model:
     def of(t: Tables) -> Model | None:
         return Model(t.langs, [Entries.of(x, t.langs) for x in t.grams], [Entries.of(x, t.langs) for x in t.contexts]) if t.langs else None
 
-    def probabilities(self, full: list[np.ndarray], context: list[np.ndarray]) -> np.ndarray:
+    def logs(self, full: list[np.ndarray], context: list[np.ndarray]) -> np.ndarray:
         """Of each n-gram in each language: from the uniform distribution up, a context's weight scales what its shorter one gives, and n-grams that a language has hold their own."""
-        p = np.full((len(full[0]), len(self.langs)), 1.0 / POINTS, np.float32)
+        log = np.full((len(full[0]), len(self.langs)), UNIFORM, np.int64)
         for k in range(ORDER):
             row, lang, value = self.contexts[k].find(context[k])
-            p[row, lang] *= value
+            log[row, lang] += value
             row, lang, value = self.grams[k].find(full[k])
-            p[row, lang] = value
-        return p
+            log[row, lang] = value
+        return log
 
-    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log probability of each word in each language, and its scored characters."""
+    def units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each word in each language, in UNITs, and its scored characters."""
         full, context, word = grams(words)
         _, index, inverse = np.unique(full[-1], return_index=True, return_inverse=True)
-        log = np.empty((len(index), len(self.langs)), np.float32)
+        log = np.empty((len(index), len(self.langs)), np.int64)
         step = max(1, CELLS // max(1, len(self.langs)))
         for i in range(0, len(index), step):
             own = index[i : i + step]
-            log[i : i + step] = np.log(self.probabilities([x[own] for x in full], [x[own] for x in context]))
-        sums = np.stack([np.bincount(word, log[inverse, j], len(words)) for j in range(len(self.langs))], 1)
-        return sums, np.bincount(word, minlength=len(words))
+            log[i : i + step] = self.logs([x[own] for x in full], [x[own] for x in context])
+        n = np.bincount(word, minlength=len(words))
+        sums = np.zeros((len(words), len(self.langs)), np.int64)
+        some = np.flatnonzero(n)
+        if len(some):
+            sums[some] = np.add.reduceat(log[inverse], (np.cumsum(n) - n)[some], 0)  # characters come word by word
+        return sums, n
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same in nats."""
+        sums, n = self.units(words)
+        return sums / UNIT, n
 
 
 ADDED = ("lang_pred", "score", "entropy", "n_scored")
@@ -235,12 +249,15 @@ def by_arrays(docs: DataFrame, model: Model | None) -> DataFrame:
             number: dict[str, int] = {}
             flat = np.fromiter((number.setdefault(w, len(number)) for x in each for w in x), np.int64)
             if m and len(flat):
-                sums, chars = m.score(list(number))
-                doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
-                n = np.bincount(doc, chars[flat], len(each)).astype(np.int64)
-                total = np.stack([np.bincount(doc, sums[flat, j], len(each)) for j in range(len(m.langs))], 1)
+                sums, chars = m.units(list(number))
+                sizes = np.array([len(x) for x in each])
+                some, starts = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[sizes > 0]
+                n[some] = np.add.reduceat(chars[flat], starts)
+                total = np.zeros((len(each), len(m.langs)), np.int64)
+                for j in range(len(m.langs)):
+                    total[some, j] = np.add.reduceat(sums[flat, j], starts)
                 ok = n > 0
-                rate = total[ok] / n[ok, None]
+                rate = total[ok] / n[ok, None] / UNIT
                 best = rate.argmax(1)
                 near = np.exp((rate - rate.max(1, keepdims=True)) * np.minimum(n[ok], TRUST)[:, None])
                 scores[ok], entropies[ok] = 1 / near.sum(1), -rate.max(1)
@@ -270,11 +287,12 @@ def by_joins(docs: DataFrame, tables: Tables) -> DataFrame:
     langs, below = F.array(*map(F.lit, tables.langs)), None
     for k in range(1, ORDER + 1):  # what an order's own entries don't give comes from the order below, by the context's weight
         t = kinds[k].select(F.explode(langs).alias("lang"), F.col(f"g{k}").alias("g"), F.col(f"x{k - 1}").alias("x"), *([F.col(f"g{k - 1}").alias("lesser")] if k > 1 else []))
-        t = t.join(tables.contexts[k - 1].select("lang", F.col("slot").alias("x"), F.col("p").alias("weight")), ["lang", "x"], "left")
-        t = t.join(tables.grams[k - 1].select("lang", F.col("slot").alias("g"), "p"), ["lang", "g"], "left")
-        t = t.withColumn("q", F.lit(1.0 / POINTS)) if below is None else t.join(below.select("lang", F.col("g").alias("lesser"), F.col("p").alias("q")), ["lang", "lesser"])
-        below = materialise(t.select("lang", "g", F.coalesce("p", F.coalesce("weight", F.lit(1.0)) * F.col("q")).alias("p")), "gram-scores")
-    each = own.select("row", F.col("g4").alias("g"), "n").join(below, "g").groupBy("row", "lang").agg((F.sum(F.col("n") * F.log("p")) / F.sum("n")).alias("rate"), F.sum("n").alias("n"))
+        t = t.join(tables.contexts[k - 1].select("lang", F.col("slot").alias("x"), F.col("log").alias("weight")), ["lang", "x"], "left")
+        t = t.join(tables.grams[k - 1].select("lang", F.col("slot").alias("g"), "log"), ["lang", "g"], "left")
+        t = t.withColumn("q", F.lit(UNIFORM)) if below is None else t.join(below.select("lang", F.col("g").alias("lesser"), F.col("log").alias("q")), ["lang", "lesser"])
+        below = materialise(t.select("lang", "g", F.coalesce("log", F.coalesce("weight", F.lit(0)) + F.col("q")).alias("log")), "gram-scores")
+    total = F.sum(F.col("n") * F.col("log")).cast("double")
+    each = own.select("row", F.col("g4").alias("g"), "n").join(below, "g").groupBy("row", "lang").agg((total / F.sum("n") / F.lit(float(UNIT))).alias("rate"), F.sum("n").alias("n"))
     # A row per language; negative rates, so that the least is the best and the first in order wins a tie.
     rates = each.groupBy("row").agg(F.collect_list(F.struct((-F.col("rate")).alias("loss"), "lang")).alias("rates"), F.max("n").alias("n_scored"))
     best, trust = F.array_min("rates"), F.least("n_scored", F.lit(TRUST))
