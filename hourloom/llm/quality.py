@@ -13,6 +13,7 @@ text is read whole by one task; an empty table gives an empty one; other columns
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -193,14 +194,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, dict[str,
             for i, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
                 m = measure(t)
                 if m[0]:
-                    rows.append((i, *f.sparse(t, m), held.value[votes(m)]))
-            yield pa.record_batch([pa.array([r[0] for r in rows], b.column(0).type), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.float64())], names=["doc_id", "slots", "values", "good"])
+                    rows.append((i, *f.sparse(t, m), held.value[votes(m)], int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)))
+            yield pa.record_batch([pa.array([r[0] for r in rows], b.column(0).type), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.list_(pa.float64())), pa.array([r[3] for r in rows], pa.float64()), pa.array([r[4] for r in rows], pa.int64())], names=["doc_id", "slots", "values", "good", "own"])
 
-    features = chosen.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, slots array<int>, values array<double>, good double")
+    features = chosen.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, slots array<int>, values array<double>, good double, own long")  # own: of the text, an order for rows with one doc_id
     features = features.withColumn("part", F.pmod(F.xxhash64(F.lit(2), F.col("doc_id")), F.lit(parts)))
 
     def fit(key: tuple[int, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        w = train_part(rows.sort_values("doc_id", kind="stable"))
+        w = train_part(rows.sort_values(["doc_id", "own"], kind="stable"))
         at = np.flatnonzero(w)
         return pd.DataFrame({"slot": at, "w": w[at], "part": key[0]})
 
