@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.operators import checks, network, rowwise, splits, temporal, upwind
+from hourloom.operators import causality, checks, network, rowwise, splits, temporal, upwind
 from hourloom.schema import NETWORK, POLLUTANTS, PRIMARY, TARGET, WEATHER, input_schema
 from hourloom.sources import cast_to, delete, fault_metrics, narrow_types, parse_panel_csv, range_metrics, whole_columns, write_json, write_parquet, write_registry
 
@@ -168,7 +168,7 @@ class Export:
 def prepare(train: DataFrame, test: DataFrame, audit: bool = True, only: list[str] | None = None, rows_checked: bool = False) -> Export:
     """Checks, features and alignment of a training and a test panel; raises with all broken rules at once.
 
-    Rules of rows are one pass, rules of keys one pass of the keys, the leak audit a join of the readings. rows_checked: the rows have met the row rules before, e.g. while they were written."""
+    Rules of rows are one pass, rules of keys one pass of the keys, the leak audit a join of the readings; that no feature reads later rows is seen from the plan. rows_checked: the rows have met the row rules before, e.g. while they were written."""
     measured = [*POLLUTANTS, *WEATHER]
     full = splits.union(train, test)
     found = checks.as_dict(checks.key_violations(full))
@@ -182,6 +182,7 @@ def prepare(train: DataFrame, test: DataFrame, audit: bool = True, only: list[st
     known = families()
     known = known if only is None else {f: known[f] for f in only}
     checks.reject_names(features.columns)
+    causality.require_causal(features, columns=[c for c in features.columns if c not in ("id", TS, "_is_train")])
     if rest := unassigned([c for c in features.columns if c not in ("id", TS, "_is_train")], known):
         known["UNASSIGNED"] = rest
     # Station and hour are unique, so a row's own id and target are what a join by key would find.
