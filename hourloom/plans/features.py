@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.operators import causality, checks, network, rowwise, splits, temporal, upwind
+from hourloom.plans import notes
 from hourloom.schema import NETWORK, POLLUTANTS, PRIMARY, TARGET, WEATHER, input_schema
 from hourloom.sources import cast_to, delete, fault_metrics, narrow_types, parse_panel_csv, range_metrics, whole_columns, write_json, write_parquet, write_registry
 
@@ -94,7 +95,6 @@ NEEDS: dict[str, tuple[str, ...]] = {
 #: Families with columns that hold what other stations read in the same hour, which a forecast may not have yet.
 SAME_HOUR = ("NETWORK_STATE", "SPATIAL_GRADIENTS", "NETWORK_RATES", "LOCAL_VS_NETWORK", "UPWIND", "INTERACTIONS")
 #: What a plan must exchange rows for.
-BY_HOUR = ("NETWORK_STATE", "UPWIND")
 OF_HOURS = ("NETWORK_HISTORY",)
 BY_STATION = ("LOCAL_LAGS_SHORT", "LOCAL_LAGS_MEDIUM", "LOCAL_LAGS_LONG", "LOCAL_ROLLING", "UPWIND")
 
@@ -111,6 +111,12 @@ def closure(chosen) -> set[str]:
     return out
 
 
+def source_columns(chosen) -> list[str]:
+    """The readings that families are made from, by their notes."""
+    named = {c for n in notes.NOTES if n.family in chosen for c in n.reads}
+    return [c for c in (*POLLUTANTS, *WEATHER, "wd") if c in named]
+
+
 def without_same_hour(known: dict[str, list[str]]) -> list[str]:
     """The families that a forecast can use before the other stations' readings of its hour arrive."""
     return [f for f in known if f not in SAME_HOUR]
@@ -128,8 +134,11 @@ def build_features(panel: DataFrame, keep: tuple[str, ...] = ("id", TS, "_is_tra
         raise ValueError(f"no such family: {', '.join(wrong)}")
     needed = closure(chosen)
     keep = tuple(c for c in keep if c in panel.columns)
-    seen = panel.select(*dict.fromkeys([TS, *keep, "station", *POLLUTANTS, *WEATHER, "wd"]))
-    if needed & set(BY_HOUR):
+    sources = source_columns(needed)
+    if absent := [c for c in ("station", TS, *sources) if c not in panel.columns]:
+        raise ValueError(f"the panel lacks {', '.join(absent)}, which {', '.join(chosen)} need")
+    seen = panel.select(*dict.fromkeys([TS, *keep, "station", *sources]))
+    if "NETWORK_STATE" in needed:
         more = {"readings": upwind.readings()} if "UPWIND" in needed else {}
         table = network.hours(seen, more) if needed & set(OF_HOURS) else network.hour_table(seen, more=more)
         seen = seen.join(table, TS, "left")

@@ -46,25 +46,29 @@ def write(path, lines):
     return str(path)
 
 
-@pytest.mark.parametrize(
-    "cells, edit, message",
-    [
-        ({"PM10": "abc"}, None, "PM10: malformed"), ({"CO": "1e999"}, None, "CO: malformed"), ({"O3": "1d"}, None, "O3: malformed"), ({"hour": "3.5"}, None, "hour: malformed"), ({"year": "99999999999"}, None, "year: malformed"),
-        ({TS: "not a time"}, None, f"{TS}: malformed"), ({TS: "2016-02-30 00:00:00"}, None, f"{TS}: malformed"), ({TS: ""}, None, f"{TS}: missing key"), ({"id": "NA"}, None, "id: missing key"), ({"station": ""}, None, "station: missing key"),
-        ({}, lambda x: x + ",9", "record: wrong length"), ({}, lambda x: x.rsplit(",", 1)[0], "record: wrong length"), ({TARGET: "NA"}, None, "training rows have a target"), ({"hour": 23}, None, "calendar fields are the timestamp's"),
-        ({TS: "2016-01-01 01:30:00"}, None, "timestamps are whole hours"),
-    ],
-)
-def test_faults_of_csv_are_loud(spark, tmp_path, cells, edit, message):
-    lines = records(range(6), True, **cells)
-    lines[4] = edit(lines[4]) if edit else lines[4]
-    train, test = write(tmp_path / "train.csv", lines), write(tmp_path / "test.csv", records(range(6, 8), False, first=1000))
-    with pytest.raises(ValueError, match=f"{message}.*1 ") as found:
-        features.run(spark, train, test, str(tmp_path / "out"))
-    assert "train.csv" in str(found.value) and not list((tmp_path / "out").glob("*"))
-    if ": " in message:
-        with pytest.raises(ValueError, match=message):
-            read_panel_csv(spark, train, True)
+FAULTS = [
+    ({"PM10": "abc"}, None, "PM10: malformed"), ({"CO": "1e999"}, None, "CO: malformed"), ({"O3": "1d"}, None, "O3: malformed"), ({"hour": "3.5"}, None, "hour: malformed"), ({"year": "99999999999"}, None, "year: malformed"),
+    ({TS: "not a time"}, None, f"{TS}: malformed"), ({TS: "2016-02-30 00:00:00"}, None, f"{TS}: malformed"), ({TS: ""}, None, f"{TS}: missing key"), ({"id": "NA"}, None, "id: missing key"), ({"station": ""}, None, "station: missing key"),
+    ({}, lambda x: x + ",9", "record: wrong length"), ({}, lambda x: x.rsplit(",", 1)[0], "record: wrong length"),
+]
+BROKEN = [({TARGET: "NA"}, "training rows have a target"), ({"hour": 23}, "calendar fields are the timestamp's"), ({TS: "2016-01-01 01:30:00"}, "timestamps are whole hours")]
+
+
+def test_faults_of_csv_are_loud(spark, tmp_path):
+    for i, (cells, edit, message) in enumerate(FAULTS):
+        lines = records(range(6), True, **cells)
+        lines[4] = edit(lines[4]) if edit else lines[4]
+        with pytest.raises(ValueError, match=f"{message} in 1 records"):
+            read_panel_csv(spark, write(tmp_path / f"{i}.csv", lines), True)
+
+
+def test_a_run_names_all_faults_and_leaves_nothing(spark, tmp_path):
+    test = write(tmp_path / "test.csv", records(range(6, 8), False, first=1000))
+    for cells, message in [*BROKEN, ({"PM10": "abc", "id": "NA"}, "id: missing key .1 rows.*PM10: malformed .1 rows")]:
+        train = write(tmp_path / "train.csv", records(range(6), True, **cells))
+        with pytest.raises(ValueError, match=message) as found:
+            features.run(spark, train, test, str(tmp_path / "out"))
+        assert "train.csv" in str(found.value) and not list((tmp_path / "out").glob("*"))
 
 
 def test_every_fault_is_counted_and_missing_values_are_none(spark, tmp_path):
@@ -143,6 +147,12 @@ def test_families_alone_are_those_of_the_whole_table(spark):
         assert all(r[c] == pytest.approx(both[r["id"]][c]) if isinstance(r[c], float) else r[c] == both[r["id"]][c] for r in got.collect() for c in got.columns)
     with pytest.raises(ValueError, match="no such family"):
         features.build_features(p, only=["RAW", "LAGS"])
+    less = p.drop("wd", "RAIN", "O3")
+    assert features.build_features(less, only=["LOCAL_ROLLING", "UPWIND"][:1]).count() == features.build_features(p.drop("O3"), only=["UPWIND"]).count() == p.count()
+    with pytest.raises(ValueError, match="lacks wd, which WIND_ENCODING"):
+        features.build_features(less, only=["WIND_ENCODING"])
+    with pytest.raises(ValueError, match="lacks O3, RAIN, wd"):
+        features.build_features(less)
     assert features.closure(["LOCAL_VS_NETWORK"]) >= {"LOCAL_RATES", "LOCAL_ROLLING", "NETWORK_HISTORY"}
 
 
