@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's docs. All
 but the last return the columns of documents; the last returns one row per copy of a document that the mix holds, with its ids.
+
+Cases: a text that is null or has no word is rejected by the first stage, so later ones meet none from it, though the second may empty a text, which has no
+shingles, is no near copy of any other and encodes to no ids; rows with one doc_id are documents each, and of equal ones the third stage keeps
+one; null sources are a source of their own in the mix; a very long text is a row as any other; ties are settled by text; an empty table gives an empty one, with the
+same columns; columns of the input that have a stage's own names are set aside and come back; further ones stay until the last stage, which returns its own.
 """
 
 from __future__ import annotations

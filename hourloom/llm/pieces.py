@@ -11,7 +11,8 @@ also encoded by the sentencepiece library, in one call for each Arrow batch, and
 the two differ the library's ids hold, and n_differ counts the segments; it is 0 for the public vocabulary.
 
 Cases: a null or empty text has no ids and decodes to the empty text; a text's own mark characters decode to spaces, as in
-the library; other columns and repeated rows stay as they are, but for ids, decoded and n_differ, which are replaced.
+the library; a very long text is one row's work, cut into segments as any other, and takes memory in proportion to its length; an empty table gives
+an empty one; other columns and repeated rows stay as they are, but for ids, decoded and n_differ, which are replaced.
 """
 
 from __future__ import annotations
