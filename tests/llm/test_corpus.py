@@ -94,6 +94,59 @@ def test_empty_tables_and_odd_texts(spark, name, tmp_path):
 # 1 ----------------------------------------------------------------------------------------------------------------------------
 
 
+def plain_scores(rows):
+    """Operator 1 by definition for at most a thousand documents with ids of their own: measures, votes, features, gradients and scores, each by plain loops."""
+
+    def measures(t):
+        words, lines = t.split(), [x for x in t.split("\n") if x.strip()]
+        n = len(words)
+        ends = set(quality.SYMBOLS + "!")
+        return {
+            "symbols": sum(c in quality.SYMBOLS for c in t) / n, "upper": sum(w.isupper() for w in words) / n, "exclaims": t.count("!") / n, "digits": sum("0" <= c <= "9" for c in t) / len(t), "dup_lines": 1 - len(set(lines)) / len(lines),
+            "tails": sum(w[-1] in ends for w in words) / n, "stutter": sum(a == b for a, b in zip(words, words[1:])) / n, "narrow": sum(len(c) - len(set(c)) for c in (words[i : i + 100] for i in range(0, n, 100))) / n,
+        }
+
+    def features(t, m):
+        out, words = Counter(), t.split()
+        for w in words:
+            form = "".join(k for k, _ in itertools.groupby("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in w))
+            for name in (f"f:{form}", "t:" if w[-1].isalnum() else f"t:{w[-2:]}", f"w:{w.lower()}"):
+                out[zlib.crc32(name.encode()) % quality.DIMENSIONS] += 1 / len(words)
+        for k, x in m.items():
+            out[zlib.crc32(f"m:{k}:{min(int(x * 20), 20)}".encode()) % quality.DIMENSIONS] += 0.25
+        return out
+
+    worded = [(i, t) for i, t in rows if t and t.split()]
+    each = {i: measures(t) for i, t in worded}
+    vote = {i: "".join("g" if m[k] < g else "j" if m[k] > j else "-" for k, (g, j) in quality.LABELLERS.items()) for i, m in each.items()}
+    good, _, _ = quality.estimate(Counter(vote.values()))
+    own = {i: features(t, each[i]) for i, t in worded}
+    weights, bias, step = Counter(), 0.0, 0
+    z = lambda i: bias + sum(weights[s] * v for s, v in own[i].items())
+    squash = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+    for _ in range(quality.EPOCHS):
+        for i in sorted(own):
+            move = 4.0 / (1 + step / 2000) * (squash(z(i)) - good[vote[i]])
+            for s, v in own[i].items():
+                weights[s] -= move * v
+            bias -= move
+            step += 1
+    return {i: squash(z(i)) if i in own else 0.0 for i, _ in rows}
+
+
+def test_quality_equals_plain_loops(spark):
+    d = table(spark, DIR, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
+    extra = [None, "", "  \n", "ÉCOLE! l'été, straße 日本 x1y22zz", "!!! ###\n!!! ###\nA A A", "Word, " * 300]
+    rows += [(10**6 + i, t) for i, t in enumerate(extra)]
+    want = plain_scores(rows)
+    both = d.select("doc_id", "text").union(spark.createDataFrame(rows[-len(extra) :], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in quality.query(both).collect()}
+    assert len(got) == len(want)
+    for i, w in want.items():
+        assert got[i]["score"] == pytest.approx(w, abs=1e-9) and (got[i]["kept"] == (w >= 0.5) or abs(w - 0.5) < 1e-9), i
+
+
 def test_quality_finds_junk_and_keeps_the_rest(spark):
     got = quality.classify(table(spark, "/root/testdata/sf0.01", "documents")).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
     good, junk = got[got.quality == 1], got[got.quality == 0]
@@ -292,15 +345,51 @@ def test_lexer_reads_blocks_of_lines():
         assert found(PROSE * i + "The token of the game: a small stone. His secret = the key to the barn, and the pass: closed (for now).") == []
 
 
+def test_lexed_spans_of_random_programs():
+    """Programs that are written along with what each name holds: the literals that reach a sensitive name, and no others, are found where they were written."""
+    import random
+    import string
+
+    for seed in range(300):
+        r = random.Random(seed)
+        text, held, want = r.choice(["", "import os\n", "# settings\n"]), {}, set()
+        for i in range(r.randint(3, 9)):
+            name, parts = r.choice(["part", "base", "left", "x"]) + f"{r.randint(0, 4)}q", set()
+            sensitive = r.random() < 0.3
+            if sensitive:
+                name = r.choice(["db_pwd", "authKey_token", "service_credential"]) + str(i)
+            text += r.choice(["", "  ", "export ", "let "]) + name + r.choice([" = ", "=", " := ", ": "])
+            for k in range(r.randint(1, 3)):
+                text += r.choice([" + ", " +"]) if k else ""
+                if held and r.random() < 0.4:
+                    other = r.choice(sorted(held))
+                    text += other
+                    parts |= held[other]
+                else:
+                    literal = "".join(r.sample(string.ascii_lowercase, 5) + r.sample(string.ascii_uppercase, 4) + r.sample(string.digits, 3))
+                    quote = r.choice("\"'")
+                    parts.add((len(text) + 1, len(text) + 1 + len(literal)))
+                    text += quote + literal + quote
+            text += r.choice(["", ";", "  # note"]) + "\n"
+            held[name] = parts
+            want |= parts if sensitive else set()
+        base = [(a, b) for k, a, b, _ in secrets.spans(text) if k != 3]
+        want = {x for x in want if not any(a <= x[0] and x[1] <= b for a, b in base)}
+        assert {(a, b) for k, a, b, _ in secrets.spans(text) if k == 3} == want, text
+
+
 def test_lexer_takes_time_in_proportion():
     import time
 
     took = []
     for n in (4000, 16000):
         t = "".join(f'x{i} = """\npwd{i} = <<E{i}\nsecret_key{i} = "Zx81kQpLmN{i}"\npassword = abcdef{i}\n' for i in range(n))
-        began = time.process_time()
-        assert len(secrets.spans(t)) >= n
-        took.append(time.process_time() - began)
+        each = []
+        for _ in range(3):
+            began = time.process_time()
+            assert len(secrets.spans(t)) >= n
+            each.append(time.process_time() - began)
+        took.append(min(each))
     assert took[1] < 8 * took[0]
 
 
