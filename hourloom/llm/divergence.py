@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import materialise, slices
+from hourloom.llm.common import materialise, slices, utf8
 
 LEAST_DOCS, TOP, UNITS = 3, 200, 1_000_000_000
 #: Leaves of the tries of a task at once, pairs of sources that a walk holds, terms of a block, pairs of one numpy step, and bytes of a piece of text.
 LEAVES, PAIRS, BLOCK, STEP, PIECE = 400_000, 1_000_000, 1 << 14, 1 << 20, 8 << 20
 #: Letters in lower case and all bytes of other characters stay; everything else is a border.
 TERM_BYTES = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+TABLE = np.frombuffer(TERM_BYTES, np.uint8)
 
 
 class Trie:
@@ -47,11 +48,11 @@ class Trie:
         #: Counters of leaves: leaf, source, occurrences and documents, in parts that settle() adds up.
         self.parts: list[np.ndarray] = []
 
-    def grow(self, terms) -> None:
+    def grow(self, terms: set[bytes]) -> None:
         """Leaves for terms that have none yet. They come in order, so each starts at the last node that lies on its way too."""
         known = self.known
         path = [(b"", self.root)]
-        for term in sorted([t for t in terms if t not in known]):
+        for term in sorted(terms - known.keys()):
             while not term.startswith(path[-1][0]):
                 path.pop()
             node, at, size = path[-1][1], len(path[-1][0]), len(term)
@@ -76,19 +77,19 @@ class Trie:
                 path.append((term[:at], node))
             node[2] = known[term] = len(known)
 
-    def add(self, source: int, counts: Counter, docs: Counter) -> None:
-        """Occurrences of terms in a source, and of documents, with the terms in the same order."""
-        self.grow(counts)
-        n = len(counts)
-        part = np.empty((4, n), np.int64)
-        part[0] = np.fromiter(map(self.known.__getitem__, counts), np.int64, n)
-        part[1] = source
-        part[2] = np.fromiter(counts.values(), np.int64, n)
-        part[3] = np.fromiter(docs.values(), np.int64, n)
+    def add(self, leaf: np.ndarray, source: np.ndarray | int, n: np.ndarray, docs: np.ndarray | int) -> None:
+        """Occurrences of terms in sources, and of documents, by the terms' leaves."""
+        part = np.empty((4, len(leaf)), np.int64)
+        part[0], part[1], part[2], part[3] = leaf, source, n, docs
         self.parts.append(part)
         if sum(p.shape[1] for p in self.parts) > 4 * LEAVES:
             self.settle()
 
+    def leaf(self, terms: list[bytes]) -> np.ndarray:
+        """The leaves of terms, new ones where need be."""
+        self.grow(set(terms))
+        return np.fromiter(map(self.known.__getitem__, terms), np.int64, len(terms))
+
     def settle(self) -> np.ndarray:
         """One counter for each leaf and source."""
         every = np.concatenate(self.parts, 1)
@@ -119,6 +120,31 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
     yield text[at:].split() if at else text.split()
 
 
+def cut(data: np.ndarray, ends: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The terms of texts that lie one after another, and the text that each comes from."""
+    data = TABLE[data]
+    inside = data != 32
+    before, after = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
+    full = np.flatnonzero(np.diff(ends))  # a term ends with its text
+    before[ends[full]] = after[ends[full + 1] - 1] = False
+    begin, stop = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    places = np.r_[0, np.cumsum(stop - begin)].astype(np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(places), pa.py_buffer(data[inside])])
+    return terms.dictionary_encode(), np.searchsorted(ends, begin, "right") - 1
+
+
+def counted(terms: np.ndarray, doc: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """group, term, occurrences and documents of each group's different terms; size: how many different terms there are."""
+    each, n = np.unique(doc * size + terms, return_counts=True)
+    key = group[each // size] * size + each % size
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    if not len(key):
+        return first, first, first, first
+    return key[first] // size, key[first] % size, np.add.reduceat(n[order], first), np.diff(np.r_[first, len(key)])
+
+
 def leaves(docs: DataFrame) -> DataFrame:
     """lang, term, source, n and docs: leaves of all tries; each group also has a leaf of the empty term, of which it holds none."""
 
@@ -140,20 +166,34 @@ def leaves(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
         tries: dict[str, Trie] = defaultdict(Trie)
-        for b in slices(batches, 32 << 20):
-            found: dict[tuple[str, int], Counter] = defaultdict(Counter)
-            within: dict[tuple[str, int], Counter] = defaultdict(Counter)
-            for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-                group = lang, number.setdefault(source, len(number))
-                own, docs, seen = found[group], within[group], {}
-                own[b""] += 0  # the group is there, whatever its texts hold
-                docs[b""] += 0
-                for words in pieces(text):
-                    own.update(words)
-                    seen.update(dict.fromkeys(words))
-                docs.update(seen.keys())  # in the order in which own has met them
-            for (lang, source), counts in found.items():
-                tries[lang].add(source, counts, within[lang, source])
+        for b in slices(batches):
+            langs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
+            numbers = [number.setdefault(x, len(number)) for x in sources]
+            groups = {x: i for i, x in enumerate(dict.fromkeys(zip(langs, numbers)))}
+            for lang, source in groups:  # the group is there, whatever its texts hold
+                tries[lang].add(tries[lang].leaf([b""]), source, 0, 0)
+            data, ends = utf8(b.column(2))
+            long = np.flatnonzero(np.diff(ends) > PIECE)
+            for i in long.tolist():
+                counts: Counter = Counter()
+                for words in pieces(data[ends[i] : ends[i + 1]].tobytes()):
+                    counts.update(words)
+                tries[langs[i]].add(tries[langs[i]].leaf(list(counts)), numbers[i], np.fromiter(counts.values(), np.int64, len(counts)), 1)
+            if len(long):
+                keep = np.ones(len(langs), bool)
+                keep[long] = False
+                data = data[np.repeat(keep, np.diff(ends))]
+                ends = np.r_[0, np.cumsum(np.where(keep, np.diff(ends), 0))]
+            terms, doc = cut(data, ends)
+            names = terms.dictionary.to_pylist()
+            group, term, n, in_docs = counted(terms.indices.to_numpy().astype(np.int64), doc, np.fromiter(map(groups.__getitem__, zip(langs, numbers)), np.int64, len(langs)), max(1, len(names)))
+            every = list(groups)
+            for lang in dict.fromkeys(langs):
+                own = np.flatnonzero(np.array([x == lang for x, _ in every], bool)[group])
+                used = np.unique(term[own])
+                leaf = np.zeros(len(names) + 1, np.int64)
+                leaf[used] = tries[lang].leaf([names[i] for i in used.tolist()])
+                tries[lang].add(leaf[term[own]], np.array([x for _, x in every], np.int64)[group[own]], n[own], in_docs[own])
             if sum(len(t.known) for t in tries.values()) > LEAVES:
                 yield from rows(tries, list(number))
                 tries, number = defaultdict(Trie), {}

@@ -83,8 +83,7 @@ def test_trie_is_in_order_of_bytes():
         want = defaultdict(lambda: [0, 0])
         for i in range(4):
             counts = Counter(terms[i::4])
-            trie.grow(set(counts))
-            trie.add(i % 2, counts, Counter(dict.fromkeys(counts, 1)))
+            trie.add(trie.leaf(list(counts)), i % 2, np.array(list(counts.values())), 1)
             for t, n in counts.items():
                 want[t, i % 2][0] += n
                 want[t, i % 2][1] += 1
