@@ -295,3 +295,62 @@ def test_calibration():
     assert abs(slope - 1.5) < 0.15 and abs(shift + 1) < 0.15
     assert toxicity.best(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == pytest.approx(0.5)
     assert np.isfinite(toxicity.platt(np.array([-1.0, 1.0]), np.array([0.0, 1.0]))).all()
+
+
+def test_toxicity_learns_from_every_labelled_document(spark, monkeypatch):
+    """Each part meets its documents, all of them meet every labelled one, and several parts learn what one learns."""
+    rows, labels = labelled(1600)
+    learned = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    marks = toxicity.known(spark.createDataFrame([*labels, (5, 1), (77_777, 1)], "doc_id long, toxic int"))
+    docs = table(spark, rows + [(9, "stone twice", "en", "s", 1)])
+    roles = toxicity.with_role(docs).join(marks, "doc_id").collect()
+    assert sorted(r["doc_id"] for r in roles) == sorted([*learned, *[9] * (9 in learned)]) and {r["trained"] for r in roles} == {True, False}
+    assert toxicity.parts_of(10**6, 10**9)[0] == 10**6 // toxicity.PER_PART and toxicity.parts_of(100, 10**10)[0] == -(-(10**10) // toxicity.CHARS)
+    seen, parts = [], toxicity.trained_parts
+
+    def watched(own, *rest):
+        seen.extend(own.collect())
+        return parts(own, *rest)
+
+    monkeypatch.setattr(toxicity, "trained_parts", watched)
+    monkeypatch.setattr(toxicity, "PER_PART", 250)
+    first = toxicity.train_model(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    trained = [r["text"] for r in toxicity.labelled(docs, marks).collect()]
+    assert len(trained) == sum(r["trained"] for r in roles)
+    assert sorted(r["text"] for r in seen) == sorted(trained) and len({r["part"] for r in seen}) == len(trained) // 250 > 2
+    again = toxicity.train_model(docs.repartition(7), spark.createDataFrame(labels, "doc_id long, toxic int").repartition(3))
+    assert first.network == again.network
+    held = dict(labels)
+    got = [r for r in toxicity.classify(docs, first).filter("held_out").collect()]
+    assert sum(r["predicted"] == held[r["doc_id"]] for r in got) > 0.95 * len(got)
+
+
+def test_toxicity_knows_what_only_the_last_labels_say(spark):
+    """A word of the toxic documents beyond the first 3000, and toxic ones beyond the first 6000 that calibrate, in the order of the hash by which samples were once taken."""
+    ids = spark.range(50_000).filter("crc32(cast(cast(id AS string) AS binary)) % 4 <> 2").selectExpr("id", "xxhash64(13, id) AS key", "pmod(xxhash64(31, id), 5) > 0 AS trained").orderBy("key").collect()
+    r = random.Random(3)
+    kinds = {True: ["vilenix"] * 3000 + ["grobian"] * 400 + [None] * 1500, False: [None] * 6000 + ["vilenix", "grobian"] * 300}
+    rows, labels = [], []
+    for trained, words in kinds.items():
+        for x, word in zip((x["id"] for x in ids if x["trained"] == trained), words, strict=False):
+            rows.append((x, " ".join([*r.choices(MILD, k=3), word or r.choice(MILD), r.choice(MILD)]), "en", "s", 1))
+            labels.append((x, int(word is not None)))
+    assert len(rows) == 11_500
+    model = toxicity.train_model(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    asked = table(spark, [(1, "stone lamp river", "en", "s", 1), (2, "stone vilenix river", "en", "s", 1), (3, "stone grobian river", "en", "s", 1)])
+    got = {x["doc_id"]: x for x in toxicity.classify(asked, model).collect()}
+    assert [got[i]["predicted"] for i in (1, 2, 3)] == [0, 1, 1] and [got[i]["flagged"] for i in (1, 2, 3)] == [False, True, True]
+    assert model.slope != 1 and set(model.by_language) == {"en"}
+
+
+def test_calibration_in_spark_equals_that_of_arrays(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    z = np.round(r.normal(0, 2, 3000), 2)  # with ties
+    y = (r.random(3000) < 1 / (1 + np.exp(-(1.5 * z - 1)))).astype(int)
+    lang = np.array(["en", "de", "xx", "", None], object)[r.choice(5, 3000, p=[0.5, 0.3, 0.005, 0.095, 0.1])]
+    rows = spark.createDataFrame([(int(t), x, float(v)) for t, x, v in zip(y, lang, z)], "toxic int, lang string, number double")
+    assert toxicity.fit_scale(rows, int(y.sum()), int(3000 - y.sum())) == toxicity.fit_scale(rows.repartition(9), int(y.sum()), int(3000 - y.sum())) == toxicity.platt(z, y)
+    for most in (200_000, 100):
+        monkeypatch.setattr(toxicity, "RANKED", most)
+        got = toxicity.thresholds(rows.withColumnRenamed("number", "score"), 3000)
+        assert got == {"": toxicity.best(z, y), "en": toxicity.best(z[lang == "en"], y[lang == "en"]), "de": toxicity.best(z[lang == "de"], y[lang == "de"])}
