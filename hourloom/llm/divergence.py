@@ -1,7 +1,7 @@
 """Operator 11: how the sources of a language differ in their words.
 
-Partitions count terms in radix tries of bytes, a trie per language, whose leaves hold counters by source; a trie that grows past LEAVES is
-written out, in UTF-8 order, and a new one begins, so memory stays bounded. The written leaves meet by ranges of (language, term), that is of
+Partitions count terms in radix tries of bytes, a trie per language, whose leaves hold counters by source; tries that grow past LEAVES are
+written out, in UTF-8 order, and new ones begin, so memory stays bounded. The written leaves meet by ranges of (language, term), that is of
 prefixes, where equal terms' counters are merged and rare terms go. The merged leaves are walked in that order, block by block: the walk adds up
 what each pair of sources differs in at the terms that both have, and keeps the first candidates of each source, by value and then by term.
 
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,50 +33,72 @@ from hourloom.llm.common import materialise, slices, utf8
 LEAST_DOCS, TOP, UNITS = 3, 200, 1_000_000_000
 #: Leaves of the tries of a task at once, pairs of sources that a walk holds, terms of a block, pairs of one numpy step, and bytes of a piece of text.
 LEAVES, PAIRS, BLOCK, STEP, PIECE = 400_000, 1_000_000, 1 << 14, 1 << 20, 8 << 20
+#: Bytes of an edge of a trie, and edges on a way.
+EDGE, DEPTH = 8, 4
 #: Letters in lower case and all bytes of other characters stay; everything else is a border.
 TERM_BYTES = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-TABLE = np.frombuffer(TERM_BYTES, np.uint8)
 
 
 class Trie:
-    """A radix trie: a node has the bytes of its edge, its children by their first byte, and the number of its leaf where a term ends.
-
-    known finds the leaf of a term that has been met before without the way down."""
+    """A radix trie in arrays: an edge is eight bytes, filled up with zeros where a term ends (terms hold none), and DEPTH of them lie on a way; what
+    is left of a longer term is one edge more. A level has the parent and the edge of each of its nodes, and the number of its leaf where a term ends."""
 
     def __init__(self):
-        self.root: list = [b"", None, None]
-        self.known: dict[bytes, int] = {}
+        self.parent, self.edge = [np.zeros(0, np.int64)] * DEPTH, [np.zeros(0, np.uint64)] * DEPTH
+        self.ends = [np.zeros(0, np.int64)] * DEPTH
+        self.rest: dict[tuple[int, bytes], int] = {}
+        #: Levels and nodes of leaves in the order of their numbers; a leaf with a rest stands below the last level, at its parent.
+        self.leaves: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
         #: Counters of leaves: leaf, source, occurrences and documents, in parts that settle() adds up.
         self.parts: list[np.ndarray] = []
 
-    def grow(self, terms: set[bytes]) -> None:
-        """Leaves for terms that have none yet. They come in order, so each starts at the last node that lies on its way too."""
-        known = self.known
-        path = [(b"", self.root)]
-        for term in sorted(terms - known.keys()):
-            while not term.startswith(path[-1][0]):
-                path.pop()
-            node, at, size = path[-1][1], len(path[-1][0]), len(term)
-            while at < size:
-                if node[1] is None:
-                    node[1] = {}
-                child = node[1].get(term[at])
-                if child is None:
-                    node[1][term[at]] = child = [term[at:], None, None]
-                    at = size
-                elif term.startswith(child[0], at):
-                    at += len(child[0])
-                else:
-                    edge, k = child[0], 1
-                    while at + k < size and term[at + k] == edge[k]:
-                        k += 1
-                    split = [edge[:k], {edge[k]: child}, None]
-                    child[0] = edge[k:]
-                    node[1][term[at]] = split
-                    child, at = split, at + k
-                node = child
-                path.append((term[:at], node))
-            node[2] = known[term] = len(known)
+    def down(self, level: int, parent: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """The nodes that edges lead to, new ones where need be."""
+        old = len(self.parent[level])
+        edges = pa.array(np.r_[self.edge[level], edge]).dictionary_encode()  # numbers go by first appearance, so old nodes keep theirs
+        most = max(1, len(edges.dictionary))
+        ways = pa.array(np.r_[self.parent[level], parent] * most + edges.indices.to_numpy()).dictionary_encode()
+        new = ways.dictionary.to_numpy()[old:]
+        self.parent[level] = np.r_[self.parent[level], new // most]
+        self.edge[level] = np.r_[self.edge[level], edges.dictionary.to_numpy()[new % most]]
+        self.ends[level] = np.r_[self.ends[level], np.full(len(new), -1)]
+        return ways.indices.to_numpy()[old:].astype(np.int64)
+
+    def place(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """Numbers of new leaves."""
+        self.leaves.append((np.full(len(nodes), level), nodes))
+        self.size += len(nodes)
+        return np.arange(self.size - len(nodes), self.size)
+
+    def leaf(self, terms: list[bytes] | pa.Array) -> np.ndarray:
+        """The leaves of terms, new ones where need be."""
+        terms = terms if isinstance(terms, pa.Array) else pa.array(terms, pa.binary())
+        _, at, data = terms.buffers()
+        at = np.frombuffer(at, "<i4")[terms.offset : terms.offset + len(terms) + 1].astype(np.int64) if len(terms) else np.zeros(1, np.int64)
+        data = np.r_[np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8), np.zeros(EDGE * DEPTH, np.uint8)]
+        at -= at[0]
+        eight = np.lib.stride_tricks.sliding_window_view(data, EDGE)
+        out, own, node = np.empty(len(terms), np.int64), np.arange(len(terms)), np.zeros(len(terms), np.int64)
+        for level in range(DEPTH):
+            begin, left = at[own] + EDGE * level, at[own + 1] - at[own] - EDGE * level
+            spare = (8 * (EDGE - np.minimum(left, EDGE))).astype(np.uint64)
+            edge = np.where(left > 0, eight[begin].view(">u8")[:, 0].astype(np.uint64) >> spare << spare, np.uint64(0))
+            node = self.down(level, node, edge)
+            here = left <= EDGE
+            ends, stop = self.ends[level], node[here]
+            new = np.unique(stop[ends[stop] < 0])
+            ends[new] = self.place(level, new)
+            out[own[here]] = ends[stop]
+            own, node = own[~here], node[~here]
+            if not len(own):
+                return out
+        for i, parent in zip(own.tolist(), node.tolist()):
+            key = parent, data[at[i] + EDGE * DEPTH : at[i + 1]].tobytes()
+            if key not in self.rest:
+                self.rest[key] = int(self.place(DEPTH, np.array([parent]))[0])
+            out[i] = self.rest[key]
+        return out
 
     def add(self, leaf: np.ndarray, source: np.ndarray | int, n: np.ndarray, docs: np.ndarray | int) -> None:
         """Occurrences of terms in sources, and of documents, by the terms' leaves."""
@@ -85,11 +108,6 @@ class Trie:
         if sum(p.shape[1] for p in self.parts) > 4 * LEAVES:
             self.settle()
 
-    def leaf(self, terms: list[bytes]) -> np.ndarray:
-        """The leaves of terms, new ones where need be."""
-        self.grow(set(terms))
-        return np.fromiter(map(self.known.__getitem__, terms), np.int64, len(terms))
-
     def settle(self) -> np.ndarray:
         """One counter for each leaf and source."""
         every = np.concatenate(self.parts, 1)
@@ -99,15 +117,27 @@ class Trie:
         return self.parts[0]
 
     def walk(self) -> Iterator[tuple[bytes, int]]:
-        """Terms and their leaves in the order of bytes, which is that of UTF-8."""
-        todo = [(b"", self.root)]
-        while todo:
-            path, node = todo.pop()
-            path += node[0]
-            if node[2] is not None:
-                yield path, node[2]
-            if node[1]:
-                todo += [(path, node[1][b]) for b in sorted(node[1], reverse=True)]
+        terms, leaf = self.ordered()
+        return zip(terms.to_pylist(), leaf.tolist())
+
+    def ordered(self) -> tuple[pa.Array, np.ndarray]:
+        """Terms and their leaves in the order of bytes, which is that of UTF-8: the edges on the way to each leaf, in order."""
+        level, node = (np.concatenate([x[i] for x in self.leaves] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        edges = np.zeros((self.size, int(min(level.max(initial=0) + 1, DEPTH))), np.uint64)
+        for i in reversed(range(edges.shape[1])):
+            own = np.flatnonzero(level >= i)
+            edges[own, i] = self.edge[i][node[own]]
+            node[own] = self.parent[i][node[own]]
+        rest = [b""] * (self.size if self.rest else 0)
+        for (_, x), leaf in self.rest.items():
+            rest[leaf] = x
+        places = {x: i for i, x in enumerate(sorted(set(rest)))}
+        order = np.lexsort(([np.array([places[x] for x in rest])] if rest else []) + list(edges.T[::-1]))
+        found = edges[order].astype(">u8").view(np.uint8)
+        inside = found != 0
+        ends = np.r_[0, np.cumsum(inside.sum(1))].astype(np.int32)
+        terms = pa.Array.from_buffers(pa.binary(), self.size, [None, pa.py_buffer(ends), pa.py_buffer(found[inside])])
+        return pc.binary_join_element_wise(terms, pa.array([rest[i] for i in order.tolist()], pa.binary()), b"") if rest else terms, order
 
 
 def pieces(text: bytes) -> Iterator[list[bytes]]:
@@ -122,15 +152,17 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
 
 def cut(data: np.ndarray, ends: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The terms of texts that lie one after another, and the text that each comes from."""
-    data = TABLE[data]
-    inside = data != 32
-    before, after = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
-    full = np.flatnonzero(np.diff(ends))  # a term ends with its text
-    before[ends[full]] = after[ends[full + 1] - 1] = False
-    begin, stop = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    data = np.frombuffer(data.tobytes().translate(TERM_BYTES), np.uint8)
+    inside = np.zeros(len(data) + 2, bool)
+    np.not_equal(data, 32, out=inside[1:-1])
+    borders = np.flatnonzero(inside[1:] != inside[:-1])
+    between = np.unique(ends)
+    between = np.repeat(between[inside[between] & inside[between + 1]], 2)  # a term ends with its text
+    borders = np.insert(borders, np.searchsorted(borders, between), between)
+    begin, stop = borders[::2], borders[1::2]
     places = np.r_[0, np.cumsum(stop - begin)].astype(np.int32)
-    terms = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(places), pa.py_buffer(data[inside])])
-    return terms.dictionary_encode(), np.searchsorted(ends, begin, "right") - 1
+    terms = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(places), pa.py_buffer(data[inside[1:-1]])])
+    return terms.dictionary_encode(), np.repeat(np.arange(len(ends) - 1), np.diff(np.searchsorted(begin, ends)))
 
 
 def counted(terms: np.ndarray, doc: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,14 +182,13 @@ def leaves(docs: DataFrame) -> DataFrame:
 
     def rows(tries: dict[str, Trie], names: list[str]) -> Iterator[pa.RecordBatch]:
         for lang, trie in tries.items():
-            terms, order = [], np.empty(len(trie.known), np.int64)
-            for term, leaf in trie.walk():
-                order[leaf] = len(terms)
-                terms.append(term)
+            terms, order = trie.ordered()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
             leaf, source, n, docs = trie.settle()
-            leaf = order[leaf]
+            leaf = place[leaf]
             by = np.argsort(leaf, kind="stable")
-            terms, every = pa.array(terms, pa.binary()).cast(pa.string()), pa.array(names, pa.string())
+            terms, every = terms.cast(pa.string()), pa.array(names, pa.string())
             for i in range(0, len(by), 50_000):
                 own = by[i : i + 50_000]
                 columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(own), np.int32))), terms.take(pa.array(leaf[own])), every.take(pa.array(source[own])), pa.array(n[own]), pa.array(docs[own])]
@@ -170,8 +201,11 @@ def leaves(docs: DataFrame) -> DataFrame:
             langs, sources = b.column(0).to_pylist(), b.column(1).to_pylist()
             numbers = [number.setdefault(x, len(number)) for x in sources]
             groups = {x: i for i, x in enumerate(dict.fromkeys(zip(langs, numbers)))}
-            for lang, source in groups:  # the group is there, whatever its texts hold
-                tries[lang].add(tries[lang].leaf([b""]), source, 0, 0)
+            for lang in dict.fromkeys(langs):  # the group is there, whatever its texts hold
+                if not tries[lang].size:
+                    tries[lang].leaf([b""])
+                own = np.array([x for y, x in groups if y == lang])
+                tries[lang].add(np.zeros(len(own), np.int64), own, 0, 0)
             data, ends = utf8(b.column(2))
             long = np.flatnonzero(np.diff(ends) > PIECE)
             for i in long.tolist():
@@ -185,16 +219,16 @@ def leaves(docs: DataFrame) -> DataFrame:
                 data = data[np.repeat(keep, np.diff(ends))]
                 ends = np.r_[0, np.cumsum(np.where(keep, np.diff(ends), 0))]
             terms, doc = cut(data, ends)
-            names = terms.dictionary.to_pylist()
-            group, term, n, in_docs = counted(terms.indices.to_numpy().astype(np.int64), doc, np.fromiter(map(groups.__getitem__, zip(langs, numbers)), np.int64, len(langs)), max(1, len(names)))
+            found = terms.dictionary
+            group, term, n, in_docs = counted(terms.indices.to_numpy().astype(np.int64), doc, np.fromiter(map(groups.__getitem__, zip(langs, numbers)), np.int64, len(langs)), max(1, len(found)))
             every = list(groups)
             for lang in dict.fromkeys(langs):
                 own = np.flatnonzero(np.array([x == lang for x, _ in every], bool)[group])
                 used = np.unique(term[own])
-                leaf = np.zeros(len(names) + 1, np.int64)
-                leaf[used] = tries[lang].leaf([names[i] for i in used.tolist()])
+                leaf = np.zeros(len(found) + 1, np.int64)
+                leaf[used] = tries[lang].leaf(found.take(pa.array(used)))
                 tries[lang].add(leaf[term[own]], np.array([x for _, x in every], np.int64)[group[own]], n[own], in_docs[own])
-            if sum(len(t.known) for t in tries.values()) > LEAVES:
+            if sum(t.size for t in tries.values()) > LEAVES:
                 yield from rows(tries, list(number))
                 tries, number = defaultdict(Trie), {}
         yield from rows(tries, list(number))
@@ -225,6 +259,8 @@ class Walk:
         self.number: dict[tuple[str, str], int] = {}
         self.pairs: dict[tuple[int, int], int] = defaultdict(int)
         self.best: list[pa.Table] = []
+        #: The least value by group that a further candidate needs; -1 while there are fewer than TOP.
+        self.least = np.zeros(0, np.int64)
 
     def add(self, t: pa.RecordBatch) -> None:
         """Terms of lang, term, q and entries (source, p and zero)."""
@@ -234,46 +270,61 @@ class Walk:
         if not len(each):
             return
         row = np.repeat(np.arange(len(sizes)), sizes)
-        langs = t.column("lang").take(pa.array(row)).to_pylist()
-        own = np.fromiter((self.number.setdefault(x, len(self.number)) for x in zip(langs, each.field("source").to_pylist())), np.int64, len(row))
+        langs, sources = t.column("lang").dictionary_encode(), each.field("source").dictionary_encode()
+        most = len(sources.dictionary)
+        met = pa.array(langs.indices.to_numpy()[row].astype(np.int64) * most + sources.indices.to_numpy()).dictionary_encode()
+        lang, source = (pa.array(x) for x in np.divmod(met.dictionary.to_numpy(), most))
+        names = zip(langs.dictionary.take(lang).to_pylist(), sources.dictionary.take(source).to_pylist())
+        own = np.array([self.number.setdefault(x, len(self.number)) for x in names])[met.indices.to_numpy()]
         p, zero, q = each.field("p").to_numpy(), each.field("zero").to_numpy(), t.column("q").to_numpy()[row]
+        # Few of a source's shares differ, so pairs are counted by kind, a source and one of its shares.
+        kinds = pa.array(own << 31 | p).dictionary_encode()
+        kind = kinds.indices.to_numpy().astype(np.int64)
+        of = np.empty((3, len(kinds.dictionary)), np.int64)
+        of[:, kind] = own, p, zero
         starts, many = np.cumsum(sizes) - sizes, sizes > 1
         starts, sizes = starts[many], sizes[many]
         done = 0
         ends = np.cumsum(sizes.astype(np.int64) ** 2)
         while done < len(starts):  # terms whose pairs fill a step; one term at least
             stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + STEP, "right")))
-            self.both(own, p, zero, starts[done:stop], sizes[done:stop])
+            self.both(kind, of, starts[done:stop], sizes[done:stop])
             done = stop
+        if len(self.least) < len(self.number):
+            self.least = np.r_[self.least, np.full(len(self.number), -1)]
         high = np.flatnonzero(p > q)
+        value = far(p[high], q[high])
+        good = value >= self.least[own[high]]
+        high, value = high[good], value[good]
         if len(high):
-            self.keep(pa.table({"group": own[high], "value": far(p, q)[high], "term": t.column("term").take(pa.array(row[high]))}))
+            self.keep(pa.table({"group": own[high], "value": value, "term": t.column("term").take(pa.array(row[high]))}))
 
-    def both(self, own: np.ndarray, p: np.ndarray, zero: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+    def both(self, kind: np.ndarray, of: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """Of all pairs of entries of a term: what the sum for terms of one source each gets wrong. Blocks of one entry's row, so a term of very many sources fits too."""
         first = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # each entry
-        width, start = np.repeat(sizes, sizes), np.repeat(starts, sizes)
+        width, start, kinds = np.repeat(sizes, sizes), np.repeat(starts, sizes), of.shape[1]
         for i in range(0, len(first), max(1, STEP // int(sizes.max()))):
             rows = slice(i, i + max(1, STEP // int(sizes.max())))
             n = width[rows]
-            a = np.repeat(first[rows], n)
-            b = np.repeat(start[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            a, b = a[a != b], b[a != b]
-            value = far(p[a], p[b]) - far(p[a], zero[b]) - far(zero[a], p[b]) + far(zero[a], zero[b])
-            key, every = own[a] * len(self.number) + own[b], len(self.number) ** 2
-            if every <= STEP and len(value) * int(np.abs(value).max(initial=0)) < 1 << 53:  # sums are exact in doubles
-                sums = np.bincount(key, value, every)
-                for k in np.flatnonzero(sums).tolist():
-                    self.pairs[divmod(k, len(self.number))] += int(sums[k])
-                continue
+            key = np.repeat(kind[first[rows]] * kinds, n) + kind[np.repeat(start[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            if kinds * kinds <= 4 * STEP:
+                times = np.bincount(key)
+                key = np.flatnonzero(times)
+                times = times[key]
+            else:
+                key, times = np.unique(key, return_counts=True)
+            (own, p, zero), (item, q, none) = of[:, key // kinds], of[:, key % kinds]
+            value = (far(p, q) - far(p, none) - far(zero, q) + far(zero, none)) * times
+            key = np.where(own != item, own * len(self.number) + item, -1)  # -1: an entry with itself
             order = np.argsort(key, kind="stable")
             keys, at = np.unique(key[order], return_index=True)
             for k, v in zip(keys.tolist(), np.add.reduceat(value[order], at).tolist()):
-                self.pairs[divmod(k, len(self.number))] += v
+                if k >= 0:
+                    self.pairs[divmod(k, len(self.number))] += v
 
     def keep(self, found: pa.Table) -> None:
         self.best.append(found)
-        if sum(x.num_rows for x in self.best) > 2 * STEP:
+        if sum(x.num_rows for x in self.best) > STEP // 4:
             self.settle()
 
     def settle(self) -> None:
@@ -283,6 +334,8 @@ class Walk:
             group = t.column("group").to_numpy()
             starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             rank = np.arange(len(group)) - np.repeat(starts, np.diff(np.r_[starts, len(group)]))
+            last = np.flatnonzero(rank == TOP - 1)
+            self.least[group[last]] = t.column("value").to_numpy()[last]
             self.best = [t.take(pa.array(np.flatnonzero(rank < TOP)))]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -321,19 +374,20 @@ def audit(docs: DataFrame) -> DataFrame:
     entries = kept.select("lang", "block", "term", "total", F.explode("entries").alias("e")).select("lang", "block", "term", "total", "e.source", "e.n")
     # A row per language, and one per group.
     langs = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("all"))
-    totals = entries.groupBy("lang", "source").agg(F.sum("n").alias("own"))
+    alike = materialise(entries.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("times")), "counts")
+    totals = alike.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("times")).alias("own"))
     groups = counted.filter("term = ''").select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["v", "all", "own"])
     zero = F.when(F.col("v") > 0, share(F.lit(0).cast("bigint"), F.col("own"), F.col("v")))
     groups = materialise(groups.withColumn("zero", zero), "groups")
 
     shared = entries.join(groups, ["lang", "source"]).select("lang", "block", "term", share(F.col("total"), F.col("all"), F.col("v")).alias("q"), "source", share(F.col("n"), F.col("own"), F.col("v")).alias("p"), "zero")
-    # Blocks are prefix ranges; a file holds some of them in order, so a walk over files is one in UTF-8 order.
+    # Blocks are prefix ranges; a file holds some of them in order, so a walk over files is one in UTF-8 order, and small files share a walk.
     terms = shared.repartition("lang", "block").groupBy("lang", "block", "term", "q").agg(F.collect_list(F.struct("source", "p", "zero")).alias("entries"))
     terms = materialise(terms.sortWithinPartitions("lang", "term").select("lang", "term", "q", "entries"), "shares")
     walked = materialise(terms.mapInArrow(walk, "part string, lang string, source string, item string, value long"), "walked")
 
-    # Terms of one source of a pair: a row per source and share, so as many as a source has different counts.
-    alike = terms.select("lang", F.explode("entries").alias("e")).select("lang", "e.*").groupBy("lang", "source", "p", "zero").agg(F.count(F.lit(1)).alias("times"))
+    # Terms of one source of a pair: a row per source and count, so as many as a source has different counts.
+    alike = alike.join(groups, ["lang", "source"]).select("lang", "source", share(F.col("n"), F.col("own"), F.col("v")).alias("p"), "zero", "times")
     other = groups.select("lang", F.col("source").alias("item"), F.col("zero").alias("none"))
     met = alike.join(other, "lang").filter("source <> item")
     exact = lambda x: F.col("times").cast("decimal(18,0)") * x.cast("decimal(19,0)")

@@ -1,5 +1,6 @@
 """Operators 11 to 13 against brute force: small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import gc
 import hashlib
 import random
 import re
@@ -93,6 +94,71 @@ def test_trie_is_in_order_of_bytes():
         assert {(names[a], s): [n, d] for a, s, n, d in trie.settle().T.tolist()} == dict(want)
 
 
+def test_trie_holds_arrays_and_long_terms():
+    """No Python object stands for a node, whatever the number of terms; terms that end at, before and after each edge, and twins that differ in their last byte."""
+    terms = [f"{i * 2654435761 % 10**9}".encode() for i in range(20_000)]
+    trie = divergence.Trie()
+    gc.collect()
+    before = len(gc.get_objects())
+    trie.leaf(terms)
+    gc.collect()
+    assert len(gc.get_objects()) - before < 1000 and [t for t, _ in trie.walk()] == sorted(set(terms))
+    r = random.Random(8)
+    for _ in range(30):
+        trie, leaf = divergence.Trie(), {}
+        for _ in range(3):
+            some = [bytes(r.choices(b"ab\xc3\xff", k=r.choice([0, 1, 7, 8, 9, 16, 31, 32, 33, 90]))) for _ in range(60)]
+            some += [t[:32] + b"a" * r.randint(0, 3) for t in some] + some[:5]
+            for t, i in zip(some, trie.leaf(some).tolist()):
+                assert leaf.setdefault(t, i) == i
+        assert list(trie.walk()) == sorted(leaf.items()) and sorted(leaf.values()) == list(range(trie.size))
+
+
+def test_terms_end_with_their_texts():
+    import pyarrow as pa
+
+    from hourloom.llm.common import utf8
+
+    r = random.Random(9)
+    for _ in range(200):
+        texts = [r.choice([None, "", "Ab", "ab cd", " x", "y ", "É é", "  ", "a\x00b", "日本" * r.randint(0, 20)]) for _ in range(r.randint(0, 9))]
+        terms, doc = divergence.cut(*utf8(pa.array(texts, pa.string())))
+        want = [(i, w.encode()) for i, t in enumerate(texts) for w in re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda x: x[0].lower(), t or ""))]
+        assert list(zip(doc.tolist(), terms.to_pylist())) == want
+
+
+@pytest.mark.parametrize("step, fewer", [(4000, True), (8, False)])
+def test_walk_counts_pairs_by_kind(monkeypatch, step, fewer):
+    """Values are worked out for kinds of pairs (sources and shares), not for each pair; candidates below a group's first 200 are not kept, and ties go by term."""
+    import pyarrow as pa
+
+    r = random.Random(7)
+    rows = [{"lang": "en", "term": f"t{i:04}", "q": 50 + i % 7, "entries": [{"source": f"s{s}", "p": r.choice([40, 70, 90 + s]), "zero": 5 + s} for s in range(6)]} for i in range(2000)]
+    monkeypatch.setattr(divergence, "STEP", step)
+    far, worked = divergence.far, []
+    monkeypatch.setattr(divergence, "far", lambda p, q: (worked.append(len(p)), far(p, q))[1])
+    sums, best = Counter(), defaultdict(list)
+    batch = pa.RecordBatch.from_pylist(rows if fewer else rows[:300])
+    rows = batch.to_pylist()
+    for b in divergence.walk(iter([batch.slice(i, 500) for i in range(0, len(rows), 500)])):
+        for x in b.to_pylist():
+            if x["part"] == "pair":
+                sums[x["source"], x["item"]] += x["value"]
+            else:
+                best[x["source"]].append((-x["value"], x["item"]))
+    assert not fewer or sum(worked) < 60_000  # of 240,000 for the pairs alone
+    one = lambda p, q: (p - q) ** 2 // q
+    want, first = Counter(), defaultdict(list)
+    for x in rows:
+        for a in x["entries"]:
+            if a["p"] > x["q"]:
+                first[a["source"]].append((-one(a["p"], x["q"]), x["term"]))
+            for b in x["entries"]:
+                if a is not b:
+                    want[a["source"], b["source"]] += one(a["p"], b["p"]) - one(a["p"], b["zero"]) - one(a["zero"], b["p"]) + one(a["zero"], b["zero"])
+    assert sums == want and {s: sorted(x) for s, x in best.items()} == {s: sorted(x)[: divergence.TOP] for s, x in first.items()}
+
+
 def test_walk_in_small_steps(monkeypatch):
     import pyarrow as pa
 
